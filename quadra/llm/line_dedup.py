@@ -128,12 +128,13 @@ def drop_repeated(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batch
     space.drop(path)
     common = space.keep(LineRuns.merged(store.runs()).where(F.col("n_docs") >= min_docs).select("h", "last_doc"), "common")
     space.drop(*store.runs())
-    # documents that hold such lines, by id: (document, hashes it loses)
-    lost = lines.join(common, "h").where("d < last_doc").groupBy("d").agg(F.collect_set("h").alias("lost"))
+    # documents that hold such lines, by id: (document, hashes it loses); merge joins at every size, as neither
+    # side has a bound, and Spark splits the partition of a very common line
+    lost = lines.join(common.hint("merge"), "h").where("d < last_doc").groupBy("d").agg(F.collect_set("h").alias("lost"))
     lost = space.keep(lost, "lost")
     space.drop(common)
     base = docs.drop("n_lines", "n_dropped").withColumn("_d", doc)
-    joined = base.join(lost, F.col("_d") == F.col("d"), "left")
+    joined = base.join(lost.hint("merge"), F.col("_d") == F.col("d"), "left")
     split, hashes = _lines(F.col(text)), _hashes(_lines(F.col(text)), min_chars)
     kept = F.when(F.col("lost").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
         F.array_join(F.transform(F.filter(F.arrays_zip(split.alias("line"), hashes.alias("h")), lambda x: x["h"].isNull() | ~F.array_contains(F.col("lost"), x["h"])), lambda x: x["line"]), "\n"))
