@@ -13,6 +13,7 @@ MODULES: list[str] = [
     "line_dedup",
     "media_tiff",
     "mixing",
+    "packing",
     "pii",
     "warc",
 ]
