@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "mixing",
     "packing",
     "pii",
+    "quality",
     "warc",
 ]
 
