@@ -12,6 +12,7 @@ MODULES: list[str] = [
     "decontaminate",
     "line_dedup",
     "media_tiff",
+    "minhash",
     "mixing",
     "packing",
     "pii",
