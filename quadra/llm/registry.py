@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with QUERY = (name, function) and ORACLE (DuckDB SQL or None).
 MODULES: list[str] = [
     "decontaminate",
+    "hmm",
     "line_dedup",
     "media_tiff",
     "minhash",
