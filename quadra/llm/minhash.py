@@ -6,7 +6,7 @@
    smallest values are mostly shared have such a run in common; a passage shared by otherwise different texts rarely
    makes one. Lists with the same members are kept once.
 3. In each list the union-sketch estimate filters: a member near a pivot joins its clump; members very near leave
-   the pool, all others stay as pivots or members for later ones. Clumps give star edges, never all pairs. Lists
+   the pool, all others stay as pivots or members for later ones. Clumps give spanning edges, never all pairs. Lists
    above ``LIST_CAP`` members become one clump without a filter, so nothing is lost.
 4. Components of those edges are blocks. The full sets of a block's classes meet in one task, or, in a large
    block, in tasks for pairs of chunks of near sizes; exact counts of common shingles link sets with
@@ -79,13 +79,14 @@ def estimates(p: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def clumps(nodes: np.ndarray, sketch: list[np.ndarray], size: np.ndarray) -> list[tuple[int, int]]:
-    """Star edges of one list's clumps."""
+    """Edges that join one list's clumps: a spanning forest, so fewer edges than members."""
     m = len(nodes)
     lengths = np.array([len(s) for s in sketch])
     rows = np.full((m, K), np.uint64(2**64 - 1), np.uint64)
     for i, s in enumerate(sketch):
         rows[i, : len(s)] = s
     edges = []
+    group = np.arange(m)  # clump of each member
     pool = np.argsort(size, kind="stable")
     while len(pool) > 1:
         p, rest = pool[0], pool[1:]
@@ -95,7 +96,12 @@ def clumps(nodes: np.ndarray, sketch: list[np.ndarray], size: np.ndarray) -> lis
             pool = rest
             continue
         e = estimates(rows[p, : lengths[p]], rows[rest_near], lengths[rest_near])
-        edges += [(int(nodes[p]), int(nodes[x])) for x in rest_near[e >= LOOSE]]
+        near = rest_near[e >= LOOSE]
+        apart = near[group[near] != group[p]]
+        # one edge to each clump that this pivot meets
+        met, first = np.unique(group[apart], return_index=True)
+        edges += [(int(nodes[p]), int(nodes[x])) for x in apart[first]]
+        group[np.isin(group, met)] = group[p]
         pool = np.concatenate([rest_near[e < CORE], rest[len(rest_near) :]])
     return edges
 
