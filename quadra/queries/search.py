@@ -1,3 +1,95 @@
-"""Placeholder."""
+"""Search queries: vectors, places, full text, phonetic codes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadra.functions import geo, phonetic
+from quadra.operators.search import IvfIndex, TextIndex, analyze, top_vectors
+from quadra.sources.tables import table
 
 REGISTERED: dict = {}
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()[0]]
+
+
+for _name, _metric, _sql in (("vec_l2_topk", "l2", "list_distance(e.embedding::DOUBLE[], q.v)"), ("vec_cosine_topk", "cosine", "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.v)"), ("vec_ip_topk", "inner_product", "-list_inner_product(e.embedding::DOUBLE[], q.v)")):
+    REGISTERED[_name] = (lambda spark, d, m=_metric: top_vectors(table(spark, d, "embeddings"), "embedding", "vec_id", _query_vector(spark, d), 10, m, 4),
+                         f"SELECT vec_id, round({_sql}, 4) AS distance FROM embeddings e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7) q ORDER BY distance, vec_id LIMIT 10")
+
+
+def vec_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether probing half of the lists finds at least nine tenths of the exact ten nearest, plain and quantized."""
+    e = table(spark, d, "embeddings")
+    q = _query_vector(spark, d)
+    exact = top_vectors(e, "embedding", "vec_id", q, 10).select("vec_id")
+    rows = []
+    for name, bits in (("ivf", None), ("ivf_q8", 8)):
+        found = IvfIndex(e, "embedding", "vec_id", 8, bits=bits).search(q, 10, 6)
+        rows.append(found.join(exact, "vec_id").agg((F.count("*") >= 8).alias("good")).select(F.lit(name).alias("kind"), "good"))
+    return rows[0].unionByName(rows[1])
+
+
+REGISTERED["vec_ivf_recall"] = (vec_ivf_recall, "SELECT * FROM (VALUES ('ivf', true), ('ivf_q8', true)) t(kind, good)")
+
+_PLACES = "SELECT c_custkey AS id, (c_custkey * 37) % 180 - 90 + 0.25 AS lat, (c_custkey * 91) % 360 - 180 + 0.5 AS lon FROM customer"
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return table(spark, d, "customer").select(c.alias("id"), ((c * 37) % 180 - 90 + 0.25).alias("lat"), ((c * 91) % 360 - 180 + 0.5).alias("lon"))
+
+
+_HAVERSINE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians({y}::DOUBLE)) / 2), 2) + cos(radians(lat)) * cos(radians({y}::DOUBLE)) * pow(sin(radians(lon - {x}) / 2), 2))))"
+REGISTERED["geo_radius"] = (lambda spark, d: _places(spark, d).where(geo.within_radius(F.col("lat"), F.col("lon"), 10.0, 20.0, 2_000_000)).select("id"),
+                            f"SELECT id FROM ({_PLACES}) WHERE {_HAVERSINE.format(y='10', x='20')} <= 2000000")
+REGISTERED["geo_bbox_antimeridian"] = (lambda spark, d: _places(spark, d).where(geo.within_bbox(F.col("lat"), F.col("lon"), -20, 170, 30, -160)).select("id"),
+                                       f"SELECT id FROM ({_PLACES}) WHERE lat BETWEEN -20 AND 30 AND (lon >= 170 OR lon <= -160)")
+REGISTERED["geo_polygon"] = (lambda spark, d: _places(spark, d).where(geo.within_polygon(F.col("lat"), F.col("lon"), [(0, 0), (0, 60), (60, 0)])).select("id"),
+                             f"SELECT id FROM ({_PLACES}) WHERE lat >= 0 AND lon >= 0 AND lat + lon <= 60")
+REGISTERED["geo_knn"] = (lambda spark, d: geo.nearest(_places(spark, d), "lat", "lon", "id", 5.0, 5.0, 12).select("id", F.round("distance", 1).alias("metres")),
+                         f"SELECT id, round({_HAVERSINE.format(y='5', x='5')}, 1) AS metres FROM ({_PLACES}) ORDER BY {_HAVERSINE.format(y='5', x='5')}, id LIMIT 12")
+REGISTERED["geo_cells"] = (lambda spark, d: _places(spark, d).groupBy(geo.cell(F.col("lat"), F.col("lon"), 3).alias("cell")).agg(F.count("*").alias("n")),
+                           "SELECT " + " + ".join(f"((x >> {b}) % 2 << {2 * b}) + ((y >> {b}) % 2 << {2 * b + 1})" for b in range(3)) + f" AS cell, count(*) AS n FROM (SELECT CAST(floor((lat + 90) / 180 * 8) AS BIGINT) AS y, CAST(floor((lon + 180) / 360 * 8) AS BIGINT) AS x FROM ({_PLACES})) GROUP BY 1")
+
+_STOP_SQL = "('" + "','".join("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()) + "')"
+_POST = f"""tok AS (SELECT doc_id AS doc, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
+kept AS (SELECT * FROM tok WHERE term <> '' AND term NOT IN {_STOP_SQL}),
+lens AS (SELECT doc_id AS doc, coalesce(n, 0) AS dl FROM documents LEFT JOIN (SELECT doc, count(*) AS n FROM kept GROUP BY doc) k ON k.doc = doc_id),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+post AS (SELECT kept.doc, term, count(*) AS tf, any_value(dl) AS dl FROM kept JOIN lens ON lens.doc = kept.doc GROUP BY kept.doc, term),
+freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT doc, post.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM post JOIN freq ON freq.term = post.term, st)"""
+
+
+def _fts(name: str, query: str, oracle: str, k: int | None = None) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        index = TextIndex(table(spark, d, "documents"), "doc_id", "text")
+        found = index.top(query, k) if k else index.match(query)
+        return found.select("doc", F.round("score", 6).alias("score"))
+
+    REGISTERED[name] = (run, f"WITH {_POST} SELECT doc, round(score, 6) AS score FROM ({oracle})")
+
+
+_term = lambda *ts: f"SELECT doc, sum(s) AS score FROM bm WHERE term IN ({', '.join(repr(t) for t in ts)}) GROUP BY doc"
+_fts("fts_term", "thing", _term("thing"))
+_fts("fts_and", "erst AND sting", f"SELECT a.doc, a.score + b.score AS score FROM ({_term('erst')}) a JOIN ({_term('sting')}) b ON a.doc = b.doc")
+_fts("fts_or", "erst OR sting", f"SELECT doc, max(score) AS score FROM ({_term('erst')} UNION ALL {_term('sting')}) GROUP BY doc")
+_fts("fts_not", "erst NOT sting", f"SELECT * FROM ({_term('erst')}) WHERE doc NOT IN (SELECT doc FROM bm WHERE term = 'sting')")
+_fts("fts_not_only", "NOT erst", "SELECT doc_id AS doc, 1.0::DOUBLE AS score FROM documents WHERE doc_id NOT IN (SELECT doc FROM bm WHERE term = 'erst')")
+_fts("fts_prefix", "thing*", "SELECT doc, sum(s) AS score FROM bm WHERE starts_with(term, 'thing') GROUP BY doc")
+_fts("fts_phrase", '"erst thing"', "SELECT doc, sum(s) AS score FROM bm WHERE term IN ('erst', 'thing') GROUP BY doc HAVING count(*) = 2")
+_fts("fts_topk", "erst thing", f"SELECT * FROM (SELECT a.doc, a.score + b.score AS score FROM ({_term('erst')}) a JOIN ({_term('thing')}) b ON a.doc = b.doc) ORDER BY score DESC, doc LIMIT 10", 10)
+REGISTERED["fts_analyzers"] = (lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(analyze(F.col("text"), "standard")).cast("long").alias("standard"), F.size(analyze(F.col("text"), "simple")).cast("long").alias("simple")),
+                               f"WITH {_POST} SELECT doc_id, (SELECT dl FROM lens WHERE doc = doc_id) AS standard, (SELECT count(*) FROM tok WHERE doc = doc_id AND term <> '') AS simple FROM documents")
+
+
+def phonetic_codes(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return n.select("n_nationkey", phonetic.soundex(F.col("n_name")).alias("soundex"), phonetic.metaphone_udf("n_name").alias("metaphone"), phonetic.double_metaphone_udf("n_name").alias("double_metaphone"), phonetic.caverphone_udf("n_name").alias("caverphone"))
+
+
+REGISTERED["phonetic_codes"] = (phonetic_codes, None)
