@@ -19,7 +19,8 @@ def latest(cells: DataFrame, key: list[str], value: str = "value", ts: str = "wr
     best = cells.groupBy(*key).agg(F.max(F.struct(*cols)).alias("b")).where("b.w")
     if ttl:
         best = best.where(F.col("b.l").isNull() | (F.col("b.t") + F.col("b.l") > now))
-    return best.select(*key, F.col("b.v").alias(value), F.col("b.t").alias(ts))
+    stamp = [] if ts in key else [F.col("b.t").alias(ts)]
+    return best.select(*key, F.col("b.v").alias(value), *stamp)
 
 
 def latest_rows(cells: DataFrame, key: list[str], columns: list[str], **names: str) -> DataFrame:
