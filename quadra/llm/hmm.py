@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadra.llm.bytestok import BLANK_SPLIT, blocks, mix, words
@@ -66,7 +66,21 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
-def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int = 6_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``most_bytes``: larger blocks repeat fewer words."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int = 12_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Blocks of whole texts: ids, fold, token counts (with the end), distinct words, training counts, word numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +88,7 @@ def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int =
 
         number = TaskContext.get().partitionId() << 40
         names = [x.split()[0] for x in BLOCK.split(", ")]
-        for batch in batches:
+        for batch in _gathered(batches, block_bytes):
             for i, j, data, offsets in blocks(batch.column(2), block_bytes):
                 n = j - i
                 got = words(data, offsets, BLANK_SPLIT)
@@ -87,7 +101,12 @@ def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int =
                 inside[end_at] = False
                 h[inside] = got.hashes
                 kind[inside] = word_classes(got.data, got.starts, got.ends)
-                distinct, first, number_of = np.unique(h, return_index=True, return_inverse=True)
+                distinct, first, number_of, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                # common words get small numbers, which pack well
+                order = np.argsort(-often, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                distinct, first, number_of = distinct[order], first[order], place[number_of]
                 held = batch.column(1).slice(i, n).fill_null(False).to_numpy(zero_copy_only=False)
                 train = np.repeat(~held, lengths)
                 counts = np.bincount(number_of[train], minlength=len(distinct))
@@ -334,10 +353,12 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 3, folds: int = 5, fol
     small_batches(spark)
     space = Workspace(spark, "hmm")
     table_ = space.keep(tokenise(docs, folds, fold, text=text, key=key), "blocks")
-    use = space.keep(block_words(table_), "words")
-    counted = space.keep(use.groupBy("word").agg(F.sum("n").alias("c"), F.min("class").alias("class")).where("c > 0"), "counts")
+    # one shuffle by word: the sum over its blocks, and a mark on the first of them
+    word = Window.partitionBy("word")
+    use = block_words(table_).withColumns({"c": F.sum("n").over(word), "first": F.row_number().over(word.orderBy("block")) == 1})
+    use = space.keep(use.select("block", "at", "c", "class", "first"), "words")
     # N and V per class: at most CLASSES rows
-    per = counted.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    per = use.where("first and c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     n_train, v_train = sum(r["c"] for r in per), sum(r["v"] for r in per)
     below = n_train + 0.5 * (v_train + 1)
     mass = np.full(CLASSES, 0.0)
@@ -351,7 +372,7 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 3, folds: int = 5, fol
     with np.errstate(divide="ignore"):
         log_share = np.append(np.log10(mass / below) - np.log10(1 - unseen), 0.0)
     sent = spark.sparkContext.broadcast((Model(model.start, model.move, emit), log_share, n_train, math.log10(below)))
-    back = use.select("block", "at", "word").join(counted.select("word", "c").hint("merge"), "word")
+    back = use.where("c > 0").select("block", "at", "c")
 
     def run(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         model, log_share, n_train, log_below = sent.value
@@ -378,7 +399,7 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 3, folds: int = 5, fol
         return pa.table({"doc_id": pa.concat_arrays(ids), "held_out": np.concatenate(held), "n_tokens": size, "n_known": np.concatenate(known), "train_tokens": np.full(len(size), n_train), "base_score": np.concatenate(base), "score": np.concatenate(full)})
 
     left = table_.select("block", "doc_ids", "held", "lengths", "words", "classes", "sequence").groupBy("block")
-    return left.cogroup(back.select("block", "at", "c").groupBy("block")).applyInArrow(run, SCORES)
+    return left.cogroup(back.groupBy("block")).applyInArrow(run, SCORES)
 
 
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
