@@ -190,12 +190,12 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, width: int, text: str, key: s
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(np.array(a, np.uint64).astype(np.int64)), pa.array(s, pa.binary())], names=["doc_id", "a", "set"])
 
     sets = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text)).select("*", place).mapInArrow(run, "doc_id long, a long, set binary")
-    return sets.join(chosen, (F.col("doc_id") == F.col("rep")) & (F.col("a") == F.col("node"))).drop("doc_id", "a", "rep").dropDuplicates(["node"])
+    return sets.join(chosen.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("a") == F.col("node"))).drop("doc_id", "a", "rep").dropDuplicates(["node"])
 
 
 def _verified(blocks_: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
     """Spanning edges of exact links in every block. ``blocks_``: (node, root); ``sets``: (node, n_shingles, set)."""
-    x = space.keep(sets.join(blocks_, "node"), "sets")
+    x = space.keep(sets.join(blocks_.hint("merge"), "node"), "sets")
     sizes = x.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     x = x.join(sizes, "root").where("m > 1")
     small = x.where(F.col("m") <= BLOCK_CLASSES).withColumns({"g": F.xxhash64("root"), "left": F.lit(None).cast("boolean")}).select("root", "g", "left", "node", "set")
@@ -239,20 +239,21 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text
     keys = space.keep(classes.where("rep is not null").select("node", F.explode(run).alias("key")), "keys")
     lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low")).where("m > 1")
     lists = space.keep(lists.groupBy("m", "x", "low").agg(F.min("key").alias("key")), "lists")
-    members = keys.join(lists.where(F.col("m") <= LIST_CAP).select("key"), "key")
-    members = members.join(classes.select("node", "n_shingles", "sketch"), "node")
-    whole = keys.join(lists.where(F.col("m") > LIST_CAP).select("key", "low"), "key").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    # merge joins at every size: no side has a bound, and Spark splits hot keys
+    members = keys.join(lists.where(F.col("m") <= LIST_CAP).select("key").hint("merge"), "key")
+    members = members.join(classes.select("node", "n_shingles", "sketch").hint("merge"), "node")
+    whole = keys.join(lists.where(F.col("m") > LIST_CAP).select("key", "low").hint("merge"), "key").select(F.col("low").alias("u"), F.col("node").alias("v"))
     near = space.keep(_list_edges(members).unionByName(whole), "near")
     block = space.keep(components(near, space), "blocks")
-    chosen = space.keep(block.join(classes.select("node", "rep", "n_shingles"), "node").select("node", "rep", "n_shingles"), "chosen")
+    chosen = space.keep(block.join(classes.select("node", "rep", "n_shingles").hint("merge"), "node").select("node", "rep", "n_shingles"), "chosen")
     sets = _full_sets(docs, chosen, width, text, key)
     links = space.keep(_verified(block, sets, percent, space), "links")
     roots = components(links, space)
-    found = classes.select("node", "b", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = classes.select("node", "b", "rep").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = space.keep(found, "found")
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = space.keep(found.join(least, "root").select(F.col("node").alias("a"), "b", "component_id"), "components")
-    out = rows.join(of, ["a", "b"], "left")
+    of = space.keep(found.join(least.hint("merge"), "root").select(F.col("node").alias("a"), "b", "component_id"), "components")
+    out = rows.join(of.hint("merge"), ["a", "b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
