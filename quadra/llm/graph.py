@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from quadra.llm.store import Workspace
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-    return row["n"], row["h"]
+#: Rows in a written part of an edge table: small tables are not scattered over many files.
+PART_ROWS = 50_000
+
+
+def _is_star(edges: DataFrame, n: int) -> bool:
+    """Whether every u has one v, and no v is a u: each v is then the least node of its component."""
+    if edges.agg(F.count_distinct("u")).first()[0] != n:
+        return False
+    roots = edges.select("v").distinct().hint("merge")
+    return edges.join(roots.withColumnRenamed("v", "r"), F.col("u") == F.col("r"), "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, space: Workspace, most_rounds: int = 60) -> DataFrame:
@@ -20,23 +27,21 @@ def components(edges: DataFrame, space: Workspace, most_rounds: int = 60) -> Dat
     and hubs are joined, not gathered, so Spark can split them.
     """
     e = space.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
     for _ in range(most_rounds):
-        if not mark[0]:
+        n = e.count()
+        if not n or _is_star(e, n):
             break
+        parts = n // PART_ROWS + 1
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low.hint("merge"), F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = space.keep(large, "large")
+        large = space.keep(large.coalesce(parts), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = large.join(low.hint("merge"), F.col("u") == F.col("c"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
-        nxt = space.keep(small, "small")
+        nxt = space.keep(small.coalesce(parts), "small")
         space.drop(e, large)
-        e, old = nxt, mark
-        mark = _mark(e)
-        if mark == old:
-            break
+        e = nxt
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -32,7 +32,8 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: later plans start from files, whatever executors are lost."""
         path = self.new_path(name)
-        df.write.mode("overwrite").parquet(path)
+        # zstd needs no pooled direct buffers, which many small writes would pile up beside the heap
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quadra_path = path
         return out
