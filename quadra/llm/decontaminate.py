@@ -216,7 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     k = len(keep)
     sent = [spark.sparkContext.broadcast(q) for q in slices]
     base = T.StructType([docs.schema[c] for c in keep])
-    state = T.StructType([*base.fields, T.StructField("_text", T.StringType()), T.StructField("_hit", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
+    state = T.StructType([*base.fields, T.StructField("__quadra_text", T.StringType()), T.StructField("__quadra_hit", T.BinaryType()), T.StructField("__quadra_items", T.ArrayType(T.StringType()))])
     out = T.StructType([*base.fields, *T._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch], q, is_first: bool, is_last: bool) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
                 made = [pa.array(n, pa.int64()), pa.array(count, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([c > 0 for c in count], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=out.names)
 
-    df = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
+    df = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__quadra_text"))
     for s, q in enumerate(sent):
         first, last = s == 0, s == len(sent) - 1
         df = df.mapInArrow(lambda b, q=q, first=first, last=last: run(b, q, first, last), out if last else state)

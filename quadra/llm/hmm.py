@@ -369,7 +369,7 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 3, folds: int = 5, fol
     model = train(table_, Model.random(states, share), share, rounds, space)
     # a seen word is emitted by its class, all of them with chance 1 - unseen; an unseen one by any state alike
     emit = np.hstack([model.emit, np.ones((states, 1))])
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         log_share = np.append(np.log10(mass / below) - np.log10(1 - unseen), 0.0)
     sent = spark.sparkContext.broadcast((Model(model.start, model.move, emit), log_share, n_train, math.log10(below)))
     back = use.where("c > 0").select("block", "at", "c")

@@ -133,14 +133,15 @@ def drop_repeated(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batch
     lost = lines.join(common.hint("merge"), "h").where("d < last_doc").groupBy("d").agg(F.collect_set("h").alias("lost"))
     lost = space.keep(lost, "lost")
     space.drop(common)
-    base = docs.drop("n_lines", "n_dropped").withColumn("_d", doc)
-    joined = base.join(lost.hint("merge"), F.col("_d") == F.col("d"), "left")
-    split, hashes = _lines(F.col(text)), _hashes(_lines(F.col(text)), min_chars)
-    kept = F.when(F.col("lost").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc.alias("_d"), F.col(text).alias("_text"))
+    joined = rows.join(lost.hint("merge"), F.col("_d") == F.col("d"), "left")
+    split, hashes = _lines(F.col("_text")), _hashes(_lines(F.col("_text")), min_chars)
+    kept = F.when(F.col("lost").isNull(), F.coalesce(F.col("_text"), F.lit(""))).otherwise(
         F.array_join(F.transform(F.filter(F.arrays_zip(split.alias("line"), hashes.alias("h")), lambda x: x["h"].isNull() | ~F.array_contains(F.col("lost"), x["h"])), lambda x: x["line"]), "\n"))
     dropped = F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.size(F.filter(hashes, lambda h: h.isNotNull() & F.array_contains(F.col("lost"), h))))
-    out = joined.withColumns({"n_lines": F.size(split).cast("long"), "n_dropped": dropped.cast("long"), "_kept": kept})
-    return out.select(*[F.col("_kept").alias(text) if c == text else F.col(c) for c in base.columns if c != "_d"], "n_lines", "n_dropped")
+    out = joined.select("row", F.size(split).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("_kept"))
+    plain = [F.col("_kept").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*plain, "n_lines", "n_dropped")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

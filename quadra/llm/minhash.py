@@ -262,7 +262,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each group: rows whose id is their component's; columns as they came, repeated rows once."""
     found = groups(docs, width, percent, text, key).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(found, F.col(key) == F.col("_kept_id"), "left_semi").dropDuplicates([key])
+    known = docs.where(F.col(key).isNotNull())
+    named = known.join(found, known[key] == found["_kept_id"], "left_semi").dropDuplicates([key])
     return named.unionByName(docs.where(F.col(key).isNull()))
 
 

@@ -144,12 +144,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_copies: int =
     units = space.keep(_with_ids(small, key, text, source).select("id", F.col("_source").alias("source"), F.col("_size").alias("size")), "sizes")
     taken = copies(units, space.keep(source_targets(units, weights, most_copies), "targets"), seed, space=space)
     taken = taken.where("copies > 0").select(F.col("id").alias("_id"), F.col("source").alias("_src"), F.col("copies").alias("_copies"))
-    clash = [c for c in docs.columns if c in ("id", "_k", "_h", "_source", "_size")]
-    plain = docs.withColumnsRenamed({c: f"_in_{c}" for c in clash})
-    names = [f"_in_{c}" if c in clash else c for c in docs.columns]
-    rename = lambda c: f"_in_{c}" if c in clash else c
-    joined = _with_ids(plain, rename(key), rename(text), rename(source)).join(taken, (F.col("id").eqNullSafe(F.col("_id"))) & F.col("_source").eqNullSafe(F.col("_src")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    # the whole input row is one column, so no name of it meets one made here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = _with_ids(rows, f"row.`{key}`", f"row.`{text}`", f"row.`{source}`").join(taken, F.col("id").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("_src")))
+    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_copies: int = 3, seed: int = 7) -> DataFrame:

@@ -139,7 +139,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
                 kept = [batch.column(c).slice(i, j - i) for c in range(k)]
                 yield pa.RecordBatch.from_arrays([*kept, batch.column(k + 1).slice(i, j - i), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=out.names)
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"), (fold_of(key) == 0).alias("_held")).mapInArrow(run, out)
+    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("__quadra_text"), (fold_of(key) == 0).alias("__quadra_held")).mapInArrow(run, out)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
