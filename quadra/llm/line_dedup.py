@@ -88,7 +88,9 @@ class LineRuns:
     def add(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """The batch without lines that earlier batches hold (and without later copies in the batch); adds its run."""
         space, old = self.space, self.runs()
-        lines = space.keep(_exploded(docs, text, self.min_chars), "batch")
+        # numbered rows are written first: a plan that runs again may not number them alike
+        rows = space.keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+        lines = space.keep(_exploded(rows, f"doc.`{text}`", self.min_chars), "batch")
         fresh = lines.where("h is not null")
         for r in old:
             fresh = fresh.join(r.select("h"), "h", "left_anti")
@@ -96,13 +98,17 @@ class LineRuns:
         kept = lines.join(first.withColumnRenamed("h", "fh"), F.col("h") == F.col("fh"), "left")
         keep = F.col("h").isNull() | (F.struct("row", "pos") == F.col("first"))
         out = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.coalesce(keep, F.lit(False)), F.struct("pos", "line")))).alias("kept"))
-        self.add_run(self.entries(docs, text, key))
         joined = F.array_join(F.transform("kept", lambda x: x["line"]), "\n")
-        return space.keep(docs.withColumn("row", F.monotonically_increasing_id()).join(out.select("row", joined.alias("_kept")), "row").withColumn(text, F.col("_kept")).drop("row", "_kept"), "kept")
+        new = [F.col("_kept").alias(text) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+        done = space.keep(rows.join(out.select("row", joined.alias("_kept")), "row").select(*new), "kept")
+        # only now: adding the run may merge, and so delete, the runs that the batch was held against
+        self.add_run(self.entries(docs, text, key))
+        space.drop(lines, rows)
+        return done
 
 
-def _exploded(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), _lines(F.col(text)).alias("lines"))
+def _exploded(rows: DataFrame, text: str, min_chars: int) -> DataFrame:
+    lines = rows.select("row", _lines(F.col(text)).alias("lines"))
     zipped = F.arrays_zip(F.col("lines").alias("line"), _hashes(F.col("lines"), min_chars).alias("h"))
     return lines.select("row", F.posexplode(zipped).alias("pos", "x")).select("row", "pos", F.col("x").getField("line").alias("line"), F.col("x").getField("h").alias("h"))
 
