@@ -35,7 +35,8 @@ def one_row(spark: SparkSession) -> DataFrame:
 
 def copy_csv(spark: SparkSession, path: str, schema: str, header: bool = False, delimiter: str = ",", null: str = "") -> DataFrame:
     """COPY FORMAT csv: doubled quotes, unquoted empty fields are null, quoted ones are empty text."""
-    # emptyValue keeps "" apart from an empty field
+    # a null marker that no field holds keeps quoted empty text apart from an empty field
+    null = null or "\x01"
     return spark.read.schema(schema).options(header=header, sep=delimiter, quote='"', escape='"', nullValue=null, emptyValue="", mode="FAILFAST", multiLine=True).csv(path)
 
 
