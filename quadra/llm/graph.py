@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quadra.llm.store import Workspace
 
 
-#: Rows in a written part of an edge table: small tables are not scattered over many files.
-PART_ROWS = 50_000
+#: Edges that one task takes: a table of fewer is worked on in one task, without shuffles, as tables get in late rounds.
+PART_ROWS = 200_000
 
 
 def _is_star(edges: DataFrame, n: int) -> bool:
     """Whether every u has one v, and no v is a u: each v is then the least node of its component."""
+    edges = edges.coalesce(1) if n < PART_ROWS else edges
     if edges.agg(F.count_distinct("u")).first()[0] != n:
         return False
     roots = edges.select("v").distinct().hint("merge")
@@ -32,13 +33,17 @@ def components(edges: DataFrame, space: Workspace, most_rounds: int = 60) -> Dat
         if not n or _is_star(e, n):
             break
         parts = n // PART_ROWS + 1
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e_ = e.coalesce(1) if parts == 1 else e
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e_.select(F.explode(ends).alias("x")).select("x.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low.hint("merge"), F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = space.keep(large.coalesce(parts), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        joined = large.join(low.hint("merge"), F.col("u") == F.col("c"))
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
+        large_ = large.coalesce(1) if parts == 1 else large
+        low = large_.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        joined = large_.join(low.hint("merge"), F.col("u") == F.col("c"))
+        to_low = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = joined.select(F.explode(to_low).alias("x")).select("x.*").where("u <> v").distinct()
         nxt = space.keep(small.coalesce(parts), "small")
         space.drop(e, large)
         e = nxt

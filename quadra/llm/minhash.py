@@ -196,8 +196,8 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, width: int, text: str, key: s
 def _verified(blocks_: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
     """Spanning edges of exact links in every block. ``blocks_``: (node, root); ``sets``: (node, n_shingles, set)."""
     x = space.keep(sets.join(blocks_.hint("merge"), "node"), "sets")
-    sizes = x.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    x = x.join(sizes, "root").where("m > 1")
+    sizes = space.keep(x.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    x = x.join(sizes.hint("merge"), "root")
     small = x.where(F.col("m") <= BLOCK_CLASSES).withColumns({"g": F.xxhash64("root"), "left": F.lit(None).cast("boolean")}).select("root", "g", "left", "node", "set")
     # large blocks: sets more than one size step apart are no pairs, each step is dealt to chunks
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
@@ -224,7 +224,8 @@ def _verified(blocks_: DataFrame, sets: DataFrame, percent: int, space: Workspac
         e = exact_links(t.column("node").to_numpy(), sets, left, percent)
         return pa.table({"u": pa.array([a for a, _ in e], pa.int64()), "v": pa.array([b for _, b in e], pa.int64())})
 
-    return small.unionByName(dealt).groupBy("root", "g").applyInArrow(run, "u long, v long")
+    todo = small if sizes.where(F.col("m") > BLOCK_CLASSES).isEmpty() else small.unionByName(dealt)
+    return todo.groupBy("root", "g").applyInArrow(run, "u long, v long")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -242,8 +243,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text
     # merge joins at every size: no side has a bound, and Spark splits hot keys
     members = keys.join(lists.where(F.col("m") <= LIST_CAP).select("key").hint("merge"), "key")
     members = members.join(classes.select("node", "n_shingles", "sketch").hint("merge"), "node")
-    whole = keys.join(lists.where(F.col("m") > LIST_CAP).select("key", "low").hint("merge"), "key").select(F.col("low").alias("u"), F.col("node").alias("v"))
-    near = space.keep(_list_edges(members).unionByName(whole), "near")
+    near = _list_edges(members)
+    large = lists.where(F.col("m") > LIST_CAP).select("key", "low")
+    if not large.isEmpty():
+        near = near.unionByName(keys.join(large.hint("merge"), "key").select(F.col("low").alias("u"), F.col("node").alias("v")))
+    near = space.keep(near, "near")
     block = space.keep(components(near, space), "blocks")
     chosen = space.keep(block.join(classes.select("node", "rep", "n_shingles").hint("merge"), "node").select("node", "rep", "n_shingles"), "chosen")
     sets = _full_sets(docs, chosen, width, text, key)
