@@ -105,3 +105,27 @@ def json_bindings(solutions: DataFrame) -> DataFrame:
         kind = F.when(t["kind"] == "iri", "uri").when(t["kind"] == "blank", "bnode").otherwise("literal")
         cells.append(F.when(t.isNotNull(), F.struct(kind.alias("type"), t["value"].alias("value"), t["datatype"].alias("datatype"), t["lang"].alias("xml:lang"))).alias(v))
     return solutions.select(F.to_json(F.struct(*cells)).alias("binding"))
+
+
+def _escaped(c: Column) -> Column:
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def xml_results(solutions: DataFrame) -> DataFrame:
+    """(result): one XML result element per solution, unbound variables left out."""
+    cells = []
+    for v in solutions.columns:
+        t = F.col(f"`{v}`")
+        text = _escaped(t["value"])
+        tag = F.when(t["lang"].isNotNull(), F.concat(F.lit('<literal xml:lang="'), t["lang"], F.lit('">'))).when(t["datatype"].isNotNull(), F.concat(F.lit('<literal datatype="'), t["datatype"], F.lit('">'))).otherwise("<literal>")
+        body = F.when(t["kind"] == "iri", F.concat(F.lit("<uri>"), text, F.lit("</uri>"))).when(t["kind"] == "blank", F.concat(F.lit("<bnode>"), text, F.lit("</bnode>"))).otherwise(F.concat(tag, text, F.lit("</literal>")))
+        cells.append(F.when(t.isNotNull(), F.concat(F.lit(f'<binding name="{v}">'), body, F.lit("</binding>"))).otherwise(""))
+    return solutions.select(F.concat(F.lit("<result>"), *cells, F.lit("</result>")).alias("result"))
+
+
+def turtle(triples: DataFrame) -> DataFrame:
+    """(block): Turtle, one block per subject and predicate with its objects in order."""
+    by = triples.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_list(_text(F.col("o")))), ", ").alias("os"))
+    return by.select(F.concat(_text(F.col("s")), F.lit(" "), _text(F.col("p")), F.lit(" "), F.col("os"), F.lit(" .")).alias("block"))

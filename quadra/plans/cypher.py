@@ -106,6 +106,17 @@ class _Parser(Cursor):
                 out.append(("create", self.patterns()))
             elif self.word("MERGE"):
                 out.append(("merge", self.patterns()))
+            elif self.word("FOREACH"):
+                self.need("(")
+                var = self.name()
+                self.need_word("IN")
+                xs = self.expr()
+                self.need("|")
+                inner = []
+                while not self.op(")"):
+                    kind = self.need_word("CREATE", "MERGE")
+                    inner.append((kind.lower(), self.patterns()))
+                out.append(("foreach", var, xs, inner))
             elif self.word("SET"):
                 out.append(("set", self.assignments()))
             elif self.word("REMOVE"):
@@ -417,6 +428,11 @@ class _Run:
                 return self.project(c[1], self.spark.range(1).select() if rows is None else rows, last=True)
             elif kind == "call":
                 rows = self.subquery(c[1], c[2], rows)
+            elif kind == "foreach":
+                base = self.spark.range(1).select() if rows is None else rows
+                each = base.select("*", F.explode(self.value(c[2], base)).alias(c[1]))
+                for x in c[3]:
+                    self.change(x, each)
             elif kind in ("create", "merge", "set", "delete"):
                 self.change(c, rows)
             else:

@@ -83,3 +83,11 @@ def cy_write(spark: SparkSession, d: str) -> DataFrame:
 
 
 REGISTERED["cy_write"] = (cy_write, "SELECT r_regionkey AS k, CASE WHEN r_regionkey <> 0 THEN r_name END AS name, CASE WHEN r_regionkey > 3 THEN r_regionkey * 2 END AS size FROM region UNION ALL SELECT 9, 'MOON', 18")
+
+
+def cy_foreach(spark: SparkSession, d: str) -> DataFrame:
+    _, g = cypher.run(graph(spark, d), spark, "FOREACH (x IN [10, 11] | CREATE (:Region {r_regionkey: x, r_name: 'NEW'}))")
+    return cypher.query(g, spark, "MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS name")
+
+
+REGISTERED["cy_foreach"] = (cy_foreach, "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 10, 'NEW' UNION ALL SELECT 11, 'NEW'")

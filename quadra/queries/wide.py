@@ -137,3 +137,17 @@ REGISTERED["window_cursor"] = (lambda spark, d: versions.window_rows(_cells(spar
                                f"""SELECT user_id, write_ts, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, write_ts ORDER BY (NOT tombstone AND value IS NOT NULL) DESC, value DESC) AS r FROM ({_CELLS}) WHERE write_ts >= 100 AND write_ts < 200)
   WHERE r = 1 AND NOT tombstone AND value IS NOT NULL""")
+
+
+def exchange_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a table read by token range, put together again."""
+    from quadra.sources.exchange import endpoints
+
+    parts = endpoints(_catalog(spark, d)["orders"], 3)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("o_orderkey", "o_custkey")
+
+
+REGISTERED["exchange_endpoints"] = (exchange_endpoints, "SELECT o_orderkey, o_custkey FROM orders")

@@ -42,7 +42,7 @@ def copy_csv(spark: SparkSession, path: str, schema: str, header: bool = False,
 
 def _unescape(c: Column) -> Column:
     """COPY text escapes; a doubled backslash is set aside first, so that it escapes nothing."""
-    hold = ""
+    hold = "\ue000"
     c = F.replace(c, F.lit("\\\\"), F.lit(hold))
     for mark, value in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\v")):
         c = F.replace(c, F.lit(mark), F.lit(value))
