@@ -20,13 +20,11 @@ def register_python(spark: SparkSession, name: str, f: Callable, returns: str, n
     """A Python function over Arrow batches; RETURNS NULL ON NULL INPUT unless asked otherwise."""
 
     def run(*columns: pd.Series) -> pd.Series:
-        rows = zip(*columns, strict=True)
-        return pd.Series([None if null_on_null and any(x is None or x is pd.NA or x != x for x in r) else f(*r) for r in rows], dtype=object)
+        # a null comes as None or NaN
+        rows = [[None if pd.isna(x) is True else x for x in r] for r in zip(*columns, strict=True)]
+        return pd.Series([None if null_on_null and any(x is None for x in r) else f(*r) for r in rows], dtype=object)
 
-    from pyspark.sql.functions import pandas_udf
-
-    run.__annotations__ = {}
-    udf = pandas_udf(run, returns, functionType=200)
+    udf = F.pandas_udf(run, returns)
     return spark.udf.register(name, udf)
 
 

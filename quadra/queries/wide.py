@@ -9,6 +9,7 @@ from quadra.functions import semantics as S
 from quadra.functions import temporal
 from quadra.operators import dml, versions
 from quadra.plans import cql
+from quadra.queries.search import _HAVERSINE, _PLACES
 from quadra.sources.tables import pages, table
 
 REGISTERED: dict = {}
@@ -47,9 +48,10 @@ _cql("cql_tuple_slice", "SELECT l_orderkey, l_linenumber FROM items WHERE (l_ord
 _cql("cql_distinct_pk", "SELECT DISTINCT user_id FROM events", "SELECT DISTINCT user_id FROM events")
 _cql("cql_order_limit", "SELECT event_id, value FROM events WHERE user_id = 5 ORDER BY event_id DESC LIMIT 7", "SELECT event_id, value FROM events WHERE user_id = 5 ORDER BY event_id DESC LIMIT 7")
 _cql("cql_aggregates", "SELECT COUNT(*) AS n, MIN(value) AS low, MAX(value) AS high, COUNT(DISTINCT event_type) AS kinds FROM events WHERE user_id = 5", "SELECT count(*) AS n, min(value) AS low, max(value) AS high, count(DISTINCT event_type) AS kinds FROM events WHERE user_id = 5")
-_cql("cql_sounds_like", "SELECT n_nationkey FROM nation WHERE n_name SOUNDS LIKE 'nation'", None)
-_cql("cql_geo_radius", "SELECT id FROM places WHERE GEO_WITHIN_RADIUS(location, (10.0, 20.0), 2000000)", None)
-_cql("cql_geo_nearest", "SELECT id FROM places ORDER BY location GEO_NEAREST OF (5.0, 5.0) LIMIT 4", None)
+# the tables' names are all NATION and a number, which sound alike
+_cql("cql_sounds_like", "SELECT n_nationkey FROM nation WHERE n_name SOUNDS LIKE 'nashun'", "SELECT n_nationkey FROM nation WHERE n_name LIKE 'NATION%'")
+_cql("cql_geo_radius", "SELECT id FROM places WHERE GEO_WITHIN_RADIUS(location, (10.0, 20.0), 2000000)", f"SELECT id FROM ({_PLACES}) WHERE {_HAVERSINE.format(y='10', x='20')} <= 2000000")
+_cql("cql_geo_nearest", "SELECT id FROM places ORDER BY location GEO_NEAREST OF (5.0, 5.0) LIMIT 4", f"SELECT id FROM ({_PLACES}) ORDER BY {_HAVERSINE.format(y='5', x='5')}, id LIMIT 4")
 _cql("cql_fts_match", "SELECT doc_id FROM documents WHERE FTS_MATCH(text, 'erst AND sting')", """SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'erst') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'sting')""")
 _cql("cql_to_json", "SELECT o_orderkey, toJson(tags) AS j FROM tagged WHERE o_orderkey = 3", """SELECT o_orderkey, '["' || o_orderstatus || '","' || o_orderpriority[1] || '"]' AS j FROM orders WHERE o_orderkey = 3""")
 

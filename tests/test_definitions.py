@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import SparkSession
 
+from quadra.operators import udf
 from quadra.plans import cql
 from quadra.plans.ddl import Registry
 from quadra.plans.lex import SyntaxFault
@@ -51,3 +52,13 @@ def test_exchange(spark: SparkSession) -> None:
     new = exchange.put(t, spark.createDataFrame([(3, 0), (9999, 1)], "id long, twice long"))
     assert new.df.count() == 2501 and new.df.where("id = 3").first()["twice"] == 0
     assert exchange.listing({"t": t}) == {"t": "struct<id:bigint,twice:bigint>"}
+
+
+def test_user_functions(spark: SparkSession) -> None:
+    udf.register_python(spark, "add_up", lambda a, b: a + b, "long")
+    udf.register_python(spark, "or_zero", lambda a: 0 if a is None else a, "long", null_on_null=False)
+    got = spark.sql("SELECT add_up(x, 1) AS a, or_zero(x) AS b FROM VALUES (1), (NULL) t(x)").collect()
+    assert sorted((tuple(r) for r in got), key=str) == [(2, 1), (None, 0)]
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "k string, x double").repartition(3)
+    out = udf.fold_aggregate(df, ["k"], "x", lambda: [], lambda s, x: [*s, x], lambda a, b: a + b, lambda s: max(s, default=None), "double", "top")
+    assert {tuple(r) for r in out.collect()} == {("a", 3.0), ("b", None)}
