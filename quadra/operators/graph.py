@@ -95,6 +95,38 @@ class Graph:
         left = df.join(gone, F.col(key).cast("string") == F.col("_gone"), "left_anti")
         return Graph(self.vertices | {label: (left, key)}, edges)
 
+    def link(self, name: str, source: str, target: str, rows: DataFrame, merge: bool = False) -> Graph:
+        """New edges (_from, _to and properties) of a type; with ``merge`` only those that no equal edge has."""
+        tables = list(self.edges.get(name, []))
+        at = next((i for i, e in enumerate(tables) if (e.source, e.target) == (source, target)), None)
+        if at is None:
+            made = rows.withColumnsRenamed({"_from": "src", "_to": "dst"})
+            tables.append(Edges(made.distinct() if merge else made, "src", "dst", source, target))
+            return replace(self, edges=self.edges | {name: tables})
+        e = tables[at]
+        types = dict(e.df.dtypes)
+        made = rows.withColumns({e.src: F.col("_from").cast(types[e.src]), e.dst: F.col("_to").cast(types[e.dst])}).drop("_from", "_to")
+        if merge:
+            made = made.distinct()
+            have = e.df.select(*[F.col(c).alias(f"_h_{c}") for c in made.columns if c in types])
+            on = [made[c].eqNullSafe(have[f"_h_{c}"]) for c in made.columns if c in types]
+            made = made.join(have, on, "left_anti") if set(made.columns) <= set(types) else made
+        tables[at] = replace(e, df=e.df.unionByName(made, allowMissingColumns=True))
+        return replace(self, edges=self.edges | {name: tables})
+
+    def unlink(self, gone: DataFrame) -> Graph:
+        """Edges go that equal a row of ``gone``: _type, _src, _dst and properties."""
+        edges = {}
+        for name, tables in self.edges.items():
+            edges[name] = []
+            for e in tables:
+                mine = gone.where(F.col("_type") == name)
+                shared = [c for c in e.df.columns if c in mine.columns and c not in (e.src, e.dst)]
+                mine = mine.select("_src", "_dst", *[F.col(c).alias(f"_g_{c}") for c in shared])
+                on = [e.df[e.src].cast("string") == mine["_src"], e.df[e.dst].cast("string") == mine["_dst"], *[e.df[c].eqNullSafe(mine[f"_g_{c}"]) for c in shared]]
+                edges[name].append(replace(e, df=e.df.join(mine, on, "left_anti")))
+        return replace(self, edges=edges)
+
     def merge(self, label: str, rows: DataFrame, on: list[str]) -> Graph:
         """Rows whose ``on`` properties match no vertex are created."""
         df, _ = self.vertices[label]

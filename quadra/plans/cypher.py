@@ -106,17 +106,8 @@ class _Parser(Cursor):
                 out.append(("create", self.patterns()))
             elif self.word("MERGE"):
                 out.append(("merge", self.patterns()))
-            elif self.word("FOREACH"):
-                self.need("(")
-                var = self.name()
-                self.need_word("IN")
-                xs = self.expr()
-                self.need("|")
-                inner = []
-                while not self.op(")"):
-                    kind = self.need_word("CREATE", "MERGE")
-                    inner.append((kind.lower(), self.patterns()))
-                out.append(("foreach", var, xs, inner))
+            elif self.is_word("FOREACH"):
+                out.append(self.inner_change())
             elif self.word("SET"):
                 out.append(("set", self.assignments()))
             elif self.word("REMOVE"):
@@ -126,11 +117,31 @@ class _Parser(Cursor):
             elif self.is_word("DETACH", "DELETE"):
                 detach = bool(self.word("DETACH"))
                 self.need_word("DELETE")
-                out.append(("delete", self.name(), detach))
+                names = [self.name()]
+                while self.op(","):
+                    names.append(self.name())
+                out.append(("delete", names, detach))
             else:
                 self.fault("unsupported clause")
         return out
 
+    def inner_change(self) -> tuple:
+        """One changing clause of a FOREACH body."""
+        kind = self.need_word("CREATE", "MERGE", "SET", "FOREACH")
+        if kind == "SET":
+            return ("set", self.assignments())
+        if kind != "FOREACH":
+            return (kind.lower(), self.patterns())
+        self.need("(")
+        var = self.name()
+        self.need_word("IN")
+        xs = self.expr()
+        self.need("|")
+        inner = []
+        while not self.op(")"):
+            inner.append(self.inner_change())
+        return ("foreach", var, xs, inner)
+
     def assignments(self) -> list[tuple]:
         out = []
         while True:
@@ -405,7 +416,15 @@ def _has_agg(e: Any) -> bool:
 
 
 def _lit(v: Any) -> Column:
-    return F.array(*[_lit(x) for x in v]) if isinstance(v, (list, tuple)) else F.lit(v)
+    if isinstance(v, (list, tuple)):
+        if v and all(isinstance(x, dict) for x in v):
+            # maps of one list have all its keys
+            keys = list(dict.fromkeys(k for x in v for k in x))
+            v = [{k: x.get(k) for k in keys} for x in v]
+        return F.array(*[_lit(x) for x in v])
+    if isinstance(v, dict):
+        return F.struct(*[_lit(x).alias(k) for k, x in v.items()])
+    return F.lit(v)
 
 
 class _Run:
@@ -429,12 +448,9 @@ class _Run:
             elif kind == "call":
                 rows = self.subquery(c[1], c[2], rows)
             elif kind == "foreach":
-                base = self.spark.range(1).select() if rows is None else rows
-                each = base.select("*", F.explode(self.value(c[2], base)).alias(c[1]))
-                for x in c[3]:
-                    self.change(x, each)
+                self.foreach(c, self.spark.range(1).select() if rows is None else rows)
             elif kind in ("create", "merge", "set", "delete"):
-                self.change(c, rows)
+                rows = self.change(c, self.spark.range(1).select() if rows is None else rows)
             else:
                 raise SyntaxFault(f"{kind} is not supported here")
         return rows
@@ -741,32 +757,81 @@ class _Run:
             return F.char_length(xs[0]) if kind == "string" else F.size(xs[0])
         raise SyntaxFault(f"function {name} is not supported")
 
-    # changing
+    # changing; each change gives the rows that a RETURN after it sees
+
+    def foreach(self, c: tuple, rows: DataFrame) -> None:
+        each = rows.select("*", F.explode(self.value(c[2], rows)).alias(c[1]))
+        for x in c[3]:
+            if x[0] == "foreach":
+                self.foreach(x, each)
+            else:
+                each = self.change(x, each)
 
-    def change(self, c: tuple, rows: DataFrame | None) -> None:
-        base = self.spark.range(1).select() if rows is None else rows
+    def change(self, c: tuple, rows: DataFrame) -> DataFrame:
         if c[0] in ("create", "merge"):
             for path in c[1]:
-                if len(path) > 1:
-                    raise SyntaxFault("edges are created through their tables")
-                n = path[0]
-                made = base.select(*[self.value(e, base).alias(k) for k, e in n.props])
-                self.graph = self.graph.create(n.label, made) if c[0] == "create" else self.graph.merge(n.label, made.distinct(), [k for k, _ in n.props])
+                for n in path[::2]:
+                    if n.var not in rows.columns:
+                        rows = self.new_node(n, rows, c[0] == "merge")
+                for a, rel, b in zip(path[::2], path[1::2], path[2::2], strict=False):
+                    self.new_edge(a, rel, b, rows, c[0] == "merge")
         elif c[0] == "set":
             for var, prop, e in c[1]:
-                label = rows.select(f"{var}._label").first()
-                if label is None:
-                    return
-                df, key = self.graph.vertices[label[0]]
-                new = rows.select(F.col(f"{var}._id").alias("_hit"), (F.lit(None) if e is None else self.value(e, rows)).alias("_new")).dropDuplicates(["_hit"])
-                joined = df.join(new, F.col(key).cast("string") == F.col("_hit"), "left")
-                old = F.col(prop) if prop in df.columns else F.lit(None)
-                joined = joined.withColumn(prop, F.when(F.col("_hit").isNotNull(), F.col("_new")).otherwise(old)).drop("_hit", "_new")
-                self.graph = replace(self.graph, vertices=self.graph.vertices | {label[0]: (joined, key)})
+                rows = self.assign(rows, var, prop, e)
+        else:
+            for var in c[1]:
+                fields = [f.name for f in rows.schema[var].dataType.fields]
+                if "_type" in fields:
+                    self.graph = self.graph.unlink(rows.select(f"{var}.*").distinct())
+                    continue
+                for label in self.labels(rows, var):
+                    self.graph = self.graph.delete(label, rows.where(F.col(f"{var}._label") == label).select(F.col(f"{var}._id").alias("id")), c[2])
+        return rows
+
+    def labels(self, rows: DataFrame, *variables: str) -> list:
+        """The labels that occur: as many rows as there are vertex tables, or pairs of them."""
+        found = [tuple(r) for r in rows.select(*[F.col(f"{v}._label").alias(f"l{i}") for i, v in enumerate(variables)]).distinct().collect() if None not in tuple(r)]
+        return sorted(found) if len(variables) > 1 else sorted(x for x, in found)
+
+    def new_node(self, n: Node, rows: DataFrame, merge: bool) -> DataFrame:
+        if n.label is None:
+            raise SyntaxFault("a new vertex needs a label")
+        made = rows.select(*[self.value(e, rows).alias(k) for k, e in n.props])
+        if merge and n.label in self.graph.vertices:
+            self.graph = self.graph.merge(n.label, made.distinct(), [k for k, _ in n.props])
         else:
-            label = rows.select(f"{c[1]}._label").first()
-            if label is not None:
-                self.graph = self.graph.delete(label[0], rows.select(F.col(f"{c[1]}._id").alias("id")), c[2])
+            self.graph = self.graph.create(n.label, made.distinct() if merge else made)
+        if merge:
+            return self.path([n], rows)
+        key = self.graph.vertices[n.label][1]
+        own = [self.value(e, rows).alias(k) for k, e in n.props]
+        ident = [self.value(e, rows) for k, e in n.props if k == key] or [F.lit(None)]
+        return rows.withColumn(n.var, F.struct(*own, ident[0].cast("string").alias("_id"), F.lit(n.label).alias("_label")))
+
+    def new_edge(self, a: Node, rel: Rel, b: Node, rows: DataFrame, merge: bool) -> None:
+        if rel.direction == "both" or rel.span or len(rel.types) != 1:
+            raise SyntaxFault("a new edge has one type, one direction and one step")
+        a, b = (b, a) if rel.direction == "in" else (a, b)
+        ends = [F.col(f"{a.var}._id").alias("_from"), F.col(f"{b.var}._id").alias("_to")]
+        for la, lb in self.labels(rows, a.var, b.var):
+            some = rows.where((F.col(f"{a.var}._label") == la) & (F.col(f"{b.var}._label") == lb))
+            made = some.select(*ends, *[self.value(e, some).alias(k) for k, e in rel.props])
+            self.graph = self.graph.link(rel.types[0], la, lb, made, merge)
+
+    def assign(self, rows: DataFrame, var: str, prop: str, e: tuple | None) -> DataFrame:
+        """SET or REMOVE of one property, in every vertex table whose label occurs."""
+        if "_type" in [f.name for f in rows.schema[var].dataType.fields]:
+            raise SyntaxFault("properties of edges are set by deleting and creating them")
+        have = {f.name: f.dataType for f in rows.schema[var].dataType.fields}
+        value = self.value(e, rows) if e is not None else F.lit(None).cast(have.get(prop, "string"))
+        for label in self.labels(rows, var):
+            df, key = self.graph.vertices[label]
+            new = rows.where(F.col(f"{var}._label") == label).select(F.col(f"{var}._id").alias("_hit"), value.alias("_new")).dropDuplicates(["_hit"])
+            joined = df.join(new, F.col(key).cast("string") == F.col("_hit"), "left")
+            old = F.col(prop) if prop in df.columns else F.lit(None)
+            joined = joined.withColumn(prop, F.when(F.col("_hit").isNotNull(), F.col("_new")).otherwise(old)).drop("_hit", "_new")
+            self.graph = replace(self.graph, vertices=self.graph.vertices | {label: (joined, key)})
+        return rows.withColumn(var, F.col(var).withField(prop, value))
 
 
 def run(graph: Graph, spark: SparkSession, text: str, params: dict[str, Any] | None = None) -> tuple[DataFrame | None, Graph]:

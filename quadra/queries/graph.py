@@ -91,3 +91,27 @@ def cy_foreach(spark: SparkSession, d: str) -> DataFrame:
 
 
 REGISTERED["cy_foreach"] = (cy_foreach, "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 10, 'NEW' UNION ALL SELECT 11, 'NEW'")
+
+
+def _after(name: str, changes: list[str], text: str, oracle: str, params: dict | None = None) -> None:
+    """The rows of ``text`` on the graph after ``changes``."""
+
+    def go(spark: SparkSession, d: str) -> DataFrame:
+        g = graph(spark, d)
+        for c in changes:
+            _, g = cypher.run(g, spark, c, params)
+        return cypher.query(g, spark, text)
+
+    REGISTERED[name] = (go, oracle)
+
+
+_after("cy_create_edges", ["MATCH (n:Nation), (r:Region) WHERE n.n_regionkey = r.r_regionkey AND r.r_regionkey < 2 CREATE (r)-[:HOLDS {since: n.n_nationkey}]->(n)"], "MATCH (r:Region)-[h:HOLDS]->(n:Nation) RETURN r.r_name AS region, n.n_name AS nation, h.since AS since",
+       "SELECT r_name AS region, n_name AS nation, n_nationkey AS since FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 2")
+_after("cy_merge_edges", 2 * ["MATCH (a:Customer {c_custkey: 1}), (b:Customer {c_custkey: 4}) MERGE (a)-[:KNOWS {weight: 77}]->(b)"], "MATCH (a:Customer {c_custkey: 1})-[k:KNOWS {weight: 77}]->(b:Customer) RETURN b.c_custkey AS b, k.weight AS w", "SELECT 4 AS b, 77 AS w")
+_after("cy_create_path", ["CREATE (a:Region {r_regionkey: 20, r_name: 'NEW'})<-[:PART_OF]-(b:Nation {n_nationkey: 90, n_name: 'LAND'})"], "MATCH (n:Nation)-[:PART_OF]->(r:Region) WHERE r.r_regionkey > 3 RETURN n.n_name AS nation, r.r_name AS region",
+       "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 3 UNION ALL SELECT 'LAND', 'NEW'")
+_after("cy_delete_edges", ["MATCH (a:Customer)-[k:KNOWS {weight: 2}]->(b:Customer) DELETE k"], "MATCH (a:Customer)-[k:KNOWS]->(b:Customer) RETURN k.weight AS w, count(*) AS n", "SELECT c_custkey % 5 AS w, count(*) AS n FROM customer WHERE c_custkey % 5 <> 2 GROUP BY 1")
+_after("cy_unwind_create", ["UNWIND $rows AS row CREATE (:Region {r_regionkey: row.k, r_name: row.name})"], "MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS name",
+       "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 30, 'X' UNION ALL SELECT 31, NULL", {"rows": [{"k": 30, "name": "X"}, {"k": 31}]})
+_cy("cy_set_return", "MATCH (n:Nation {n_regionkey: 1}) SET n.n_name = 'HERE', n.twice = n.n_nationkey * 2 RETURN n.n_nationkey AS k, n.n_name AS name, n.twice AS twice", "SELECT n_nationkey AS k, 'HERE' AS name, n_nationkey * 2 AS twice FROM nation WHERE n_regionkey = 1")
+_cy("cy_create_return", "MATCH (r:Region) CREATE (n:Town {id: r.r_regionkey + 100, of: r.r_name}) RETURN n.id AS id, n.of AS region", "SELECT r_regionkey + 100 AS id, r_name AS region FROM region")
