@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Names that the front ends may call.
+USER_FUNCTIONS: set[str] = set()
+
+
 def create_function(spark: SparkSession, name: str, arguments: str, returns: str, body: str, replace: bool = False) -> None:
     """A scalar function whose body is a SQL expression; Catalyst inlines it."""
     spark.sql(f"CREATE {'OR REPLACE ' if replace else ''}TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
+    USER_FUNCTIONS.add(name.lower())
 
 
 def register_python(spark: SparkSession, name: str, f: Callable, returns: str, null_on_null: bool = True):
@@ -24,6 +29,7 @@ def register_python(spark: SparkSession, name: str, f: Callable, returns: str, n
         rows = [[None if pd.isna(x) is True else x for x in r] for r in zip(*columns, strict=True)]
         return pd.Series([None if null_on_null and any(x is None for x in r) else f(*r) for r in rows], dtype=object)
 
+    USER_FUNCTIONS.add(name.lower())
     udf = F.pandas_udf(run, returns)
     return spark.udf.register(name, udf)
 

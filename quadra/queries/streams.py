@@ -75,3 +75,19 @@ REGISTERED["view_ops"] = (lambda spark, d: views.view_delta(*_base(spark, d), _V
                           f"""SELECT op, count(*) AS n FROM (
   SELECT CASE WHEN o.o_custkey IS NOT NULL AND (n.o_custkey IS NULL) THEN 'delete' WHEN n.o_custkey IS NOT NULL AND (o.o_custkey IS NULL OR o.o_totalprice <> n.o_totalprice) THEN 'upsert' END AS op
   FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.o_orderkey = n.o_orderkey) WHERE op IS NOT NULL GROUP BY op""")
+
+
+def subscribe_statement(spark: SparkSession, d: str) -> DataFrame:
+    """Two polls of a subscribed query while its table grows: the second gives what is new or changed."""
+    from quadra.plans import cql
+    from quadra.streaming.subscribe import parse
+
+    e = table(spark, d, "events")
+    catalog = {"events": cql.Table(e.where("event_id < 500"), ["user_id"], ["event_id"])}
+    s = parse("SUBSCRIBE SELECT event_id, value FROM events WHERE user_id = 5 EVERY 5s DELTA", lambda text: cql.select(catalog, text))
+    s.poll()
+    catalog["events"] = cql.Table(e, ["user_id"], ["event_id"])
+    return s.poll()
+
+
+REGISTERED["subscribe_statement"] = (subscribe_statement, "SELECT event_id, value FROM events WHERE user_id = 5 AND event_id >= 500")

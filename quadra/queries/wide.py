@@ -153,3 +153,44 @@ def exchange_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 REGISTERED["exchange_endpoints"] = (exchange_endpoints, "SELECT o_orderkey, o_custkey FROM orders")
+
+
+def _writes(name: str, statements: list[str], text: str, oracle: str) -> None:
+    """The rows of ``text`` after ``statements``, or without it what the last of them answers."""
+
+    def go(spark: SparkSession, d: str) -> DataFrame:
+        from quadra.plans import writes
+
+        catalog, answer = _catalog(spark, d), None
+        for s in statements:
+            catalog, answer = writes.execute(catalog, s)
+        return cql.select(catalog, text) if text else answer.select(F.col("[applied]").alias("applied"))
+
+    REGISTERED[name] = (go, oracle)
+
+
+_writes("cql_write", ["INSERT INTO items (l_orderkey, l_linenumber, l_partkey) VALUES (900000, 1, 5)", "UPDATE items SET l_quantity = 7 WHERE l_orderkey = 3 AND l_linenumber IN (1, 2)", "DELETE FROM items WHERE l_orderkey = 5 AND l_linenumber > 1", "DELETE l_quantity FROM items WHERE l_orderkey = 6 AND l_linenumber = 1"],
+        "SELECT * FROM items", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey = 3 AND l_linenumber IN (1, 2) THEN 7 WHEN l_orderkey = 6 AND l_linenumber = 1 THEN NULL ELSE l_quantity END AS l_quantity
+  FROM lineitem WHERE NOT (l_orderkey = 5 AND l_linenumber > 1) UNION ALL SELECT 900000, 1, 5, NULL
+  UNION ALL SELECT 3, n, NULL, 7 FROM (VALUES (1), (2)) v(n) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = 3 AND l_linenumber = n)""")
+_writes("cql_batch_collections", ["BEGIN BATCH UPDATE tagged SET tags = tags + {'new'}, props['k'] = 'v' WHERE o_orderkey = 1; UPDATE tagged SET tags = tags - {'new'} WHERE o_orderkey = 1; UPDATE tagged SET props = props + {'a': 'b'} WHERE o_orderkey IN (1, 2) APPLY BATCH"],
+        "SELECT o_orderkey, props['a'] AS a, props['k'] AS k FROM tagged", "SELECT o_orderkey, CASE WHEN o_orderkey IN (1, 2) THEN 'b' END AS a, CASE WHEN o_orderkey = 1 THEN 'v' END AS k FROM orders")
+_writes("cql_if_exists", ["UPDATE nation SET n_name = 'X' WHERE n_nationkey = 3 IF n_regionkey IN (0, 1, 2, 3, 4) AND n_name != 'X'", "INSERT INTO nation (n_nationkey, n_name) VALUES (3, 'Y') IF NOT EXISTS"], "", "SELECT false AS applied")
+_cql("cql_fts_equals", "SELECT doc_id FROM documents WHERE text = fts_match('erst AND sting')", REGISTERED["cql_fts_match"][1])
+_cql("cql_token_of", "SELECT COUNT(*) AS n FROM orders WHERE token(o_orderkey) >= token(3) AND token(o_orderkey) <= token(3)", "SELECT 1::BIGINT AS n")
+_cql("cql_time_shift", "SELECT event_id FROM events WHERE ts >= '2024-01-31' - 1mo2d AND ts < '2024-01-02' + 36h ALLOW FILTERING", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 1 MONTH - INTERVAL 2 DAY AND ts < TIMESTAMP '2024-01-03 12:00:00'")
+
+
+def cql_user_functions(spark: SparkSession, d: str) -> DataFrame:
+    """A scalar function within a fold, both by statement."""
+    from quadra.plans.ddl import Registry
+
+    r = Registry(spark)
+    for text in ("CREATE OR REPLACE FUNCTION add_square (state double, val double) CALLED ON NULL INPUT RETURNS double LANGUAGE sql AS 'state + val * val'",
+                 "CREATE OR REPLACE FUNCTION root (state double) RETURNS NULL ON NULL INPUT RETURNS double LANGUAGE sql AS $$SELECT sqrt(state)$$",
+                 "CREATE AGGREGATE norm (double) SFUNC add_square STYPE double FINALFUNC root INITCOND 0.0"):
+        r.run(text)
+    return cql.select(_catalog(spark, d), "SELECT norm(value) AS norm FROM events WHERE user_id = 5", functions=r.functions()).select(F.round("norm", 4).alias("norm"))
+
+
+REGISTERED["cql_user_functions"] = (cql_user_functions, "SELECT round(sqrt(sum(value * value)), 4) AS norm FROM events WHERE user_id = 5")
