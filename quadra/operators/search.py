@@ -77,8 +77,8 @@ def analyze(c: Column, analyzer: str = "standard") -> Column:
     """Tokens of a text: standard drops stop words, simple keeps them, keyword is the whole text."""
     if analyzer == "keyword":
         return F.array(c)
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return words if analyzer == "simple" else F.filter(words, lambda x: ~x.isin(STOP))
+    dropped = [""] if analyzer == "simple" else ["", *STOP]
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: ~x.isin(dropped))
 
 
 def _porter(w: str) -> str:
@@ -134,6 +134,43 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [_porter(w) for w in ws])
 
 
+def _bm25(tf: Column, df: Column) -> Column:
+    """One term's part of a score, beside columns n, dl and avgdl."""
+    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def _has_prefix(tree: tuple) -> bool:
+    return tree[0] == "prefix" or tree[0] == "or" and any(map(_has_prefix, tree[1:])) or tree[0] == "and" and any(map(_has_prefix, tree[1] + tree[2]))
+
+
+def _words(tree: tuple) -> list[str]:
+    if tree[0] in ("or", "and"):
+        parts = tree[1:] if tree[0] == "or" else tree[1] + tree[2]
+        return [w for t in parts for w in _words(t)]
+    return list(tree[1])
+
+
+def _score_column(tree: tuple, part: dict[str, Column]) -> Column:
+    """A tree's score from its words' parts; null where it does not match."""
+    kind = tree[0]
+    if kind == "or":
+        return F.greatest(_score_column(tree[1], part), _score_column(tree[2], part))
+    if kind == "and":
+        hits = [_score_column(t, part) for t in tree[1]]
+        out = F.lit(1.0) if not hits else hits[0]
+        for h in hits[1:]:
+            out = out + h
+        for t in tree[2]:
+            out = F.when(_score_column(t, part).isNull(), out)
+        return out
+    total, some, every = F.lit(0.0), F.lit(False), F.lit(True)
+    for w in dict.fromkeys(tree[1]):
+        total = total + F.coalesce(part[w], F.lit(0.0))
+        some, every = some | part[w].isNotNull(), every & part[w].isNotNull()
+    return F.when((every & some) if kind == "phrase" else some, total)
+
+
 class TextIndex:
     """Postings (doc, term, tf) with document lengths; scores are BM25."""
 
@@ -152,13 +189,45 @@ class TextIndex:
         df_ = post.groupBy("term").agg(F.count("*").alias("df"))
         # one row of statistics, and one per query term
         x = post.join(F.broadcast(df_) if prefix is None else df_, "term").crossJoin(F.broadcast(self._stats()))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        bm25 = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return x.groupBy("doc").agg(F.sum(bm25).alias("score"))
+        return x.groupBy("doc").agg(F.sum(_bm25(F.col("tf"), F.col("df"))).alias("score"))
 
     def match(self, query: str) -> DataFrame:
-        """Terms, AND, OR, NOT, ``prefix*`` and "phrases" (all words, in any order), with parentheses."""
-        return _TextQuery(self, query).run()
+        """Terms, AND, OR, NOT, ``prefix*`` and "phrases" (all words, in any order), with parentheses.
+
+        Without prefixes the words are known: one pass counts them and one scores, with no posting shuffled.
+        """
+        tree = _TextQuery(self, query).run()
+        return self._joined(tree) if _has_prefix(tree) else self._scored(tree)
+
+    def _scored(self, tree: tuple) -> DataFrame:
+        words = list(dict.fromkeys(_words(tree)))
+        # few words are left of a text before each is counted
+        wanted = self.docs.select("doc", "dl", F.filter("terms", lambda x: x.isin(words)).alias("hits"))
+        times = lambda w: F.size(F.filter("hits", lambda x: x == w))
+        counted = wanted.select("doc", "dl", *[times(w).alias(f"tf{i}") for i, w in enumerate(words)])
+        found = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]
+        stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *found)
+        x = counted.crossJoin(F.broadcast(stats))  # one row
+        part = {w: F.when(F.col(f"tf{i}") > 0, _bm25(F.col(f"tf{i}"), F.col(f"df{i}"))) for i, w in enumerate(words)}
+        return x.select("doc", _score_column(tree, part).alias("score")).where("score is not null")
+
+    def _joined(self, tree: tuple) -> DataFrame:
+        kind = tree[0]
+        if kind == "or":
+            # an entry that both sides hold keeps the larger score
+            return self._joined(tree[1]).unionByName(self._joined(tree[2])).groupBy("doc").agg(F.max("score").alias("score"))
+        if kind == "and":
+            out = None
+            for t in tree[1]:
+                x = self._joined(t)
+                out = x if out is None else out.join(x.withColumnRenamed("score", "s2"), "doc").select("doc", (F.col("score") + F.col("s2")).alias("score"))
+            out = self.docs.select("doc", F.lit(1.0).alias("score")) if out is None else out
+            for t in tree[2]:
+                out = out.join(self._joined(t), "doc", "left_anti")
+            return out
+        if kind == "prefix":
+            return self.score_terms(None, tree[1])
+        return self._scored(tree)
 
     def top(self, query: str, k: int) -> DataFrame:
         return self.match(query).orderBy(F.col("score").desc(), "doc").limit(k)
@@ -170,7 +239,7 @@ class _TextQuery:
         self.toks = re.findall(r'"[^"]*"|\(|\)|[^\s()]+', query)
         self.i = 0
 
-    def run(self) -> DataFrame:
+    def run(self) -> tuple:
         out = self.either()
         if self.i < len(self.toks):
             raise ValueError(f"unexpected {self.toks[self.i]!r} in the search")
@@ -179,16 +248,15 @@ class _TextQuery:
     def peek(self) -> str | None:
         return self.toks[self.i] if self.i < len(self.toks) else None
 
-    def either(self) -> DataFrame:
+    def either(self) -> tuple:
         out = self.both()
         while self.peek() == "OR":
             self.i += 1
-            # an entry that both sides hold keeps the larger score
-            out = out.unionByName(self.both()).groupBy("doc").agg(F.max("score").alias("score"))
+            out = ("or", out, self.both())
         return out
 
-    def both(self) -> DataFrame:
-        out, negative = None, []
+    def both(self) -> tuple:
+        positive, negative = [], []
         while self.peek() not in (None, ")", "OR"):
             if self.peek() == "AND":
                 self.i += 1
@@ -196,15 +264,10 @@ class _TextQuery:
                 self.i += 1
                 negative.append(self.unit())
             else:
-                x = self.unit()
-                out = x if out is None else out.join(x.withColumnRenamed("score", "s2"), "doc").select("doc", (F.col("score") + F.col("s2")).alias("score"))
-        if out is None:
-            if not negative:
-                raise ValueError("an empty search")
-            out = self.index.docs.select("doc", F.lit(1.0).alias("score"))
-        for x in negative:
-            out = out.join(x, "doc", "left_anti")
-        return out
+                positive.append(self.unit())
+        if not positive and not negative:
+            raise ValueError("an empty search")
+        return positive[0] if len(positive) == 1 and not negative else ("and", positive, negative)
 
     def words(self, text: str) -> list[str]:
         if self.index.analyzer == "keyword":
@@ -212,9 +275,11 @@ class _TextQuery:
         found = [w for w in re.split(r"[\W_]+", text.lower()) if w]
         return [w for w in found if w not in STOP] if self.index.analyzer == "standard" else found
 
-    def unit(self) -> DataFrame:
+    def unit(self) -> tuple:
         t = self.peek()
         self.i += 1
+        if t is None:
+            raise ValueError("a search ends too soon")
         if t == "(":
             out = self.either()
             if self.peek() != ")":
@@ -222,9 +287,7 @@ class _TextQuery:
             self.i += 1
             return out
         if t.startswith('"'):
-            terms = list(dict.fromkeys(self.words(t[1:-1])))
-            hit = self.index.docs.where(F.forall(F.array(*[F.lit(x) for x in terms]), lambda x: F.array_contains("terms", x))).select("doc")
-            return self.index.score_terms(terms).join(hit, "doc", "left_semi")
+            return ("phrase", self.words(t[1:-1]))
         if t.endswith("*"):
-            return self.index.score_terms(None, t[:-1].lower())
-        return self.index.score_terms(self.words(t))
+            return ("prefix", t[:-1].lower())
+        return ("terms", self.words(t))

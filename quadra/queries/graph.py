@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,27 +14,47 @@ from quadra.sources.tables import table
 REGISTERED: dict = {}
 
 
-def graph(spark: SparkSession, d: str) -> Graph:
-    t = {n: table(spark, d, n) for n in ("customer", "orders", "part", "supplier", "nation", "region", "lineitem")}
-    c = t["customer"]
-    size = c.agg((F.max("c_custkey") + 1).alias("n"))
-    ring = c.crossJoin(F.broadcast(size))  # one row on the right
-    knows = ring.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % F.col("n")).alias("dst"), (F.col("c_custkey") % 5).alias("weight"))
-    return Graph(
-        {"Customer": (c, "c_custkey"), "Order": (t["orders"], "o_orderkey"), "Part": (t["part"], "p_partkey"), "Supplier": (t["supplier"], "s_suppkey"), "Nation": (t["nation"], "n_nationkey"), "Region": (t["region"], "r_regionkey")},
-        {
-            "PLACED": [Edges(t["orders"].select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey", "Customer", "Order")],
-            "CONTAINS_PART": [Edges(t["lineitem"].select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey", "l_partkey", "Order", "Part")],
-            "SUPPLIES": [Edges(t["lineitem"].select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey", "Supplier", "Part")],
-            "IN_NATION": [Edges(c.select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", "Customer", "Nation"), Edges(t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", "Supplier", "Nation")],
-            "PART_OF": [Edges(t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", "Nation", "Region")],
-            "KNOWS": [Edges(knows, "src", "dst", "Customer", "Customer")],
-        })
+_VERTICES = {"Customer": ("customer", "c_custkey"), "Order": ("orders", "o_orderkey"), "Part": ("part", "p_partkey"), "Supplier": ("supplier", "s_suppkey"), "Nation": ("nation", "n_nationkey"), "Region": ("region", "r_regionkey")}
+# type: (table, source column, target column, source label, target label, further columns)
+_EDGES = {
+    "PLACED": [("orders", "o_custkey", "o_orderkey", "Customer", "Order", ["o_orderdate"])],
+    "CONTAINS_PART": [("lineitem", "l_orderkey", "l_partkey", "Order", "Part", ["l_quantity"])],
+    "SUPPLIES": [("lineitem", "l_suppkey", "l_partkey", "Supplier", "Part", None)],
+    "IN_NATION": [("customer", "c_custkey", "c_nationkey", "Customer", "Nation", []), ("supplier", "s_suppkey", "s_nationkey", "Supplier", "Nation", [])],
+    "PART_OF": [("nation", "n_nationkey", "n_regionkey", "Nation", "Region", [])],
+    "KNOWS": [("customer", "src", "dst", "Customer", "Customer", ["weight"])],
+}
+
+
+def graph(spark: SparkSession, d: str, text: str = "") -> Graph:
+    """The labels and types that ``text`` names, with the labels at their ends (all for an empty text)."""
+    types = {t for t in _EDGES if not text or re.search(rf":{t}\b", text)}
+    labels = {x for x in _VERTICES if not text or re.search(rf":{x}\b", text)} | {x for t in types for e in _EDGES[t] for x in e[3:5]}
+    read: dict[str, DataFrame] = {}
+
+    def load(name: str) -> DataFrame:
+        if name not in read:
+            read[name] = table(spark, d, name)
+        return read[name]
+
+    def edges(kind: str, name: str, src: str, dst: str, source: str, target: str, more: list[str] | None) -> Edges:
+        df = load(name)
+        if kind == "KNOWS":
+            size = df.agg((F.max("c_custkey") + 1).alias("n"))
+            ring = df.select("c_custkey").crossJoin(F.broadcast(size))  # one row on the right
+            df = ring.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % F.col("n")).alias("dst"), (F.col("c_custkey") % 5).alias("weight"))
+        elif more is None:
+            df = df.select(src, dst).distinct()
+        else:
+            df = df.select(src, dst, *more)
+        return Edges(df, src, dst, source, target)
+
+    return Graph({x: (load(_VERTICES[x][0]), _VERTICES[x][1]) for x in _VERTICES if x in labels}, {t: [edges(t, *e) for e in _EDGES[t]] for t in _EDGES if t in types})
 
 
 def _cy(name: str, text: str, oracle: str | None, after=None, params: dict | None = None) -> None:
     def go(spark: SparkSession, d: str) -> DataFrame:
-        out = cypher.query(graph(spark, d), spark, text, params)
+        out = cypher.query(graph(spark, d, text), spark, text, params)
         return after(out) if after else out
 
     REGISTERED[name] = (go, oracle)
@@ -97,7 +119,7 @@ def _after(name: str, changes: list[str], text: str, oracle: str, params: dict |
     """The rows of ``text`` on the graph after ``changes``."""
 
     def go(spark: SparkSession, d: str) -> DataFrame:
-        g = graph(spark, d)
+        g = graph(spark, d, " ".join([*changes, text]))
         for c in changes:
             _, g = cypher.run(g, spark, c, params)
         return cypher.query(g, spark, text)

@@ -76,7 +76,8 @@ def system_columns(spark: SparkSession, names: Iterable[str]) -> DataFrame:
 def pages(df: DataFrame, keys: list[str], size: int, after: tuple | None = None) -> DataFrame:
     """One page in key order: rows whose key follows ``after``, by value, so no row is counted to be skipped."""
     if after is not None:
-        df = df.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)]))
+        # the first key's own bound is for the scan
+        df = df.where(F.col(keys[0]) >= F.lit(after[0])).where(F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)]))
     return df.orderBy(*keys).limit(size)
 
 
