@@ -74,3 +74,43 @@ def cell(lat: Column, lon: Column, level: int) -> Column:
 def nearest(df: DataFrame, lat: str, lon: str, key: str, lat0: float, lon0: float, k: int) -> DataFrame:
     """The k nearest rows; Spark keeps k rows per task and merges them."""
     return df.withColumn("distance", haversine(F.col(lat), F.col(lon), lat0, lon0)).orderBy("distance", key).limit(k)
+
+
+def cover(south: float, west: float, north: float, east: float, level: int) -> list[tuple[int, int]]:
+    """Ranges [first, last] of cell ids at ``level`` that meet a box; neighbouring ranges are joined.
+
+    A quarter that lies wholly inside is one range, so the list grows with the box's edge and not with its area. A box
+    whose west lies east of its east crosses the antimeridian and is covered in two parts.
+    """
+    if west > east:
+        parts = sorted(cover(south, west, north, 180.0, level) + cover(south, -180.0, north, east, level))
+    else:
+        parts = []
+
+        def visit(y: float, x: float, height: float, width: float, first: int, depth: int) -> None:
+            if y > north or x > east or y + height < south or x + width < west:
+                return
+            inside = south <= y and y + height <= north and west <= x and x + width <= east
+            size = 1 << (2 * (level - depth))
+            if inside or depth == level:
+                parts.append((first, first + size - 1))
+                return
+            for q in range(4):
+                visit(y + (q >> 1) * height / 2, x + (q & 1) * width / 2, height / 2, width / 2, first + q * (size // 4), depth + 1)
+
+        visit(-90.0, -180.0, 180.0, 360.0, 0, 0)
+    out: list[tuple[int, int]] = []
+    for a, b in parts:
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def in_ranges(cells: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a cell column lies in a cover's ranges: plain bounds, which a scan of a clustered table can use."""
+    out = F.lit(False)
+    for a, b in ranges:
+        out = out | cells.between(a, b)
+    return out

@@ -116,3 +116,38 @@ def json_key(s):  # noqa: ANN001, ANN201
         return json.dumps(x, ensure_ascii=False)
 
     return s.map(lambda t: None if t is None else plain(json.loads(t, parse_float=Decimal, parse_int=Decimal)))
+
+
+def _json_bytes(x, top: bool = False) -> bytes:  # noqa: ANN001
+    """Bytes that compare as the values do; see ``json_sort_key``."""
+    from decimal import Decimal
+
+    text = lambda t: t.encode().replace(b"\0", b"\0\xff") + b"\0\0"
+    if x is None:
+        return b"\x01"
+    if isinstance(x, bool):
+        return b"\x04\x01" if x else b"\x04\x00"
+    if isinstance(x, str):
+        return b"\x02" + text(x)
+    if isinstance(x, Decimal):
+        if not x:
+            return b"\x03\x80"
+        _, digits, _ = x.normalize().as_tuple()
+        body = (x.adjusted() + (1 << 62)).to_bytes(8, "big") + bytes(d + 1 for d in digits) + b"\0"
+        return b"\x03\x81" + body if x > 0 else b"\x03\x7f" + bytes(255 - b for b in body)
+    if isinstance(x, list):
+        if top and not x:
+            return b"\x00"
+        return b"\x05" + len(x).to_bytes(4, "big") + b"".join(map(_json_bytes, x))
+    pairs = sorted(x.items(), key=lambda kv: (len(kv[0].encode()), kv[0].encode()))
+    return b"\x06" + len(x).to_bytes(4, "big") + b"".join(len(k.encode()).to_bytes(4, "big") + k.encode() + _json_bytes(v) for k, v in pairs)
+
+
+@F.pandas_udf(T.BinaryType())
+def json_sort_key(s):  # noqa: ANN001, ANN201
+    """Sort key of JSON values: null < string < number < boolean < array < object, and an empty array as a whole value
+    before them all; numbers by exact value, arrays by length, objects by number of pairs and keys by length first."""
+    import json
+    from decimal import Decimal
+
+    return s.map(lambda t: None if t is None else _json_bytes(json.loads(t, parse_float=Decimal, parse_int=Decimal), True))

@@ -94,3 +94,13 @@ def phonetic_codes(spark: SparkSession, d: str) -> DataFrame:
 
 # the tables' names are NATION and a number: one code of each kind
 REGISTERED["phonetic_codes"] = (phonetic_codes, "SELECT n_nationkey, 'N350' AS soundex, 'NXN' AS metaphone, 'NXN' AS double_metaphone, 'nsn1111111' AS caverphone FROM nation WHERE n_name LIKE 'NATION%'")
+
+
+def geo_cover(spark: SparkSession, d: str) -> DataFrame:
+    """A box by the ranges of cells that cover it, then exactly."""
+    lat, lon = F.col("lat"), F.col("lon")
+    ranges = geo.cover(-20, 170, 30, -160, 6)
+    return _places(spark, d).where(geo.in_ranges(geo.cell(lat, lon, 6), ranges) & geo.within_bbox(lat, lon, -20, 170, 30, -160)).select("id")
+
+
+REGISTERED["geo_cover"] = (geo_cover, REGISTERED["geo_bbox_antimeridian"][1])

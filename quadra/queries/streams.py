@@ -91,3 +91,13 @@ def subscribe_statement(spark: SparkSession, d: str) -> DataFrame:
 
 
 REGISTERED["subscribe_statement"] = (subscribe_statement, "SELECT event_id, value FROM events WHERE user_id = 5 AND event_id >= 500")
+
+
+def cdc_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Missing numbers of a change stream, per table."""
+    e = table(spark, d, "events").where("event_id % 9 <> 4").select(F.col("event_type").alias("table"), F.col("event_id").alias("seq"))
+    return views.gaps(e, "seq")
+
+
+REGISTERED["cdc_gaps"] = (cdc_gaps, """SELECT "table", seq AS "from", nxt AS "to", nxt - seq - 1 AS missing FROM (
+  SELECT event_type AS "table", event_id AS seq, lead(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS nxt FROM events WHERE event_id % 9 <> 4) WHERE nxt > seq + 1""")

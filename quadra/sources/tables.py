@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import hmac
+import json
 import math
 from collections.abc import Iterable
 
@@ -86,3 +90,17 @@ def token_ranges(n: int) -> list[tuple[int, int]]:
     step = math.ceil(2**64 / n)
     cuts = [-(2**63) + step * i for i in range(n)] + [2**63 - 1]
     return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def page_token(last: tuple, secret: bytes) -> str:
+    """A signed mark of a page's last key, for the client to hand back."""
+    body = json.dumps(list(last)).encode()
+    return base64.urlsafe_b64encode(hmac.digest(secret, body, hashlib.sha256) + body).decode()
+
+
+def page_after(token: str, secret: bytes) -> tuple:
+    """The key in a page token; one that was not signed with ``secret`` is refused."""
+    raw = base64.urlsafe_b64decode(token)
+    if not hmac.compare_digest(raw[:32], hmac.digest(secret, raw[32:], hashlib.sha256)):
+        raise ValueError("the paging state was changed")
+    return tuple(json.loads(raw[32:]))

@@ -9,6 +9,9 @@ from quadra.operators.graph import Edges, Graph
 from quadra.plans import cql, cypher, sql, writes
 from quadra.plans.ddl import Registry
 from quadra.plans.lex import SyntaxFault, tokens
+from quadra.functions import geo
+from quadra.operators import constraints
+from quadra.sources.tables import page_after, page_token
 from quadra.streaming.subscribe import Subscriptions, parse
 
 
@@ -119,3 +122,40 @@ def test_graph_changes(spark: SparkSession) -> None:
     for bad in ("CREATE (:P {id: 9})-[:R]-(:P {id: 8})", "MATCH (a:P)-[r:R]->(b:P) SET r.w = 1", "CREATE (n {id: 1})"):
         with pytest.raises(SyntaxFault):
             cypher.run(g, spark, bad)
+
+
+def test_system_tables(spark: SparkSession) -> None:
+    r = Registry(spark)
+    for text in ("CREATE TABLE t (a int, b text, c int, PRIMARY KEY (a, b))", "CREATE INDEX by_c ON t (c)", "CREATE TYPE mood AS ENUM ('sad', 'ok')"):
+        r.run(text)
+    got = cql.select(r.system(), "SELECT column_name, kind FROM system_schema.columns WHERE table_name = 't'").collect()
+    assert sorted(map(tuple, got)) == [("a", "partition_key"), ("b", "clustering"), ("c", "regular")]
+    assert cql.select(r.system(), "SELECT index_name FROM system_schema.indexes WHERE table_name = 't'").first()[0] == "by_c"
+    assert cql.select(r.system(), "SELECT definition FROM system_schema.types WHERE type_name = 'mood'").first()[0] == "enum(sad,ok)"
+
+
+def test_page_tokens() -> None:
+    t = page_token((17, "x"), b"k")
+    assert page_after(t, b"k") == (17, "x")
+    with pytest.raises(ValueError, match="changed"):
+        page_after(t, b"other")
+
+
+def test_constraints(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(1, None), (1, 2), (None, 3), (None, 3)], "a int, b int")
+    assert [tuple(r) for r in constraints.unique(df, ["a"]).collect()] == [(1, 2)]
+    assert {tuple(r) for r in constraints.primary_key(df, ["a"]).collect()} == {(1, 2), (None, 2)}
+    assert constraints.foreign_key(df, ["b"], df, ["a"]).count() == 3
+    assert constraints.check(df, df["b"] > 2).count() == 1
+    with pytest.raises(constraints.ConstraintError):
+        constraints.require(constraints.not_null(df, ["b"]), "b_is_set")
+
+
+def test_cover(spark: SparkSession) -> None:
+    grid = spark.range(37 * 73).selectExpr("cast(id div 73 as double) * 5 - 90 as lat", "cast(id % 73 as double) * 5 - 180 as lon")
+    for box in ((-20, 170, 30, -160), (0, 0, 0, 0), (-90, -180, 90, 180), (10.5, -30.25, 41, 12)):
+        ranges = geo.cover(*box, 5)
+        hit = geo.in_ranges(geo.cell(grid["lat"], grid["lon"], 5), ranges)
+        inside = geo.within_bbox(grid["lat"], grid["lon"], *box)
+        assert grid.where(inside & ~hit).isEmpty() and ranges == sorted(ranges)
+    assert geo.cover(-90, -180, 90, 180, 5) == [(0, 4**5 - 1)]
