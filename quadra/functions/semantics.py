@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,9 @@ def close(a: Column, b: Column) -> Column:
 
 
 def first_per_key(df: DataFrame, keys: list[str], arrival: list[Column]) -> DataFrame:
-    """The first row of each key in arrival order."""
-    w = Window.partitionBy(*keys).orderBy(*arrival)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key in arrival order: one row per key and task is shuffled, and nothing is sorted."""
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[a.alias(f"a{i}") for i, a in enumerate(arrival)]))
+    return df.groupBy(*keys).agg(first.alias("_first")).select("_first.*")
 
 
 def set_of(xs: Column) -> Column:

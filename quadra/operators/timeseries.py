@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +38,8 @@ class Rollup:
     targets: list[str] = field(default_factory=list)
 
     @classmethod
-    def of_extensions(cls, ext: dict[str, str]) -> Rollup:
+    def of_extensions(cls, ext: dict[str, str], own: set[str] | None = None) -> Rollup:
+        """From a table's extensions; ``own`` names the user's functions that it may ask for."""
         missing = [k for k in ("interval", "functions", "target", "columns") if not ext.get(f"consolidation.{k}")]
         if missing:
             raise ConfigError(f"missing consolidation.{missing[0]}")
@@ -47,7 +49,7 @@ class Rollup:
         if width <= 0:
             raise ConfigError("the interval must be positive")
         names = ["avg" if f == "mean" else f for f in many(re.sub(r"composite\((.*)\)", r"\1", get("functions").lower()))]
-        unknown = [f for f in names if f not in FUNCTIONS]
+        unknown = [f for f in names if f not in FUNCTIONS and f not in (own or ())]
         if unknown:
             raise ConfigError(f"unknown consolidation function: {unknown[0]!r}")
         late = seconds(get("late_window")) if get("late_window") else 2 * width
@@ -60,8 +62,9 @@ class Rollup:
         return cls(width, names, get("target"), many(get("columns")), late, factors, targets)
 
     def check_live(self) -> None:
-        if "median" in self.functions:
-            raise ConfigError("median has no running form: batch only")
+        batch = [f for f in self.functions if f == "median" or f not in FUNCTIONS]
+        if batch:
+            raise ConfigError(f"{batch[0]} has no running form: batch only")
 
 
 def window_start(ts: Column, width: float) -> Column:
@@ -74,9 +77,13 @@ def window_start(ts: Column, width: float) -> Column:
 _MAKE = {"min": F.min, "max": F.max, "avg": F.avg, "median": F.median, "stddev": F.stddev_pop, "count": lambda c: F.count(c).cast("double"), "sum": F.sum}
 
 
-def rollup(df: DataFrame, keys: list[str], ts: str, columns: list[str], functions: list[str], width: float) -> DataFrame:
-    """One row per key and window: ``{column}_{function}``, and the window's start under the name of ``ts``."""
-    aggs = [_MAKE[f](F.col(c).cast("double")).alias(f"{c}_{f}") for c in columns for f in functions]
+def rollup(df: DataFrame, keys: list[str], ts: str, columns: list[str], functions: list[str], width: float, own: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """One row per key and window: ``{column}_{function}``, and the window's start under the name of ``ts``.
+
+    ``own``: the user's aggregates, by name.
+    """
+    make = _MAKE | (own or {})
+    aggs = [make[f](F.col(c).cast("double")).alias(f"{c}_{f}") for c in columns for f in functions]
     return df.groupBy(*keys, window_start(F.col(ts), width).alias(ts)).agg(*aggs)
 
 

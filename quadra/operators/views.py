@@ -78,8 +78,15 @@ def committed(events: DataFrame, stream: str = "committed") -> DataFrame:
 
 
 def gaps(events: DataFrame, sequence: str) -> DataFrame:
-    """(from, to, missing): gaps in a stream's sequence numbers, per table."""
+    """(table, from, to, missing): gaps in a stream's sequence numbers, per table; repeats are no gaps.
+
+    Joins on (table, number) find the numbers next to a gap, so only those are put in order, however long a table's stream is.
+    """
     from pyspark.sql import Window
 
-    after = F.lead(sequence).over(Window.partitionBy("table").orderBy(sequence))
-    return events.select("table", F.col(sequence).alias("from"), after.alias("to")).where("to > from + 1").withColumn("missing", F.col("to") - F.col("from") - 1)
+    seen = events.select("table", F.col(sequence).alias("_at")).distinct()
+    edge = lambda step, kind: seen.join(seen.select("table", (F.col("_at") + step).alias("_at")), ["table", "_at"], "left_anti").select("table", "_at", F.lit(kind).alias("_kind"))
+    edges = edge(-1, 0).unionByName(edge(1, 1))  # 0: nothing follows, 1: nothing comes before
+    after = F.lead("_at").over(Window.partitionBy("table").orderBy("_at", F.col("_kind").desc()))
+    found = edges.withColumn("to", after).where("_kind = 0 and to is not null")
+    return found.select("table", F.col("_at").alias("from"), "to", (F.col("to") - F.col("_at") - 1).alias("missing"))

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadra.operators.graph import cut
+from quadra.plans.lex import unquote
 from quadra.plans.sql import SqlError, _Rewriter, _sql
+from quadra.sources.tables import copy_csv, copy_text
 
 _JOINS = ("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL")
 
@@ -48,6 +50,22 @@ class Database:
             raise SqlError("42703", f"key of {name}: no column {missing[0]}" if missing else f"{name} has no key")
         return self.keys[name]
 
+    def copy(self, text: str, path: str) -> int:
+        """COPY … FROM STDIN, whose rows lie at ``path``; gives their number. FREEZE is read and has no meaning here."""
+        name, columns, options = _Statement(text, self, ()).copy()
+        table = self.tables[name]
+        types = {f.name: f.dataType.simpleString() for f in table.schema}
+        schema = ", ".join(f"`{c}` {types[c]}" for c in columns)
+        if options.get("FORMAT", "text") == "csv":
+            rows = copy_csv(self.spark, path, schema, options.get("HEADER", False), options.get("DELIMITER", ","), options.get("NULL", ""))
+        else:
+            rows = copy_text(self.spark, path, schema)
+        rows = cut(rows)
+        full = rows.select(*[(F.col(f"`{c}`") if c in columns else F.lit(None)).cast(types[c]).alias(c) for c in table.columns])
+        key = self.key(name)
+        self.put(name, table.join(full.select(*key), key, "left_anti").unionByName(full))
+        return rows.count()
+
     def execute(self, text: str, params: tuple[Any, ...] = ()) -> DataFrame | None:
         return _Statement(text, self, params).run()
 
@@ -72,8 +90,61 @@ class _Statement(_Rewriter):
             return self.update(start)
         if self.words("DELETE FROM"):
             return self.delete(start)
+        if self.word("TRUNCATE"):
+            self.word("TABLE")
+            return self.truncate()
+        if self.is_word("VACUUM", "ANALYZE", "ANALYSE", "BEGIN", "START", "COMMIT", "END", "SET", "RESET", "LOCK"):
+            return None  # accepted: there is no heap to keep and no session state
+        if self.is_word("ROLLBACK", "ABORT"):
+            raise SqlError("0A000", "a change cannot be taken back: keep the tables of before")
         return self.fault("unsupported statement")
 
+    def truncate(self) -> None:
+        names = [self.table_name().strip("`")]
+        while self.op(","):
+            names.append(self.table_name().strip("`"))
+        if self.is_word("CASCADE", "RESTART"):
+            raise SqlError("0A000", f"TRUNCATE {self.tok.text.upper()} is not supported")
+        self.done()
+        for n in names:
+            if n not in self.db.tables:
+                raise SqlError("42P01", f"relation {n} does not exist")
+        for n in names:
+            self.db.put(n, self.db.tables[n].limit(0))
+
+    def copy(self) -> tuple[str, list[str], dict[str, Any]]:
+        self.need_word("COPY")
+        name = self.table_name().strip("`")
+        self.db.key(name)
+        columns = list(self.db.tables[name].columns)
+        if self.op("("):
+            columns = [self.name().strip("`")]
+            while self.op(","):
+                columns.append(self.name().strip("`"))
+            self.need(")")
+            self.known(columns, self.db.tables[name].columns)
+        if self.is_word("TO"):
+            raise SqlError("0A000", "COPY TO is not supported")
+        self.need_word("FROM")
+        self.need_word("STDIN")
+        self.word("WITH")
+        options: dict[str, Any] = {}
+        if self.op("("):
+            while not self.op(")"):
+                o = self.name().upper()
+                if o not in ("FORMAT", "HEADER", "DELIMITER", "NULL", "FREEZE"):
+                    raise SqlError("0A000", f"COPY option {o} is not supported")
+                bare = self.tok.text in (",", ")")
+                value = "on" if bare else unquote(self.next().text) if self.tok.kind == "str" else self.next().text.lower()
+                options[o] = value in ("on", "true", "1") if o in ("HEADER", "FREEZE") else value
+                if o == "FORMAT" and value not in ("text", "csv"):
+                    raise SqlError("0A000", f"COPY format {value} is not supported")
+                self.op(",")
+        self.done()
+        if options.get("FORMAT", "text") == "text" and set(options) & {"HEADER", "DELIMITER", "NULL"}:
+            raise SqlError("0A000", "options of COPY's text format are not supported")
+        return name, columns, options
+
     def target(self) -> tuple[str, str]:
         if self.is_word("ONLY"):
             raise SqlError("0A000", "ONLY is not supported")

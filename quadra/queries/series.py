@@ -42,3 +42,5 @@ REGISTERED["ts_late_classify"] = (ts_late_classify, f"""SELECT event_type, CASE
 FROM (SELECT event_type, {_B.format(w='5 minutes')} AS s, max({_B.format(w='5 minutes')}) OVER (PARTITION BY event_type ORDER BY event_id % 7, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM events) GROUP BY 1, 2""")
 REGISTERED["ts_retention"] = (lambda spark, d: ts.retained(table(spark, d, "events"), "ts", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 7 * 86_400).groupBy(ts.segment(F.col("ts"), 86_400).alias("segment")).agg(F.count("*").alias("n")),
                               "SELECT 'rrd-' || epoch_ms(time_bucket(INTERVAL '1 day', ts)) AS segment, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-23' GROUP BY 1")
+REGISTERED["ts_user_function"] = (lambda spark, d: ts.rollup(table(spark, d, "events"), ["event_type"], "ts", ["value"], ["max", "spread"], 86_400, {"spread": lambda c: F.round(F.max(c) - F.min(c), 6)}),
+                                  f"SELECT event_type, {_B.format(w='1 day')} AS ts, max(value) AS value_max, round(max(value) - min(value), 6) AS value_spread FROM events GROUP BY 1, 2")

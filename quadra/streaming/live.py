@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,8 +45,7 @@ def drain(df: DataFrame, mode: str = "append", key: list[str] | None = None) ->
         raise query.exception()
     rows = spark.read.schema(df.schema.add("_batch", "long")).parquet(f"{where}/rows")
     if key:
-        last = Window.partitionBy(*key).orderBy(F.col("_batch").desc())
-        rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct("*"), "_batch").alias("_last")).select("_last.*")
     return rows.drop("_batch")
 
 
