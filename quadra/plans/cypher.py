@@ -415,6 +415,21 @@ def _has_agg(e: Any) -> bool:
     return isinstance(e, tuple) and bool(e) and (e[0] == "agg" or any(_has_agg(x) for x in e[1:]))
 
 
+def _conjuncts(e: tuple | None) -> list[tuple]:
+    if e is None:
+        return []
+    return _conjuncts(e[1]) + _conjuncts(e[2]) if e[0] == "and" else [e]
+
+
+def _variables(e: Any) -> set[str]:
+    """Names that an expression reads."""
+    if isinstance(e, (list, tuple)):
+        if len(e) == 2 and e[0] == "var":
+            return {e[1]}
+        return set().union(*map(_variables, e)) if e else set()
+    return set()
+
+
 def _lit(v: Any) -> Column:
     if isinstance(v, (list, tuple)):
         if v and all(isinstance(x, dict) for x in v):
@@ -430,6 +445,7 @@ def _lit(v: Any) -> Column:
 class _Run:
     def __init__(self, graph: Graph, spark: SparkSession) -> None:
         self.graph, self.spark, self.n = graph, spark, 0
+        self.filtered: set[str] = set()  # variables that a conjunct restricts by itself
 
     def arm(self, clauses: list[tuple], rows: DataFrame | None = None) -> DataFrame:
         for c in clauses:
@@ -458,6 +474,9 @@ class _Run:
     # reading
 
     def match(self, paths: list[list], where: tuple | None, rows: DataFrame | None) -> DataFrame:
+        for c in _conjuncts(where):
+            if c[0] in ("cmp", "in") and len(names := _variables(c)) == 1:
+                self.filtered |= names
         for path in paths:
             rows = self.path(path, rows)
         return self.filter(rows, where)
@@ -512,10 +531,13 @@ class _Run:
         on = (F.col(f"{a.var}._id") == F.col(f"{t}_src")) & (F.col(f"{a.var}._label") == F.col(f"{t}_sl"))
         if bound:
             on = on & (F.col(f"{b.var}._id") == F.col(f"{t}_dst")) & (F.col(f"{b.var}._label") == F.col(f"{t}_tl"))
-        out = rows.join(links, on)
-        if not bound:
-            nodes = self.scan(b)
-            out = out.join(nodes, (F.col(f"{t}_dst") == F.col(f"{b.var}._id")) & (F.col(f"{t}_tl") == F.col(f"{b.var}._label")))
+        end = (F.col(f"{t}_dst") == F.col(f"{b.var}._id")) & (F.col(f"{t}_tl") == F.col(f"{b.var}._label"))
+        if not bound and (b.var in self.filtered or any(e[0] == "lit" for _, e in b.props)):
+            # an end with a test of its own thins the edges out before they meet the rows
+            out = rows.join(links.join(self.scan(b), end), on)
+        else:
+            out = rows.join(links, on)
+            out = out if bound else out.join(self.scan(b), end)
         out = out.drop(*[f"{t}{c}" for c in ("_src", "_sl", "_dst", "_tl")])
         return self.check(out, b) if bound else self.bound_props(out, b)
 
