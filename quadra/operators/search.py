@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadra.operators.graph import cut
+
 STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 K1, B = 1.2, 0.75
 
@@ -194,7 +196,7 @@ class TextIndex:
     def match(self, query: str) -> DataFrame:
         """Terms, AND, OR, NOT, ``prefix*`` and "phrases" (all words, in any order), with parentheses.
 
-        Without prefixes the words are known: one pass counts them and one scores, with no posting shuffled.
+        Without prefixes the words are known: one pass over the texts counts them, with no posting shuffled.
         """
         tree = _TextQuery(self, query).run()
         return self._joined(tree) if _has_prefix(tree) else self._scored(tree)
@@ -204,7 +206,8 @@ class TextIndex:
         # few words are left of a text before each is counted
         wanted = self.docs.select("doc", "dl", F.filter("terms", lambda x: x.isin(words)).alias("hits"))
         times = lambda w: F.size(F.filter("hits", lambda x: x == w))
-        counted = wanted.select("doc", "dl", *[times(w).alias(f"tf{i}") for i, w in enumerate(words)])
+        # kept in the checkpoint folder: texts are analysed once for the counts and the scores
+        counted = cut(wanted.select("doc", "dl", *[times(w).alias(f"tf{i}") for i, w in enumerate(words)]))
         found = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]
         stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *found)
         x = counted.crossJoin(F.broadcast(stats))  # one row
