@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -147,18 +148,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(starts: DataFrame, edges: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
-    """(start, end, depth): breadth first from ``starts`` (start), each vertex once per start at its least depth.
+#: Levels after which what was seen is written as one table again.
+COMPACT = 16
 
-    ``edges`` has (src, dst). Levels are joins against the frontier only; what was seen is removed by an anti join.
+
+def grow(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], on: list[str], most: int | None = None) -> DataFrame:
+    """``first`` and what ``step`` (frontier, depth) reaches from it, each ``on`` once; levels are written as they come.
+
+    A level writes its new rows only: what was seen is the union of the levels.
     """
-    seen = cut(starts.select("start", F.col("start").alias("end"), F.lit(0).alias("depth")).distinct())
-    front, depth = seen, 0
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    front = cut(first)
+    parts, depth = [front], 0
     while most is None or depth < most:
         depth += 1
-        step = front.join(edges, F.col("end") == F.col("src")).select("start", F.col("dst").alias("end")).distinct()
-        front = cut(step.join(seen.select("start", "end"), ["start", "end"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step(front, depth).join(union(parts).select(*on), on, "left_anti"))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen.where(F.col("depth") >= least)
+        parts.append(front)
+        parts = [cut(union(parts))] if len(parts) > COMPACT else parts
+    return union(parts)
+
+
+def reach(starts: DataFrame, edges: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """(start, end, depth): breadth first from ``starts`` (start), each vertex once per start at its least depth.
+
+    ``edges`` has (src, dst). Levels are joins against the frontier only; what was seen is removed by an anti join.
+    """
+    first = starts.select("start", F.col("start").alias("end"), F.lit(0).alias("depth")).distinct()
+
+    def step(front: DataFrame, depth: int) -> DataFrame:
+        return front.join(edges, F.col("end") == F.col("src")).select("start", F.col("dst").alias("end")).distinct().withColumn("depth", F.lit(depth))
+
+    return grow(first, step, ["start", "end"], most).where(F.col("depth") >= least)

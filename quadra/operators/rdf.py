@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadra.operators.graph import cut
+from quadra.operators.graph import grow
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -52,14 +52,9 @@ def closure(edges: DataFrame, starts: DataFrame | None, zero: bool, many: bool)
     first = edges.select("s", "o").distinct()
     if starts is not None:
         first = first.join(starts.select(F.col("s").alias("_s")).distinct(), F.col("s") == F.col("_s"), "left_semi")
-    seen = cut(first)
-    front = seen
-    while many:
-        step = front.select("s", F.col("o").alias("_m")).join(edges.select(F.col("s").alias("_f"), "o"), F.col("_m") == F.col("_f")).select("s", "o").distinct()
-        front = cut(step.join(seen, ["s", "o"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
+    after = edges.select(F.col("s").alias("_f"), "o")
+    step = lambda front, _: front.select("s", F.col("o").alias("_m")).join(after, F.col("_m") == F.col("_f")).select("s", "o").distinct()
+    seen = grow(first, step, ["s", "o"], None if many else 0)
     if zero:
         own = starts if starts is not None else edges.select("s").unionByName(edges.select(F.col("o").alias("s")))
         seen = seen.unionByName(own.select("s", F.col("s").alias("o"))).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import SparkSession
 
-from quadra.operators.graph import Edges, Graph
+from quadra.operators.graph import COMPACT, Edges, Graph, reach
 from quadra.plans import cql, cypher, sql, writes
 from quadra.plans.ddl import Registry
 from quadra.plans.lex import SyntaxFault, tokens
@@ -159,3 +159,11 @@ def test_cover(spark: SparkSession) -> None:
         inside = geo.within_bbox(grid["lat"], grid["lon"], *box)
         assert grid.where(inside & ~hit).isEmpty() and ranges == sorted(ranges)
     assert geo.cover(-90, -180, 90, 180, 5) == [(0, 4**5 - 1)]
+
+
+def test_long_path(spark: SparkSession) -> None:
+    """More levels than are kept apart, over a cycle."""
+    n = COMPACT + 4
+    edges = spark.range(n).selectExpr("id as src", f"(id + 1) % {n} as dst").coalesce(1)
+    found = reach(spark.range(1).selectExpr("id as start"), edges, 1)
+    assert sorted((r.end, r.depth) for r in found.collect()) == [(i, i) for i in range(1, n)]
