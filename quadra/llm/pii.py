@@ -1,11 +1,13 @@
 """Personal data: base patterns and bootstrapped contextual extraction, in DataFrame operations only.
 
 Base spans (email, ip, card, phone) are leftmost non-overlapping matches per kind that pass their test. They
-are also the seeds: each seed entity induces lexical patterns (the word before it, or after it, with its shape).
-Spark scores the graph of patterns and instances for some rounds: a pattern's confidence is the mean score of its
-distinct instances (with one added failure), an instance's score is the chance that one of its patterns is
-right; seeds stay at 1. Patterns of high confidence with enough distinct seeds discover identifier-like tokens
-that no base pattern matches; those spans have the kind "context".
+are also the seeds: each seed entity induces lexical patterns (the word before it, or after it, with its loose class:
+with letters or without). Spark scores the graph of patterns and instances for some rounds: a pattern's confidence is
+the mean score of its distinct instances (with one added failure), an instance's score is the chance that one of its
+patterns is right; seeds stay at 1. A pattern's support is its distinct instances of score ``SURE`` and more: seeds,
+and in later rounds discovered ones, so that these induce patterns of their own. Patterns of high confidence with
+enough support discover identifier-like tokens, and groups of digits with blanks that fail the test of a card or phone;
+those spans have the kind "context".
 
 Positions are code points, ends exclusive. Regular expressions are possessive or begin at a run's start, so they take
 linear time and constant stack on any text; each stands for the plain pattern in ``BASE_PATTERNS``.
@@ -38,6 +40,9 @@ _FAST = {
 }
 _WORD = r"[^\x20\x09-\x0D]"
 _TOKEN = rf"(?:\G|(?<!{_WORD}))[^\x20\x09-\x0D0-9]*+[0-9]{_WORD}*+"
+#: Score from which a discovered instance supports patterns as a seed does.
+SURE = 0.8
+SPANS = "array<struct<start:int,end:int,hit:string,left:string,right:string>>"
 #: Matches that one inner fold appends.
 _CHUNK = 256
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -81,7 +86,7 @@ def _find(df: DataFrame, text: str, name: str, pattern: str, may: Column) -> Dat
         hits: F.when(may, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none),
     }).withColumn(gaps, F.when(F.size(hits) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
     n = F.size(hits)
-    empty = "array<struct<start:int,end:int,hit:string,left:string,right:string>>"
+    empty = SPANS
 
     def step(state: Column, i: Column) -> Column:
         hit, gap = F.get(F.col(hits), i), F.get(F.col(gaps), i)
@@ -101,47 +106,51 @@ def _find(df: DataFrame, text: str, name: str, pattern: str, may: Column) -> Dat
 
 
 def shape(value: Column) -> Column:
-    """Letters and digits by class with runs squeezed, and the length."""
-    x = F.regexp_replace(value, "[0-9]+", "0")
-    x = F.regexp_replace(F.regexp_replace(x, "[a-z]+", "a"), "[A-Z]+", "A")
-    return F.concat(F.left(x, F.lit(40)), F.lit(":"), F.length(value))
+    """The loose class: with letters or without."""
+    return F.when(value.rlike(r"\p{L}"), F.lit("a")).otherwise(F.lit("0"))
 
 
 def _base_and_instances(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Per row: row, doc_id, base spans, and instances (seeds and identifier-like tokens) with their patterns."""
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    none = F.array().cast(SPANS)
+    failed = {}
     for kind in KINDS:
         df = _find(df, "text", kind, _FAST[kind], _may_hold(F.col("text"), kind))
-        df = df.withColumn(kind, F.filter(kind, lambda x: _passes(x["hit"], kind)))
+        # what fails the test is a candidate; without blanks it is part of a token
+        failed[kind] = F.filter(kind, lambda x: F.contains(x["hit"], F.lit(" ")) & ~_passes(x["hit"], kind)) if kind in ("card", "phone") else none
+        df = df.withColumns({f"{kind}_failed": failed[kind], kind: F.filter(kind, lambda x: _passes(x["hit"], kind))})
     df = _find(df, "text", "token", _TOKEN, F.col("text").rlike("[0-9]{4}|[0-9][A-Za-z0-9]*[0-9][A-Za-z0-9]*[0-9][A-Za-z0-9]*[0-9]"))
     base = F.concat(*[F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))) for k, kind in enumerate(KINDS)])
     df = df.withColumn("base", F.array_sort(base))
 
+    def core(hit: Column) -> Column:
+        return F.regexp_extract(hit, r"(?s)^[^A-Za-z0-9]*+(.*[A-Za-z0-9])", 1)
+
     def trimmed(x: Column) -> Column:
-        core = F.regexp_extract(x["hit"], r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])", 1)
         lead = F.length(x["hit"]) - F.length(F.regexp_replace(x["hit"], r"^[^A-Za-z0-9]++", ""))
-        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.alias("hit"), x["left"].alias("left"), x["right"].alias("right"))
+        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core(x["hit"]))).alias("end"), core(x["hit"]).alias("hit"), x["left"].alias("left"), x["right"].alias("right"))
 
-    tokens = F.filter(F.transform("token", trimmed), lambda x: (F.length(F.regexp_replace(x["hit"], "[^0-9]", "")) >= 4) & (F.length(x["hit"]).between(6, 64)))
+    tokens = F.filter(F.transform(F.concat("token", "card_failed", "phone_failed"), trimmed), lambda x: (F.length(F.regexp_replace(x["hit"], "[^0-9]", "")) >= 4) & (F.length(x["hit"]) >= 6))
     apart = F.filter(tokens, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
     def instance(x: Column, seed: bool) -> Column:
         word = lambda side, pattern: F.lower(F.regexp_extract(side, pattern, 1))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("value"), word(x["left"], rf"({_WORD}+)[\x20\x09-\x0D]*$").alias("left"), word(x["right"], rf"^{_WORD}*[\x20\x09-\x0D]*({_WORD}+)").alias("right"), shape(x["hit"]).alias("shape"), F.lit(seed).alias("seed"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), core(x["hit"]).alias("value"), word(x["left"], rf"({_WORD}+)[\x20\x09-\x0D]*$").alias("left"), word(x["right"], rf"^{_WORD}*[\x20\x09-\x0D]*({_WORD}+)").alias("right"), shape(x["hit"]).alias("shape"), F.lit(seed).alias("seed"))
 
     found = F.concat(*[F.transform(kind, lambda x: instance(x, True)) for kind in KINDS], F.transform(apart, lambda x: instance(x, False)))
     return df.select("row", "doc_id", "base", found.alias("found"))
 
 
 def score_patterns(edges: DataFrame, space: Workspace, rounds: int = 3, least_seeds: int = 3) -> DataFrame:
-    """(pattern, confidence, seeds) of a table of distinct (pattern, value, seed).
+    """(pattern, confidence, seeds) of a table of distinct (pattern, value, seed); sure instances count as seeds.
 
     Sums per pattern and per value are combined before they are shuffled, so a very common word is no hot spot.
     """
     scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for r in range(rounds):
         by = edges.join(scores, "value")
-        patterns = space.keep(by.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds")), f"patterns{r}")
+        patterns = space.keep(by.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if(F.col("score") >= SURE).alias("seeds")), f"patterns{r}")
         if r == rounds - 1:
             return patterns.where(F.col("seeds") >= least_seeds)
         # a pattern without enough seeds lends nothing

@@ -200,6 +200,28 @@ def test_contextual_discovery(spark: SparkSession) -> None:
     assert spans[50] == [(15, 4, 31)] and spans[51] == [] and spans[52] == []
 
 
+def context_values(spark: SparkSession, texts: list[str]) -> dict[int, set[str]]:
+    found = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"]: {texts[r["doc_id"]][a:b] for a, k, b in r["spans"] if k == 4} for r in found}
+
+
+def test_context_of_any_length(spark: SparkSession) -> None:
+    """Seeds of every kind find values of other lengths and layouts, also with blanks."""
+    texts = [f"call {p} later" for p in ("+1 (974) 555-3436", "+1 (974) 555-3437", "+44 20 7946 0958", "+49 30 901820", "+1 (974) 555-3438")]
+    texts += [f"write {n}@b.cc soon" for n in ("ann", "bob", "cy", "dee", "eve99")]
+    texts += ["call 974-555-34360 later", "call 974 555 3436 later", "call +12 3456 later", "write fay2024 soon", "sold 974-555-34361 twice", "write 20242025 soon"]
+    got = context_values(spark, texts)
+    assert [got[i] for i in range(10, 16)] == [{"974-555-34360"}, {"974 555 3436"}, {"12 3456"}, {"fay2024"}, set(), set()]
+
+
+def test_context_of_discovered_values(spark: SparkSession) -> None:
+    """Values found beside seeds induce a pattern that no seed has."""
+    texts = [f"node 10.0.0.{i} up" for i in range(30)] + [f"node 300.1.0.{i} up 2026" for i in range(4)]
+    texts += [f"peer 300.1.0.{i} lost 2026" for i in range(4)] + ["peer 301.7.77.7 lost 2026", "item 301.7.77.8 sold 2026"]
+    got = context_values(spark, texts)
+    assert [got[i] for i in (33, 37, 38, 39)] == [{"300.1.0.3"}, {"300.1.0.3"}, {"301.7.77.7"}, set()]
+
+
 # 5
 
 def test_hmm_likelihood() -> None:
