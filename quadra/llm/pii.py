@@ -40,6 +40,8 @@ _FAST = {
 }
 _WORD = r"[^\x20\x09-\x0D]"
 _TOKEN = rf"(?:\G|(?<!{_WORD}))[^\x20\x09-\x0D0-9]*+[0-9]{_WORD}*+"
+#: The word beside one, after the rest of that one.
+_BESIDE = rf"^{_WORD}*+[\x20\x09-\x0D]++({_WORD}*+)"
 #: Score from which a discovered instance supports patterns as a seed does.
 SURE = 0.8
 SPANS = "array<struct<start:int,end:int,hit:string,left:string,right:string>>"
@@ -78,31 +80,47 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add)
 
 
+def _fold(n: Column, begin: Column, kind: str, step) -> Column:
+    """Values of ``step`` over 0 to n - 1, flat. Chunks keep appending to arrays cheap."""
+
+    def chunk(state: Column, c: Column) -> Column:
+        inner = F.struct(state["at"].alias("at"), state["near"].alias("near"), F.array().cast(kind).alias("out"))
+        done = F.aggregate(F.sequence(c * _CHUNK, F.least((c + 1) * _CHUNK, n) - 1), inner, lambda s, i: step(s, i))
+        return F.struct(done["at"].alias("at"), done["near"].alias("near"), F.concat(state["out"], F.array(done["out"])).alias("out"))
+
+    begin = F.struct(begin.alias("at"), F.lit(" ").alias("near"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), begin, chunk)["out"])
+
+
 def _find(df: DataFrame, text: str, name: str, pattern: str, may: Column) -> DataFrame:
-    """Adds ``name``: array of (start, end, hit, left, right) of the pattern's matches."""
+    """Adds ``name``: array of (start, end, hit, left, right) of the pattern's matches.
+
+    ``left`` and ``right`` are the whole words beside the one that a match begins or ends in.
+    """
     none = F.array().cast("array<string>")
-    hits, gaps = f"_{name}_hits", f"_{name}_gaps"
+    hits, gaps, rights = f"_{name}_hits", f"_{name}_gaps", f"_{name}_rights"
     df = df.withColumns({
         hits: F.when(may, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none),
     }).withColumn(gaps, F.when(F.size(hits) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
     n = F.size(hits)
-    empty = SPANS
+    # text is gap, hit, gap, hit, ...: folds sum the lengths and carry the last two words; the left ones reversed
+    beside = lambda x: F.regexp_extract(x, _BESIDE, 1)
+    carried = lambda x: F.regexp_extract(x, _BESIDE, 0)
+
+    def back(state: Column, k: Column) -> Column:
+        i = n - 1 - k
+        after = F.concat(F.get(F.col(gaps), i + 1), state["near"])
+        return F.struct(state["at"].alias("at"), carried(F.concat(F.get(F.col(hits), i), after)).alias("near"), F.concat(state["out"], F.array(beside(after))).alias("out"))
 
-    def step(state: Column, i: Column) -> Column:
+    def forth(state: Column, i: Column) -> Column:
         hit, gap = F.get(F.col(hits), i), F.get(F.col(gaps), i)
         start = state["at"] + F.length(gap)
-        span = F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"), F.right(gap, F.lit(48)).alias("left"), F.left(F.get(F.col(gaps), i + 1), F.lit(48)).alias("right"))
-        return F.struct((start + F.length(hit)).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    def chunk(state: Column, c: Column) -> Column:
-        begin = F.struct(state["at"].alias("at"), F.array().cast(empty).alias("out"))
-        done = F.aggregate(F.sequence(c * _CHUNK, F.least((c + 1) * _CHUNK, n) - 1), begin, step)
-        return F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out"))
+        before = F.concat(F.reverse(gap), state["near"])
+        span = F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"), F.reverse(beside(before)).alias("left"), F.get(F.col(rights), n - 1 - i).alias("right"))
+        return F.struct((start + F.length(hit)).alias("at"), carried(F.concat(F.reverse(hit), before)).alias("near"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    # text is gap, hit, gap, hit, ...: a fold sums the lengths; chunks keep appending to arrays cheap
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{empty}>").alias("out"))
-    spans = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), begin, chunk)["out"])
-    return df.withColumn(name, F.when(n > 0, spans).otherwise(F.array().cast(empty))).drop(hits, gaps)
+    df = df.withColumn(rights, F.when(n > 0, _fold(n, F.lit(0), "array<string>", back)).otherwise(none))
+    return df.withColumn(name, F.when(n > 0, _fold(n, F.lit(0), SPANS, forth)).otherwise(F.array().cast(SPANS))).drop(hits, gaps, rights)
 
 
 def shape(value: Column) -> Column:
@@ -120,7 +138,7 @@ def _base_and_instances(docs: DataFrame, text: str, key: str) -> DataFrame:
         # what fails the test is a candidate; without blanks it is part of a token
         failed[kind] = F.filter(kind, lambda x: F.contains(x["hit"], F.lit(" ")) & ~_passes(x["hit"], kind)) if kind in ("card", "phone") else none
         df = df.withColumns({f"{kind}_failed": failed[kind], kind: F.filter(kind, lambda x: _passes(x["hit"], kind))})
-    df = _find(df, "text", "token", _TOKEN, F.col("text").rlike("[0-9]{4}|[0-9][A-Za-z0-9]*[0-9][A-Za-z0-9]*[0-9][A-Za-z0-9]*[0-9]"))
+    df = _find(df, "text", "token", _TOKEN, F.col("text").rlike(r"[0-9](?:[^\x20\x09-\x0D0-9]*+[0-9]){3}"))
     base = F.concat(*[F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))) for k, kind in enumerate(KINDS)])
     df = df.withColumn("base", F.array_sort(base))
 
@@ -135,8 +153,7 @@ def _base_and_instances(docs: DataFrame, text: str, key: str) -> DataFrame:
     apart = F.filter(tokens, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
     def instance(x: Column, seed: bool) -> Column:
-        word = lambda side, pattern: F.lower(F.regexp_extract(side, pattern, 1))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), core(x["hit"]).alias("value"), word(x["left"], rf"({_WORD}+)[\x20\x09-\x0D]*$").alias("left"), word(x["right"], rf"^{_WORD}*[\x20\x09-\x0D]*({_WORD}+)").alias("right"), shape(x["hit"]).alias("shape"), F.lit(seed).alias("seed"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), core(x["hit"]).alias("value"), F.lower(x["left"]).alias("left"), F.lower(x["right"]).alias("right"), shape(x["hit"]).alias("shape"), F.lit(seed).alias("seed"))
 
     found = F.concat(*[F.transform(kind, lambda x: instance(x, True)) for kind in KINDS], F.transform(apart, lambda x: instance(x, False)))
     return df.select("row", "doc_id", "base", found.alias("found"))

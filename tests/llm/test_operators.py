@@ -222,6 +222,27 @@ def test_context_of_discovered_values(spark: SparkSession) -> None:
     assert [got[i] for i in (33, 37, 38, 39)] == [{"300.1.0.3"}, {"300.1.0.3"}, {"301.7.77.7"}, set()]
 
 
+def test_context_from_the_text(spark: SparkSession) -> None:
+    """Words beside a value hold digits, are long or glued to it; no other words of the text matter."""
+    left, right = "node7" + "x" * 60, "y" * 60 + "8"
+    texts = [f"{left} (10.0.0.{i}), w{i} z" for i in range(9)] + [f"v{i} 10.1.0.{i} {right}" for i in range(9)]
+    texts += [f"{left} (300.1.2.3); here", f"{left} 12-34-56 there", f"where 300.1.2.4 {right}", "300.1.2.5 alone"]
+    got = context_values(spark, texts)
+    assert [got[i] for i in range(18, 22)] == [{"300.1.2.3"}, {"12-34-56"}, {"300.1.2.4"}, set()]
+
+
+def test_words_beside(spark: SparkSession) -> None:
+    random.seed(6)
+    texts = ["".join(random.choice("a1.@  \né") for _ in range(random.randrange(60))) for _ in range(400)] + ["x1 " * 700]
+    d = pii._find(spark.createDataFrame([(x,) for x in texts], "text string"), "text", "hits", "[0-9]++", pii._may_hold(pii.F.col("text"), "ip"))
+    for r in d.collect():
+        spans = [m.span() for m in re.finditer(r"[^ \n]+", r["text"])]
+        for x in r["hits"]:
+            k = next(k for k, (a, b) in enumerate(spans) if a <= x["start"] and x["end"] <= b)
+            beside = [r["text"][slice(*spans[j])] if 0 <= j < len(spans) else "" for j in (k - 1, k + 1)]
+            assert [x["left"], x["right"]] == beside and r["text"][x["start"] : x["end"]] == x["hit"]
+
+
 # 5
 
 def test_hmm_likelihood() -> None:
