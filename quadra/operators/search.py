@@ -6,7 +6,8 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,47 @@ def top_vectors(df: DataFrame, column: str, key: str, q: list[float], k: int, me
     return df.select(key, F.round(distance(F.col(column), q, metric), digits).alias("distance")).orderBy("distance", key).limit(k)
 
 
+def _blocked(rows: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query, id, rough, distance): per query and block of rows the ``k`` of least rough distance.
+
+    ``rows``: (list, id, v, w), ``queries``: (list, query, v); blocks of both meet list by list. Distances are l2, to v
+    and (rough) to w.
+    """
+    # few large blocks, as each gives k rows a query
+    r, q = max(4, -(-rows.count() // 50_000)), max(1, -(-queries.count() // 4000))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = rows.withColumn("a", dealt("id", r)).withColumn("b", every(q))
+    right = queries.withColumn("b", dealt("query", q)).withColumn("a", every(r))
+
+    def run(t: pa.Table, u: pa.Table) -> pa.Table:
+        matrix = lambda x, name: x.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(x.num_rows, -1)
+        out = []
+        if t.num_rows and u.num_rows:
+            ids, v, w = t.column("id").to_numpy(), matrix(t, "v"), matrix(t, "w")
+            for name, x in zip(u.column("query").to_pylist(), matrix(u, "v"), strict=True):
+                rough = np.round(np.sqrt(((w - x) ** 2).sum(1)), digits)
+                best = np.lexsort((ids, rough))[:k]
+                exact = np.round(np.sqrt(((v[best] - x) ** 2).sum(1)), digits)
+                out += zip([name] * len(best), ids[best].tolist(), rough[best].tolist(), exact.tolist(), strict=True)
+        return pa.table({n: pa.array([x[i] for x in out], kind) for i, (n, kind) in enumerate((("query", pa.int64()), ("id", pa.int64()), ("rough", pa.float64()), ("distance", pa.float64())))})
+
+    keys = ["list", "a", "b"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query long, id long, rough double, distance double")
+
+
+def _least(df: DataFrame, by: str, k: int) -> DataFrame:
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(by, "id"))).where(F.col("_n") <= k).drop("_n")
+
+
+def nearest(df: DataFrame, queries: DataFrame, column: str, key: str, k: int, digits: int = 6) -> DataFrame:
+    """(query, key, distance): the exact nearest rows (l2) of every row of ``queries``, by blocks of both."""
+    v = F.col(column)
+    rows = df.where(v.isNotNull()).select(F.lit(0).alias("list"), F.col(key).cast("long").alias("id"), v.alias("v"), v.alias("w"))
+    asked = queries.where(v.isNotNull()).select(F.lit(0).alias("list"), F.col(key).cast("long").alias("query"), v.alias("v"))
+    return _least(_blocked(rows, asked, k, digits), "distance", k).select("query", F.col("id").alias(key), "distance")
+
+
 def quantize(c: Column, low: float, high: float, bits: int) -> Column:
     """Each component as one of 2**bits steps between ``low`` and ``high``."""
     steps = (1 << bits) - 1
@@ -74,6 +116,17 @@ class IvfIndex:
             found = found.orderBy(rough, self.key).limit(k * rerank)
         return top_vectors(found, self.column, self.key, q, k, metric)
 
+    def search_all(self, queries: DataFrame, k: int, probes: int, rerank: int = 4, digits: int = 6) -> DataFrame:
+        """(query, key, distance): what ``search`` finds (l2) for every row of ``queries``."""
+        v = F.col(self.column)
+        near = F.array_sort(F.array(*[F.struct(distance(v, c, "l2").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centres)]))
+        asked = queries.where(v.isNotNull()).select(F.explode(F.slice(near, 1, probes)["list"]).alias("list"), F.col(self.key).cast("long").alias("query"), v.alias("v"))
+        w = dequantize(F.col("_q"), self.low, self.high, self.bits) if self.bits else v
+        rows = self.rows.select("list", F.col(self.key).cast("long").alias("id"), v.alias("v"), w.alias("w"))
+        first = k * rerank if self.bits else k
+        found = _least(_blocked(rows, asked, first, digits), "rough", first)
+        return _least(found, "distance", k).select("query", F.col("id").alias(self.key), "distance")
+
 
 def analyze(c: Column, analyzer: str = "standard") -> Column:
     """Tokens of a text: standard drops stop words, simple keeps them, keyword is the whole text."""
