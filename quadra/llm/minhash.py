@@ -4,7 +4,8 @@
    equal sets form one class (a 128-bit sum over the set), so exact copies are one row from here on.
 2. Inverted lists: every three neighbouring values among the ``RUN_WINDOW`` smallest are a key. Two sets whose
    smallest values are mostly shared have such a run in common; a passage shared by otherwise different texts rarely
-   makes one. Lists with the same members are kept once.
+   makes one. Sets of up to ``SMALL * 100 / percent`` shingles are also keyed by each value of their prefix, of which two
+   sets that are near share one for certain. Lists with the same members are kept once.
 3. In each list the union-sketch estimate filters: a member near a pivot joins its clump; members very near leave
    the pool, all others stay as pivots or members for later ones. Clumps give spanning edges, never all pairs. Lists
    above ``LIST_CAP`` members become one clump without a filter, so nothing is lost.
@@ -13,8 +14,9 @@
    100 * intersection >= percent * union. Tasks return spanning edges only.
 5. Components of the exact links give every document the smallest document id it reaches.
 
-A pair of similarity 0.85 shares no key with chance below 1e-6 (32 neighbouring values of the union, each shared
-with chance 0.85, without three in a row); more similar pairs are missed less.
+A pair whose smaller set has at most ``SMALL`` shingles always shares a key. A pair of larger sets shares none with
+chance 6.5e-7 at similarity 0.85 and 1.5e-5 at 0.8 (32 neighbouring values of the union, each shared with that
+chance, without three in a row); more similar pairs are missed less.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; a text of fewer
 words than a shingle is one shingle; equal sets are linked; repeated rows each get their row; a row with a null id
@@ -38,6 +40,8 @@ from quadra.llm.store import Workspace, small_batches
 K = 64
 RUN_WINDOW = 32
 LIST_CAP = 8000
+#: Pairs whose smaller set has at most so many shingles are found for certain.
+SMALL = 32
 #: Estimated similarity from which a member joins a pivot's clump, and from which it leaves the pool.
 LOOSE, CORE = 0.45, 0.85
 #: Classes of a block that one task verifies; larger blocks are cut in chunks of about half that.
@@ -237,7 +241,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text
     classes = space.keep(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).withColumnRenamed("a", "node"), "classes")
     rows = space.keep(rows.drop("sketch"), "rows")
     run = F.transform(F.sequence(F.lit(0), F.greatest(F.least(F.size("sketch"), F.lit(RUN_WINDOW)) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("sketch", i + 1, 3)))
-    keys = space.keep(classes.where("rep is not null").select("node", F.explode(run).alias("key")), "keys")
+    # of n values at least percent are shared, so the first n - ceil(n * percent / 100) + 1 hold one of them
+    n = F.col("n_shingles").cast("int")
+    prefix = F.transform(F.slice("sketch", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda x: F.xxhash64(F.lit("prefix"), x))
+    held = F.when(n * percent <= SMALL * 100, F.concat(run, prefix)).otherwise(run)
+    keys = space.keep(classes.where("rep is not null").select("node", F.explode(F.array_distinct(held)).alias("key")), "keys")
     lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low")).where("m > 1")
     lists = space.keep(lists.groupBy("m", "x", "low").agg(F.min("key").alias("key")), "lists")
     # merge joins at every size: no side has a bound, and Spark splits hot keys

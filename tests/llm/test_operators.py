@@ -328,6 +328,18 @@ def brute_components(docs: dict, width: int, percent: int) -> dict:
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+@pytest.mark.parametrize(("width", "percent"), [(5, 80), (3, 85)])
+def test_near_small_sets(spark: SparkSession, width: int, percent: int) -> None:
+    """Pairs of few shingles at the bound itself: a word more at the end."""
+    least = -(-percent // (100 - percent))
+    docs = {}
+    for i in range(400):
+        w = [f"p{i}w{j}" for j in range(width + least - 1 + i % 3 * 5)]
+        docs |= {2 * i: " ".join(w), 2 * i + 1: " ".join([*w, "more"])}
+    found = minhash.groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), width, percent).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found)
+
+
 @pytest.mark.parametrize(("width", "percent", "block", "cap"), [(3, 85, 2000, 8000), (5, 80, 20, 10)])
 def test_near_duplicates(spark: SparkSession, monkeypatch, width: int, percent: int, block: int, cap: int) -> None:
     """Families of edited copies over a range of similarities, a shared passage, tiny texts; also with tiny blocks."""
