@@ -25,16 +25,21 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes that one step of hashing works on, so temporaries stay small beside any text.
+_STEP = 1 << 18
+_tables: list[np.ndarray] = []
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for the places of one step; made once a process."""
+    if not _tables:
         with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n + 64, _BASE))])
-    return _POWERS
+            for base in (_BASE, pow(_BASE, -1, 2**64)):
+                factors = np.full(_STEP, np.uint64(base))
+                factors[0] = 1
+                _tables.append(np.cumprod(factors))
+    return _tables
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,32 +81,54 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words:
-    """Split texts into words of the bytes in ``keep``, after lower-casing A-Z."""
+    """Split texts into words of the bytes in ``keep``, after lower-casing A-Z.
+
+    A word's hash is a polynomial of its bytes: a difference of running sums, shifted back by its place. Sums run in
+    steps of ``_STEP`` bytes and are carried from step to step, so beside the words themselves a text of any length
+    takes two bytes a byte.
+    """
     low = _LOWER[data]
     n = len(low)
+    kind = np.int32 if n < 2**31 - 1 else np.int64
     if not n:
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, kind)
         return Words(low, none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64))
-    inside = keep[low]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    finish = inside.copy()
-    finish[:-1] &= ~inside[1:]
+    inside = np.zeros(n + 2, bool)  # bounded by a place outside on either side
+    inside[1:-1] = keep[low]
     edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
-    begin[edges] = inside[edges]
-    finish[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    first = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return Words(low, np.zeros(0, np.uint64), starts, ends, first)
-    lengths = ends - starts
-    flat = low[inside]
-    at = np.cumsum(lengths) - lengths
-    place = np.arange(len(flat)) - np.repeat(at, lengths)
+    power, back = _powers()
+    starts, ends, sum_at_start, sum_at_end = [], [], [], []
+    carry, shift = np.uint64(0), np.uint64(1)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[flat] * _powers(int(lengths.max()))[place], at)
-        hashes = mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(low, hashes, starts, ends, first)
+        turn = np.uint64(pow(_BASE, _STEP, 2**64))
+        for a in range(0, n, _STEP):
+            b = min(n, a + _STEP)
+            mine, before, after = inside[a + 1 : b + 1], inside[a:b], inside[a + 2 : b + 2]
+            begin, finish = mine & ~before, mine & ~after
+            # a word ends where its text ends
+            cut = edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)] - a
+            begin[cut] = mine[cut]
+            cut = edges[np.searchsorted(edges, a, side="right") : np.searchsorted(edges, b, side="right")] - 1 - a
+            finish[cut] = mine[cut]
+            sums = np.empty(b - a + 1, np.uint64)
+            sums[0] = carry
+            np.cumsum(_BYTE[low[a:b]] * power[: b - a] * shift, out=sums[1:])
+            sums[1:] += carry
+            at, to = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+            starts.append((at + a).astype(kind))
+            ends.append((to + a).astype(kind))
+            sum_at_start.append(sums[at])
+            sum_at_end.append(sums[to])
+            carry, shift = sums[-1], shift * turn
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
+        hashes = np.concatenate(sum_at_end) - np.concatenate(sum_at_start)
+        # powers of whole steps back, then of the place in the step
+        step = starts // _STEP
+        whole = np.full(int(step.max(initial=0)) + 1, np.uint64(pow(_BASE, -_STEP, 2**64)))
+        whole[0] = 1
+        hashes *= back[starts - step * _STEP] * np.cumprod(whole)[step]
+        hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Words(low, hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
 def blocks(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -9,21 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where none is set, a temporary one in local mode and else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quadra-")
         spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", base)
     return base.rstrip("/") if "://" in base or base.startswith("file:") else "file://" + base.rstrip("/")
 
 
 class Workspace:
-    """A fresh folder for one run's tables. ``drop`` deletes a table that no later plan reads."""
+    """A fresh folder for one run's tables. ``drop`` deletes a table that no later plan reads; the rest, which a
+    result that is not yet written may read, goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        target, fs = self._hadoop(self.path)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+
+    def _hadoop(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def new_path(self, name: str) -> str:
         self._n += 1
@@ -43,13 +53,15 @@ class Workspace:
             self.delete(table if isinstance(table, str) else table._quadra_path)
 
     def delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = self._hadoop(path)
+        fs.delete(target, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches by rows, as texts may be long; a smaller value that the user set stays."""
+    """Bound Arrow batches by rows, as texts may be long; a smaller value that the user set stays.
+
+    The setting stays with the session, because the result's plan reads it when the caller runs it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

@@ -245,47 +245,105 @@ def test_words_beside(spark: SparkSession) -> None:
 
 # 5
 
-def test_hmm_likelihood() -> None:
-    rng = np.random.default_rng(1)
-    k = 3
-    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(hmm.CLASSES), k)
-    lengths = np.array([1, 5, 256, 257, 600, 1500])
-    classes = rng.integers(0, hmm.CLASSES, lengths.sum())
-
-    def brute(x: np.ndarray) -> float:
-        a = start * emit[:, x[0]]
-        total = math.log(a.sum())
-        a /= a.sum()
-        for c in x[1:]:
-            a = (a @ move) * emit[:, c]
-            total += math.log(a.sum())
-            a /= a.sum()
-        return total
-
-    first = np.cumsum(lengths) - lengths
-    want = [brute(classes[a : a + n]) for a, n in zip(first, lengths, strict=True)]
-    assert np.allclose(hmm.log_likelihoods(start, move, emit, classes, lengths), want, rtol=1e-6)
-
-
-def test_hmm_expected_counts() -> None:
+def plain_hmm(model: hmm.Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions of one sequence and its log likelihood, step by step."""
+    k, width = model.emit.shape
+    alpha, scale = np.zeros((len(x), k)), np.zeros(len(x))
+    for t, c in enumerate(x):
+        a = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[:, c]
+        scale[t] = a.sum()
+        alpha[t] = a / scale[t]
+    beta = np.ones((len(x), k))
+    pairs, emissions = np.zeros((k, k)), np.zeros((k, width))
+    for t in range(len(x) - 1, -1, -1):
+        if t + 1 < len(x):
+            ahead = model.emit[:, x[t + 1]] * beta[t + 1] / scale[t + 1]
+            pairs += alpha[t][:, None] * model.move * ahead[None, :]
+            beta[t] = model.move @ ahead
+        emissions[:, x[t]] += alpha[t] * beta[t]
+    return alpha[0] * beta[0], pairs, emissions, float(np.log(scale).sum())
+
+
+def test_hmm_paths() -> None:
+    """The step-by-step version agrees with the sum over all paths of states."""
     rng = np.random.default_rng(3)
-    k, vocab = 2, 5
-    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(vocab), k)
-    x = np.array([0, 3, 1, 4])
-    total, first, pairs, emissions = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((k, vocab))
+    k, x = 2, np.array([0, 3, 1, 4])
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(5), k))
+    total, first, pairs, emissions = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((k, 5))
     for path in np.ndindex(*([k] * len(x))):
-        p = start[path[0]] * emit[path[0], x[0]]
+        p = model.start[path[0]] * model.emit[path[0], x[0]]
         for a, b, c in zip(path, path[1:], x[1:], strict=False):
-            p *= move[a, b] * emit[b, c]
+            p *= model.move[a, b] * model.emit[b, c]
         total += p
         first[path[0]] += p
         for a, b in zip(path, path[1:], strict=False):
             pairs[a, b] += p
         for s, c in zip(path, x, strict=True):
             emissions[s, c] += p
-    got = hmm.forward_backward(start, move, emit, x[None, :], np.array([4]))
-    for a, b in zip(got, (first / total, pairs / total, emissions / total, math.log(total)), strict=True):
-        assert np.allclose(a, b, atol=1e-5)
+    for a, b in zip(plain_hmm(model, x), (first / total, pairs / total, emissions / total, math.log(total)), strict=True):
+        assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("tokens", [40, 10**6])
+def test_hmm_expected_counts(monkeypatch, tokens: int) -> None:
+    """Texts of all lengths about the span's, whole: counts and likelihoods of long ones carry over spans."""
+    monkeypatch.setattr(hmm, "SPAN", 16)
+    monkeypatch.setattr(hmm, "PASS_TOKENS", tokens)
+    rng = np.random.default_rng(1)
+    k, width = 3, 7
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(width), k))
+    lengths = np.array([1, 5, 16, 17, 32, 33, 100, 2, 250])
+    symbols = rng.integers(0, width, lengths.sum())
+    want = [plain_hmm(model, x) for x in np.split(symbols, np.cumsum(lengths)[:-1])]
+    assert np.allclose(hmm.log_likelihoods(model, symbols, lengths), [w[3] for w in want], rtol=1e-6)
+    for got, w in zip(hmm.expected_counts(model, symbols, lengths), zip(*want, strict=True), strict=True):
+        assert np.allclose(got, sum(w), rtol=1e-3, atol=1e-3)
+
+
+@pytest.mark.parametrize("common", [65_536, 30])
+def test_hmm_every_score(spark: SparkSession, monkeypatch, common: int) -> None:
+    """Every score against a model trained step by step over whole texts, with words as symbols and with classes."""
+    monkeypatch.setattr(hmm, "COMMON", common)
+    random.seed(12)
+    vocab = [f"{random.choice('abc')}{i}{random.choice(['ing', 'ed', 'x', 'ly and'])}" for i in range(60)]
+    docs = {i: " ".join(random.choices(vocab, weights=range(1, 61), k=n)) for i, n in enumerate([3, 40, 5, 200, 0, 1, 2600, 1100, 30, 9, 17, 60])} | {20: None, 21: "never seen words"}
+    states, rounds = 3, 2
+    toks = {i: [*blank_words(t), None] for i, t in docs.items()}
+    train = {i: t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1}
+    counts = Counter(w for t in train.values() for w in t)
+    n, v = sum(counts.values()), len(counts)
+
+    def of(w: str | None) -> tuple[int, int]:
+        if w is None:
+            return hmm._END_HASH.astype(np.int64).item(), hmm.END
+        got = words(*utf8(pa.array([w])), BLANK_SPLIT)
+        return got.hashes.astype(np.int64).item(), int(hmm.word_classes(got.data, got.starts, got.ends)[0])
+
+    place = {w: of(w) for t in toks.values() for w in t}
+    known = sorted(place[w][0] for w in counts if counts[w] * common >= n)
+    symbol = {w: hmm.CLASSES + known.index(h) if h in known else c for w, (h, c) in place.items()}
+    mass = np.zeros(hmm.CLASSES + len(known))
+    for w, c in counts.items():
+        mass[symbol[w]] += c + 0.5
+    share = mass / mass.sum()
+    model = hmm.Model.random(states, share)
+    for _ in range(rounds):
+        got = [plain_hmm(model, np.array([symbol[w] for w in t])) for t in train.values()]
+        model = hmm.Model.of_counts(*(sum(x) for x in list(zip(*got, strict=True))[:3]), share)
+    below = n + 0.5 * (v + 1)
+    r = hmm.score(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), states, rounds, tolerance=0.0).collect()
+    assert len(r) == len(docs) and len(known) < v if common == 30 else len(known) == v
+    for x in r:
+        t = toks[x["doc_id"]]
+        a, total = None, 0.0
+        for w in t:
+            p = (1 - 0.5 / below) * (counts[w] + 0.5) / below / (mass[symbol[w]] / below) * model.emit[:, symbol[w]] if counts[w] else np.full(states, 0.5 / below)
+            a = (model.start if a is None else a @ model.move) * p
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        base = sum(math.log10((counts[w] + 0.5) / below) for w in t)
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (x["doc_id"] not in train, len(t), sum(counts[w] > 0 for w in t), n)
+        assert x["base_score"] == pytest.approx(base, rel=1e-9) and x["score"] == pytest.approx(total, rel=1e-3)
 
 
 def test_hmm_scores(spark: SparkSession) -> None:
