@@ -540,17 +540,60 @@ def brute_lines(docs: dict, least: int = 5, chars: int = 40) -> dict:
     return out
 
 
-def test_line_dedup(spark: SparkSession) -> None:
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (5, 2), (7, 3)])
+def test_line_dedup(spark: SparkSession, batches: int, fanout: int) -> None:
     random.seed(9)
     pool = [c * random.choice([39, 40, 41]) for c in "abcdé😀"] + ["  " + "A" * 40 + "\t", "short", ""]
     docs = {i: "\n".join(random.choices(pool, k=random.randrange(5))) for i in range(40)} | {99: None}
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_repeated(d, batches=5, fanout=2).collect()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_repeated(d, batches=batches, fanout=fanout).collect()}
     assert got == brute_lines(docs)
 
 
+def test_lines_of_repeated_ids(spark: SparkSession) -> None:
+    """Different texts of one id, null ids among them, count as one document and each lose their own lines."""
+    line = [c * 50 for c in "abcd"]
+    rows = [(None, f"{line[0]}\nx"), (None, f"y\n{line[0]}\n{line[1]}"), (None, None), (7, line[0]), (7, f"{line[1]}\n{line[0]}"), (8, line[1]), (9, line[0]), (9, line[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.drop_repeated(d, min_docs=3, batches=3).collect())
+    assert got == Counter([(None, "x", 1), (None, "y", 2), (None, "", 0), (7, "", 1), (7, "", 2), (8, line[1], 0), (9, line[0], 0), (9, line[0], 0)])
+
+
+def test_query_goes_through_the_runs(spark: SparkSession, monkeypatch) -> None:
+    """Batches come by falling id, each is held against every run that stands, and levels are merged."""
+    seen = []
+    add = line_dedup.LineRuns.add
+
+    def watched(self, lines):
+        standing = [self.spark.table(r).count() for level in self.levels for r in level]
+        ids = [r["d"] for r in lines.select("d").distinct().collect()]
+        add(self, lines)
+        seen.append((min(ids), max(ids), standing, [len(x) for x in self.levels]))
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", watched)
+    d = spark.createDataFrame([(i, f"{'a' * 50}\n{i:050d}") for i in range(60)], "doc_id long, text string")
+    got = line_dedup.drop_repeated(d, batches=6).collect()
+    assert sum(r["n_dropped"] for r in got) == 59 and all(a > d for (a, _, _, _), (_, d, _, _) in zip(seen, seen[1:], strict=False))
+    assert [x[3] for x in seen] == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1], [0, 1, 1]]
+    assert seen[3][2] == [11, 21] and seen[5][2] == [11, 41]
+
+
+def test_runs_are_merged_as_they_stand(spark: SparkSession) -> None:
+    """Joins and merges of runs neither shuffle nor sort them."""
+    store = line_dedup.LineRuns(spark, buckets=4)
+    for b in range(2):
+        store.levels.append([store._write(spark.createDataFrame([(bytes([i * (b + 1)]), 1, i) for i in range(9)], "h binary, n_docs long, first_doc long").repartition(4, "h"))])
+    with line_dedup._sorted_scans(spark):
+        merged = store.merged(*store.runs())
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert {(r["h"][0], r["n_docs"], r["first_doc"]) for r in merged.collect()} == {(i, 2 if i % 2 == 0 else 1, i) for i in range(9)} | {(i, 1, i // 2) for i in range(10, 17, 2)}
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quadra_lines")]
+
+
 def test_line_runs(spark: SparkSession) -> None:
-    """Batches: a line stays where it first comes; runs are merged by levels."""
+    """A stream of batches: a line stays where it first comes; runs are merged by levels."""
     store = line_dedup.LineRuns(spark, fanout=2, min_chars=3)
     known: set[str] = set()
     for b in range(5):
@@ -564,10 +607,12 @@ def test_line_runs(spark: SparkSession) -> None:
                     known |= {x} if len(x) >= 3 else set()
             want[i] = "\n".join(keep)
         d = spark.createDataFrame(list(lines.items()), "doc_id long, text string").coalesce(1)
-        assert {r["doc_id"]: r["text"] for r in store.add(d).collect()} == want
+        assert {r["doc_id"]: r["text"] for r in store.unseen(d).collect()} == want
     assert [len(x) for x in store.levels] == [1, 0, 1]
-    h = [r["h"] for r in store.levels[2][0].collect()]
+    h = [r["h"] for r in spark.table(store.levels[2][0]).collect()]
     assert len(h) == len(set(h))
+    assert store.counted().count() == len(known)
+    store.close()
 
 
 # 10
