@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,11 +96,17 @@ def test_pipeline(spark: SparkSession, tmp_path, empty: bool) -> None:
 
 def test_warc(spark: SparkSession, tmp_path) -> None:
     rows = [(1, "http://a.com/x", "same"), (2, None, "same"), (None, "http://b.com", "same"), (3, "no url\n at all", None), (4, "", ""), (4, "", ""), (5, "http://[bad", LONG)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, 1, "f", 2, "k", b"p") for r in rows], "page_id long, url string, html string, offset long, file string, length long, key string, payload binary")
     places = warc.write_archives(pages, f"file://{tmp_path}/a").persist()
     assert places.count() == len(rows)
-    back = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, f"file://{tmp_path}/a", places).collect()}
-    assert back == {(1, "revisit", 2), (2, "response", None), (None, "revisit", 2), (3, "revisit", 4), (4, "response", None), (5, "response", None)}
+    root = warc.build_index(places, f"file://{tmp_path}/i").persist()
+    want = Counter([(1, "revisit", 2), (2, "response", None), (None, "revisit", 2), (3, "revisit", 4), (4, "response", None), (4, "response", None), (5, "response", None)])
+    for back in (warc.read_archives(spark, f"file://{tmp_path}/a", places), warc.fetch(warc.resolve(warc.capture_keys(pages), root, f"file://{tmp_path}/i"), f"file://{tmp_path}/a")):
+        assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in back.collect()) == want
     places.unpersist()
-    none = warc.write_archives(pages.limit(0), f"file://{tmp_path}/b")
-    assert none.count() == 0
+    root.unpersist()
+    none = pages.limit(0)
+    places = warc.write_archives(none, f"file://{tmp_path}/b")
+    root = warc.build_index(places, f"file://{tmp_path}/j")
+    assert warc.CaptureIndex(root, f"file://{tmp_path}/j", f"file://{tmp_path}/b").lookup("http://a.com/") == []
+    assert warc.fetch(warc.resolve(warc.capture_keys(none), root, f"file://{tmp_path}/j"), f"file://{tmp_path}/b").count() == 0

@@ -622,17 +622,26 @@ def test_warc_index(spark: SparkSession, tmp_path) -> None:
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     archives, index = f"file://{tmp_path}/a", f"file://{tmp_path}/i"
     places = warc.write_archives(pages, archives).persist()
-    directory = warc.build_index(places, index, block_lines=10, partitions=3)
-    found = warc.CaptureIndex(directory, index, archives)
-    assert len(found.rows) >= 30
+    root = warc.build_index(places, index, block_lines=10, partitions=3).persist()
+    assert sum(r["lines"] for r in root.collect()) == 300
+    found = warc.CaptureIndex(root, index, archives)
+    assert len(found.root.shards) == 3
+    shard = max(f.stat().st_size for f in (tmp_path / "i").iterdir())
     for k in (0, 17, 39):
         url = f"http://A.example.com/p/{k}?a=1&b=2"
         want = {i for i, u, _ in rows if i % 3 == 0 and i % 40 == k}
         got = found.lookup(url)
-        assert {r["page_id"] for r in got} == want and found.blocks_read <= 3
-    assert found.lookup("http://nowhere.org/") == []
-    back = {r["page_id"]: r for r in warc.read_archives(spark, archives, places).collect()}
-    assert len(back) == 300
+        assert {r["page_id"] for r in got} == want and found.blocks_read <= 2
+        wanted = places.where(places.page_id.isin(*want)).collect()
+        assert found.archive_bytes == sum(r["length"] for r in wanted) and found.index_bytes < shard
+        byrange = warc.fetch(warc.resolve(spark.createDataFrame([(warc.url_key(url),)], "key string"), root, index), archives).collect()
+        assert {r["page_id"] for r in byrange} == want
+    assert found.lookup("http://nowhere.org/") == [] and found.archive_bytes == 0
+    streamed = warc.read_archives(spark, archives, places).collect()
+    resolved = warc.fetch(warc.resolve(warc.capture_keys(pages), root, index), archives).collect()
+    assert sorted(map(str, streamed)) == sorted(map(str, resolved))
+    back = {r["page_id"]: r for r in resolved}
+    assert len(back) == len(resolved) == 300
     for i, _, h in rows:
         payload = (h or "").encode()
         assert (back[i]["payload_bytes"], back[i]["payload_digest"]) == (len(payload), warc.sha1_base32(payload))
@@ -640,3 +649,42 @@ def test_warc_index(spark: SparkSession, tmp_path) -> None:
         assert (back[i]["record_type"], back[i]["refers_to"]) == (("response", None) if i == top else ("revisit", top))
         assert back[i]["payload"] == (payload if i == top else None)
     places.unpersist()
+    root.unpersist()
+
+
+def test_warc_hot_capture(spark: SparkSession, tmp_path) -> None:
+    """One row very often, keys that need care in a line, null ids: each archived row comes back once, from many shards."""
+    rows = [(5, "http://a.com/x", "h")] * 200 + [(i, f"http://b{i % 3}.com/\t\x0b\u2028{i}", str(i)) for i in range(20, 60)] + [(None, "http://a.com/x", "n")] * 3 + [(9, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    places = warc.write_archives(pages, f"file://{tmp_path}/a").persist()
+    root = warc.build_index(places, f"file://{tmp_path}/i", block_lines=7, partitions=6).persist()
+    hot = [r for r in root.collect() if (r["first_key"], r["last_key"]) == ("com,a)/x", "com,a)/x")]
+    assert len(hot) >= 2
+    got = warc.fetch(warc.resolve(warc.capture_keys(pages), root, f"file://{tmp_path}/i"), f"file://{tmp_path}/a").collect()
+    assert Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
+    places.unpersist()
+    root.unpersist()
+
+
+def test_foreign_records(spark: SparkSession, tmp_path) -> None:
+    """Archives of another writer: other record types, ids and digests, header case, folding, no payload digest."""
+    import gzip
+
+    def record(kind: str, block: bytes, *more: str) -> bytes:
+        return gzip.compress("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", f"content-length:{len(block)}", *more]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = "Content-Type: application/http;msgtype=response"
+    body = b"HTTP/1.1 200 OK\nX: y\r\n\r\n<p>hi</p>"
+    raw = record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields", "WARC-Filename: a\r\n\tb")
+    raw += record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http;msgtype=request", "WARC-Target-URI: http://a/")
+    raw += record("response", body, http, "WARC-Target-URI: http://a/") + record("response", body, http, "WARC-Payload-Digest: md5:abc")
+    raw += record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, "WARC-Refers-To: <urn:uuid:1>") + record("resource", b"plain", "Content-Type: text/plain")
+    (tmp_path / "x.warc.gz").write_bytes(raw)
+    got = warc.read_archives(spark, f"file://{tmp_path}", spark.createDataFrame([("x.warc.gz",)], "file string")).collect()
+    assert [(r["record_type"], r["payload"], r["payload_bytes"], r["page_id"], r["refers_to"]) for r in got] == [
+        ("warcinfo", b"software: x\r\n", 13, None, None), ("request", b"", 0, None, None), ("response", b"<p>hi</p>", 9, None, None),
+        ("response", b"<p>hi</p>", 9, None, None), ("revisit", None, None, None, None), ("resource", b"plain", 5, None, None)]
+    assert got[2]["payload_digest"] == warc.sha1_base32(b"<p>hi</p>") and got[3]["payload_digest"] == "md5:abc" and got[2]["url"] == "http://a/"
+    for bad in (b"junk", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort", b"WARC/1.0\r\nContent-Length: 1\r\nWARC-Payload-Digest: sha1:" + b"A" * 32 + b"\r\n\r\nx"):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(bad)
