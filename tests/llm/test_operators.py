@@ -439,44 +439,79 @@ def test_components(spark: SparkSession) -> None:
 
 # 7
 
-def test_packing(spark: SparkSession) -> None:
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    enc = packing.encoding(packing.VOCABULARY)
-    rows = packing.packed_rows(docs, row_len=256).collect()
-    parts = defaultdict(list)
-    for r in rows:
-        ids = np.frombuffer(r["ids"], "<u2")
-        assert len(ids) == 256 and r["cu_seqlens"][-1] == r["n_tokens"] and (ids[r["n_tokens"] :] == 50256).all()
-        where = packing.position_ids(r["resets"], r["n_tokens"])
-        for k, d in enumerate(r["doc_ids"]):
-            a, b = r["cu_seqlens"][k : k + 2]
-            assert where[a] == 0 and where[b - 1] == b - a - 1
-            parts[d].append((r["starts"][k], ids[a:b]))
-    for r in docs.collect():
-        whole = np.concatenate([p for _, p in sorted(parts[r["doc_id"]], key=lambda x: x[0])])
-        assert enc.decode(whole.tolist()) == r["text"]
-    full = sum(r["n_tokens"] for r in rows) / 256
-    assert len(rows) <= full * 1.02 + 8
-
-
-@given(st.lists(st.integers(0, 70), max_size=60))
-@settings(max_examples=200, deadline=None)
-def test_best_fit(lengths: list) -> None:
-    rows = packing.pack(lengths, 32)
-    got = defaultdict(list)
-    for row in rows:
-        assert sum(n for _, _, n in row) <= 32
-        for d, start, n in row:
-            got[d].append((start, n))
-    for d, n in enumerate(lengths):
-        assert reduce(lambda at, p: at + p[1] if p[0] == at else -1, sorted(got[d]), 0) == n
+def plain_best_fit(counts: dict, row_len: int) -> list[int]:
+    """Free spaces of the rows, packing one piece at a time."""
     spaces: list[int] = []
-    for n in sorted((x % 32 for x in lengths if x % 32), reverse=True):
+    for n in sorted((n for n, m in counts.items() for _ in range(m)), reverse=True):
         fits = [s for s in spaces if s >= n]
-        spaces.append((min(fits) if fits else 32) - n)
         if fits:
             spaces.remove(min(fits))
-    assert len(rows) == len(spaces) + sum(x // 32 for x in lengths)
+        spaces.append((min(fits) if fits else row_len) - n)
+    return sorted(spaces)
+
+
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_best_fit(counts: dict) -> None:
+    """The plan of counts is that of single pieces, and gives every piece a place of its own."""
+    made = packing.plan(counts, 32)
+    used = np.zeros((made.n_rows, 32), int)
+    for n, m in counts.items():
+        row, at = made.find(n, np.arange(m))
+        for r, a in zip(row, at, strict=True):
+            assert a + n <= 32
+            used[r, a : a + n] += 1
+    assert (used <= 1).all() and sorted((32 - used.sum(1)).tolist()) == plain_best_fit(counts, 32)
+    ends = used.sum(1)
+    assert all(used[r, : ends[r]].all() for r in range(made.n_rows))
+
+
+def test_packing(spark: SparkSession) -> None:
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(9000 + i, t, None, None, None) for i, t in enumerate(["", None, "one"])], docs.schema))
+    enc = packing.encoding(packing.load_vocabulary(packing.VOCABULARY))
+    text = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    length = Counter()
+    for (_, t), m in text.items():
+        n = len(enc.encode_ordinary(t))
+        length[256] += n // 256 * m
+        length[n % 256] += m
+    want = plain_best_fit({n: m for n, m in length.items() if n and m}, 256)
+    for parts in (1, 7):
+        rows = packing.packed_rows(docs.repartition(parts), row_len=256).collect()
+        assert sorted(256 - r["n_tokens"] for r in rows) == want and sorted(r["row_id"] for r in rows) == list(range(len(want)))
+        found, empty = defaultdict(list), Counter()
+        for r in rows:
+            ids = np.frombuffer(r["ids"], "<u2")
+            assert len(ids) == 256 and r["cu_seqlens"][-1] == r["n_tokens"] and (ids[r["n_tokens"] :] == 50256).all()
+            where = packing.position_ids(r["resets"], r["n_tokens"])
+            empty.update(r["empty_ids"])
+            for k, d in enumerate(zip(r["doc_ids"], r["doc_rows"], strict=True)):
+                a, b = r["cu_seqlens"][k : k + 2]
+                assert where[a] == 0 and where[b - 1] == b - a - 1
+                found[d].append((r["starts"][k], ids[a:b]))
+        back = Counter()
+        for (d, _), x in found.items():
+            x.sort(key=lambda p: p[0])
+            assert [p[0] for p in x] == [256 * k for k in range(len(x))]
+            back[d, enc.decode(np.concatenate([p[1] for p in x]).tolist())] += 1
+        assert back + Counter({(d, ""): m for d, m in empty.items()}) == text
+
+
+def test_empty_documents_have_rows(spark: SparkSession, monkeypatch) -> None:
+    monkeypatch.setattr(packing, "EMPTIES", 4)
+    rows = packing.packed_rows(spark.createDataFrame([(i, None if i % 2 else "") for i in range(9)] + [(50, "a")], "doc_id long, text string")).collect()
+    assert len(rows) == 3 and max(len(r["empty_ids"]) for r in rows) <= 4 and sorted(d for r in rows for d in r["empty_ids"]) == list(range(9))
+
+
+def test_long_text_tokens(monkeypatch) -> None:
+    """A text tokenised by parts has the tokens of the whole."""
+    random.seed(3)
+    enc = packing.encoding(packing.load_vocabulary(packing.VOCABULARY))
+    t = "".join(random.choice(["word ", " two", "  ", "\n", "12", "é ", "'s", " don't", "..", " a b"]) for _ in range(4000))
+    whole = enc.encode_ordinary(t)
+    monkeypatch.setattr(packing, "_CHUNK", 50)
+    assert packing.tokens_of(enc, t, np.dtype("<u2")).tolist() == whole
 
 
 # 8
