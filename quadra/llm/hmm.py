@@ -62,7 +62,7 @@ def word_classes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (mix(code) % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.uint16)
 
 
-BLOCK = "block long, n_docs int, doc_ids binary, held binary, lengths binary, words binary, counts binary, classes binary, sequence binary"
+BLOCK = "block long, doc_ids binary, held binary, lengths binary, words binary, counts binary, classes binary, docs array<int>, sequences array<binary>"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -73,8 +73,78 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
+class _Block:
+    """A block in the making: pieces (runs of whole texts) with their own word numbers, which ``row`` makes the block's."""
+
+    def __init__(self) -> None:
+        self.bytes = 0
+        self.ids, self.held, self.lengths, self.words, self.often, self.counts, self.classes, self.sequences = ([] for _ in range(8))
+
+    def add(self, ids: pa.Array, held: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        got = words(data, offsets, BLANK_SPLIT)
+        lengths = np.diff(got.first) + 1
+        total = int(lengths.sum())
+        inside = np.ones(total, bool)
+        inside[np.cumsum(lengths) - 1] = False
+        h, kind = np.full(total, _END_HASH, np.uint64), np.zeros(total, np.uint16)
+        h[inside] = got.hashes
+        kind[inside] = word_classes(got.data, got.starts, got.ends)
+        del got
+        distinct, first, number, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        self.bytes += len(data)
+        self.ids.append(ids)
+        self.held.append(held)
+        self.lengths.append(lengths)
+        self.words.append(distinct)
+        self.often.append(often)
+        self.counts.append(np.bincount(number[np.repeat(~held, lengths)], minlength=len(distinct)))
+        self.classes.append(kind[first])
+        self.sequences.append(_pack(number.astype(np.uint32)))
+
+    def row(self, number: int) -> pa.RecordBatch:
+        distinct, first, of = np.unique(np.concatenate(self.words), return_index=True, return_inverse=True)
+        # common words get small numbers, which pack well
+        order = np.argsort(-np.bincount(of, weights=np.concatenate(self.often)), kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        counts = np.bincount(of, weights=np.concatenate(self.counts)).astype(np.int64)
+        of, at, sequences = place[of], 0, []
+        for mine, x in zip(self.words, self.sequences, strict=True):
+            sequences.append(_pack(of[at : at + len(mine)][_unpack(x, np.uint32)]))
+            at += len(mine)
+        blob = pa.BufferOutputStream()
+        with pa.ipc.new_stream(blob, pa.schema([("doc_id", pa.int64())])) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays(self.ids)], names=["doc_id"]))
+        held, lengths = np.concatenate(self.held), np.concatenate(self.lengths)
+        row = [number, blob.getvalue().to_pybytes(), held.astype(np.uint8).tobytes(), lengths.astype(np.int64).tobytes(), distinct[order].tobytes(), _pack(counts[order]), _pack(np.concatenate(self.classes)[first][order]), [len(x) for x in self.ids], sequences]
+        kinds = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int32()), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
+
+
+def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int = 32_000_000, piece_bytes: int = 3_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Blocks of whole texts: ids, fold, token counts (with the end), distinct words, training counts, and by pieces of
+    about ``piece_bytes`` the number of texts and the word numbers. The larger a block, the fewer words are repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        block = _Block()
+        for batch in _gathered(batches, piece_bytes):
+            for i, j, data, offsets in blocks(batch.column(2), piece_bytes):
+                if block.bytes and block.bytes + len(data) > block_bytes:
+                    yield block.row(number)
+                    number, block = number + 1, _Block()
+                held = batch.column(1).slice(i, j - i).fill_null(False).to_numpy(zero_copy_only=False)
+                block.add(batch.column(0).slice(i, j - i), held, data, offsets)
+        if block.ids:
+            yield block.row(number)
+
+    return docs.select(F.col(key).cast("long"), (fold_of(key, folds) == fold).alias("held"), F.col(text)).mapInArrow(run, BLOCK)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together up to ``most_bytes``: larger blocks repeat fewer words."""
+    """Batches put together up to ``most_bytes``."""
     held, size = [], 0
     for batch in batches:
         if held and size + batch.nbytes > most_bytes:
@@ -87,49 +157,6 @@ def _gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int = 8_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Blocks of whole texts: ids, fold, token counts (with the end), distinct words, training counts, word numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 40
-        names = [x.split()[0] for x in BLOCK.split(", ")]
-        for batch in _gathered(batches, block_bytes):
-            for i, j, data, offsets in blocks(batch.column(2), block_bytes):
-                n = j - i
-                got = words(data, offsets, BLANK_SPLIT)
-                lengths = np.diff(got.first) + 1
-                total = int(lengths.sum())
-                end_at = np.cumsum(lengths) - 1
-                h = np.full(total, _END_HASH, np.uint64)
-                kind = np.zeros(total, np.uint16)
-                inside = np.ones(total, bool)
-                inside[end_at] = False
-                h[inside] = got.hashes
-                kind[inside] = word_classes(got.data, got.starts, got.ends)
-                del got
-                distinct, first, number_of, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                # common words get small numbers, which pack well
-                order = np.argsort(-often, kind="stable")
-                place = np.empty(len(order), np.uint32)
-                place[order] = np.arange(len(order), dtype=np.uint32)
-                distinct, first, number_of = distinct[order], first[order], place[number_of]
-                held = batch.column(1).slice(i, n).fill_null(False).to_numpy(zero_copy_only=False)
-                train = np.repeat(~held, lengths)
-                counts = np.bincount(number_of[train], minlength=len(distinct))
-                ids = batch.column(0).slice(i, n)
-                blob = pa.BufferOutputStream()
-                with pa.ipc.new_stream(blob, pa.schema([("doc_id", pa.int64())])) as w:
-                    w.write_batch(pa.RecordBatch.from_arrays([ids], names=["doc_id"]))
-                row = [number, n, blob.getvalue().to_pybytes(), held.astype(np.uint8).tobytes(), lengths.astype(np.int64).tobytes(), distinct.tobytes(), _pack(counts.astype(np.int64)), _pack(kind[first]), _pack(number_of)]
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
-                number += 1
-
-    return docs.select(F.col(key).cast("long"), (fold_of(key, folds) == fold).alias("held"), F.col(text)).mapInArrow(run, BLOCK)
-
-
 def word_counts(table_: DataFrame) -> DataFrame:
     """(word, class, c) of all training words: the words of blocks, with partial sums before the shuffle."""
 
@@ -143,7 +170,7 @@ def word_counts(table_: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (w, k, c)], names=["word", "class", "n"])
 
     seen = table_.select("words", "counts", "classes").mapInArrow(run, "word long, class int, n long")
-    return seen.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("c"))
+    return seen.groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("c"))
 
 
 @dataclass
@@ -386,11 +413,18 @@ def tree_sum(parts: DataFrame, space: Workspace) -> np.ndarray | None:
     return total
 
 
-def _read_block(row: dict, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol of each distinct word, word number of each token, lengths, held)."""
-    sequence = _unpack(row["sequence"], np.uint32)
-    symbols = lexicon.symbols(np.frombuffer(row["words"], np.int64), _unpack(row["classes"], np.uint16).astype(np.int64))
-    return symbols, sequence, np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
+def _pieces(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word number of each token, token counts, held) of each piece of a block."""
+    lengths, held = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
+    at = 0
+    for n, x in zip(row["docs"], row["sequences"], strict=True):
+        yield _unpack(x, np.uint32), lengths[at : at + n], held[at : at + n]
+        at += n
+
+
+def _symbols(row: dict, lexicon: Lexicon) -> np.ndarray:
+    """Symbol of each distinct word of a block."""
+    return lexicon.symbols(np.frombuffer(row["words"], np.int64), _unpack(row["classes"], np.uint16).astype(np.int64))
 
 
 def train(blocks_: DataFrame, model: Model, share: np.ndarray, lexicon, rounds: int, tolerance: float, space: Workspace) -> Model:
@@ -407,13 +441,15 @@ def train(blocks_: DataFrame, model: Model, share: np.ndarray, lexicon, rounds:
             total = np.zeros(k + k * k + k * width + 2)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    symbols, sequence, lengths, held = _read_block(batch.slice(i, 1).to_pylist()[0], lexicon.value)
-                    taught = symbols[sequence[np.repeat(~held, lengths)]]
-                    first, pairs, emissions, ll = expected_counts(sent.value, taught, lengths[~held])
-                    total += np.concatenate([first, pairs.ravel(), emissions.ravel(), [ll, len(taught)]])
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    symbols = _symbols(row, lexicon.value)
+                    for sequence, lengths, held in _pieces(row):
+                        taught = symbols[sequence[np.repeat(~held, lengths)]]
+                        first, pairs, emissions, ll = expected_counts(sent.value, taught, lengths[~held])
+                        total += np.concatenate([first, pairs.ravel(), emissions.ravel(), [ll, len(taught)]])
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["g", "x"])
 
-        total = tree_sum(blocks_.select("held", "lengths", "words", "classes", "sequence").mapInArrow(run, "g long, x binary"), space)
+        total = tree_sum(blocks_.select("held", "lengths", "words", "classes", "docs", "sequences").mapInArrow(run, "g long, x binary"), space)
         sent.unpersist()
         if total is None or not total[:k].sum():
             return model
@@ -463,28 +499,31 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 4, tolerance: float =
         model, log_share, n_train, log_below = sent.value
         ids, held, known, tokens, base, full = [], [], [], [], [], []
         for row in left.to_pylist():
-            symbols, sequence, size, fold_ = _read_block(row, terms.value)
+            symbols = _symbols(row, terms.value)
             is_common, at = terms.value.find(np.frombuffer(row["words"], np.int64))
             c = np.zeros(len(symbols))
             c[is_common] = terms.value.counts[at[is_common]]
             c[right.column("at").to_numpy()] = right.column("c").to_numpy()
             log_word = np.log10(c + 0.5) - log_below
             symbols = np.where(c > 0, symbols, unknown)
-            first = np.cumsum(size) - size
-            base.append(np.add.reduceat(log_word[sequence], first))
-            known.append(np.add.reduceat((c > 0)[sequence].astype(np.int64), first))
-            within = np.add.reduceat((log_word - log_share[symbols])[sequence], first)
-            full.append(within + log_likelihoods(model, symbols[sequence], size) / math.log(10))
+            for sequence, size, fold_ in _pieces(row):
+                first = np.cumsum(size) - size
+                base.append(np.add.reduceat(log_word[sequence], first))
+                known.append(np.add.reduceat((c > 0)[sequence].astype(np.int64), first))
+                within = np.add.reduceat((log_word - log_share[symbols])[sequence], first)
+                full.append(within + log_likelihoods(model, symbols[sequence], size) / math.log(10))
+                held.append(fold_)
+                tokens.append(size)
             ids.append(pa.ipc.open_stream(row["doc_ids"]).read_all().column(0).combine_chunks())
-            held.append(fold_)
-            tokens.append(size)
         if not ids:
             return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(SCORES.split(", "), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
         size = np.concatenate(tokens)
         return pa.table({"doc_id": pa.concat_arrays(ids), "held_out": np.concatenate(held), "n_tokens": size, "n_known": np.concatenate(known), "train_tokens": np.full(len(size), n_train), "base_score": np.concatenate(base), "score": np.concatenate(full)})
 
-    left = table_.select("block", "doc_ids", "held", "lengths", "words", "classes", "sequence").groupBy("block")
-    return left.cogroup(back.groupBy("block")).applyInArrow(run, SCORES)
+    # about a block to a task, however many there are, up to a bound
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, table_.count()))
+    left = table_.select("block", "doc_ids", "held", "lengths", "words", "classes", "docs", "sequences").repartition(n, "block").groupBy("block")
+    return left.cogroup(back.repartition(n, "block").groupBy("block")).applyInArrow(run, SCORES)
 
 
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
