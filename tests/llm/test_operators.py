@@ -91,6 +91,23 @@ def brute_contamination(docs: dict, items: dict, window: int = 10) -> dict:
     return out
 
 
+def brute_longest(docs: dict, items: dict, window: int = 10) -> dict:
+    out = {}
+    for d, t in docs.items():
+        w, best = alnum_words(t), (0, None, None)
+        for i, u in items.items():
+            x = alnum_words(u)
+            for a in range(len(w)):
+                for b in range(len(x)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(x) and w[a + n] == x[b + n]:
+                        n += 1
+                    if n >= min(window, len(x)):
+                        best = min(best, (-n, str(i), a), key=lambda y: (y[0], y[1] or "", y[2] or 0))
+        out[d] = (-best[0], best[1], best[2])
+    return out
+
+
 @pytest.mark.parametrize("slice_words", [25, 10**6])
 def test_contamination(spark: SparkSession, slice_words: int) -> None:
     random.seed(2)
@@ -100,10 +117,12 @@ def test_contamination(spark: SparkSession, slice_words: int) -> None:
     docs[7] = f"x {items[0].upper()}, y"
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(d, b, window=6, keep=["doc_id"], slice_words=slice_words).collect()}
-    assert got == brute_contamination(docs, items, 6)
+    assert len(decontaminate.write_slices(b, 6, slice_words=slice_words).files) == (1 if slice_words > 25 else 4)
+    rows = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(d, b, window=6, keep=["doc_id"], slice_words=slice_words).collect()}
+    assert {k: v[:5] for k, v in rows.items()} == brute_contamination(docs, items, 6)
+    assert {k: v[5:] for k, v in rows.items()} == brute_longest(docs, items, 6)
     kept = {r["doc_id"] for r in decontaminate.decontaminate(d, b, 6).collect()}
-    assert kept == {k for k, v in got.items() if not v[4]}
+    assert kept == {k for k, v in rows.items() if not v[4]}
 
 
 def test_longest_matches(spark: SparkSession) -> None:
