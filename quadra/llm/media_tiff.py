@@ -2,16 +2,21 @@
 
 ``read_pages`` walks each file's chain of image directories, decodes PackBits, LZW or deflate strips
 and tiles, undoes horizontal (2) and floating-point (3) predictors and gives one row per page.
-``encode`` writes lossless multi-page files of 8-bit grey samples.
+``encode`` writes lossless multi-page files of 8-bit grey samples in the same forms.
+
+Nothing is believed before it is checked: directories, values and data must lie inside the file, strips and tiles must
+be as many as the image needs, and an image is not larger than ``EXPANSION`` times its data, which no compression
+read here exceeds. So what a file makes the reader allocate is in proportion to the file.
 
 Defined results: a null or unreadable file gives one row with page null and ``error`` set; a file whose
-directory chain loops or points outside it gives the pages up to there and an error row. Extra columns
-of the input are kept unless their names clash with those of the output, in which case the output's win.
+directory chain loops, points outside it or meets a damaged page gives the pages up to there and an error row. Extra
+columns of the input are kept unless their names clash with those of the output, in which case the output's win.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,26 +35,27 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 _FORMS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
 
+#: An LZW code of nine bits and more gives 4,096 bytes at most, a deflate stream about 1,030 times its bytes.
+EXPANSION = 4096
+
+
 class TiffError(ValueError):
     """A file that breaks the format."""
 
 
+#: A run of 2 to 128 equal bytes, or 1 to 128 bytes of which none equals the next.
+_RUNS = re.compile(rb"(.)\1{1,127}|(?:(.)(?!\2)){1,128}", re.S)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    out = bytearray()
+    for m in _RUNS.finditer(data):
+        x = m.group()
+        if m.group(1):
+            out += bytes((257 - len(x), x[0]))
+        else:
+            out.append(len(x) - 1)
+            out += x
     return bytes(out)
 
 
@@ -70,44 +76,37 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """MSB-first codes of 9 to 12 bits, with the early change of width that the format asks for."""
-    out, acc, bits = bytearray(), 0, 0
-    codes = {bytes((i,)): i for i in range(256)}
-    width, nxt = 9, 258
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc = (acc << width) | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    put(256)
-    seen = b""
+    out, acc, bits, width, nxt = bytearray(), 256, 9, 9, 258
+    codes: dict[int, int] = {}
+    seen = -1
     for k in data:
-        grown = seen + bytes((k,))
-        if grown in codes:
+        if seen < 0:
+            seen = k
+            continue
+        grown = codes.get(seen << 8 | k)
+        if grown is not None:
             seen = grown
             continue
-        put(codes[seen])
-        codes[grown] = nxt
-        nxt += 1
-        if nxt > 4093:
-            put(256)
-            codes = {bytes((i,)): i for i in range(256)}
-            width, nxt = 9, 258
+        acc, bits = acc << width | seen, bits + width
+        if nxt == 4093:
+            acc, bits = acc << 12 | 256, bits + 12
+            codes, width, nxt = {}, 9, 258
         else:
-            width = 12 if nxt >= 2048 else 11 if nxt >= 1024 else 10 if nxt >= 512 else 9
-        seen = bytes((k,))
-    if seen:
-        put(codes[seen])
-        nxt += 1
-        width = 12 if nxt >= 2048 else 11 if nxt >= 1024 else 10 if nxt >= 512 else 9
-    put(257)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+            codes[seen << 8 | k] = nxt
+            nxt += 1
+            if nxt in (512, 1024, 2048):
+                width += 1
+        seen = k
+        if bits > 4000:
+            keep = bits % 8
+            out += (acc >> keep).to_bytes((bits - keep) // 8, "big")
+            acc, bits = acc & ((1 << keep) - 1), keep
+    if seen >= 0:
+        acc, bits, nxt = acc << width | seen, bits + width, nxt + 1
+        width += nxt in (512, 1024, 2048)
+    acc, bits = acc << width | 257, bits + width
+    pad = -bits % 8
+    return bytes(out) + (acc << pad).to_bytes((bits + pad) // 8, "big")
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -146,7 +145,7 @@ def lzw_decode(data: bytes, size: int) -> bytes:
 
 
 def _unpack(kind: int, data: bytes, size: int) -> bytes:
-    if kind == NONE:
+    if kind == NONE or not size:
         return data[:size]
     if kind == LZW:
         return lzw_decode(data, size)
@@ -165,36 +164,89 @@ def _unpredict(raw: bytes, predictor: int, rows: int, cols: int, samples: int, b
         x = np.frombuffer(raw, kind).reshape(rows, cols, samples)
         return np.cumsum(x, axis=1, dtype=kind.newbyteorder("=")).astype(kind).tobytes()
     if predictor == 3 and bits in (16, 32, 64):
+        # differences of bytes a pixel apart, over planes of bytes, the most significant first
         width = bits // 8
-        x = np.frombuffer(raw, np.uint8).reshape(rows, cols * width, samples) if samples == 1 else np.frombuffer(raw, np.uint8).reshape(rows, cols * width * samples // samples, samples)
+        x = np.frombuffer(raw, np.uint8).reshape(rows, cols * width, samples)
         x = np.cumsum(x, axis=1, dtype=np.uint8).reshape(rows, width, cols * samples).transpose(0, 2, 1)
         return np.ascontiguousarray(x if order == ">" else x[:, :, ::-1]).tobytes()
     raise TiffError(f"predictor {predictor} with {bits} bits")
 
 
-def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, list], int]:
+def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tuple], int]:
+    """Numbers of each tag (other kinds of values are left out), and the place of the next directory."""
     head, entry, off = (8, 20, 8) if big else (2, 12, 4)
-    form = "Q" if big else "H"
-    (n,) = struct.unpack_from(order + form, data, at)
-    tags: dict[int, list] = {}
+    word = "Q" if big else "I"
+    (n,) = struct.unpack_from(order + ("Q" if big else "H"), data, at)
+    if at + head + n * entry + off > len(data):
+        raise TiffError("a directory lies outside the file")
+    tags: dict[int, tuple] = {}
     for k in range(n):
         p = at + head + k * entry
         tag, kind = struct.unpack_from(order + "HH", data, p)
-        (count,) = struct.unpack_from(order + ("Q" if big else "I"), data, p + 4)
-        size = _SIZES.get(kind, 1) * count
-        q = p + entry - off
+        (count,) = struct.unpack_from(order + word, data, p + 4)
+        size, q = _SIZES.get(kind, 1) * count, p + entry - off
         if size > off:
-            (q,) = struct.unpack_from(order + ("Q" if big else "I"), data, q)
+            (q,) = struct.unpack_from(order + word, data, q)
         if q + size > len(data):
             raise TiffError(f"tag {tag} lies outside the file")
-        if kind in _FORMS:
-            tags[tag] = list(struct.unpack_from(f"{order}{count}{_FORMS[kind]}", data, q))
-        else:
-            tags[tag] = [data[q : q + size]]
-    (nxt,) = struct.unpack_from(order + ("Q" if big else "I"), data, at + head + n * entry)
+        if kind in _FORMS and count:
+            tags[tag] = struct.unpack_from(f"{order}{count}{_FORMS[kind]}", data, q)
+    (nxt,) = struct.unpack_from(order + word, data, at + head + n * entry)
     return tags, nxt
 
 
+def _whole(tags: dict[int, tuple], tag: int, default: int) -> int:
+    value = tags.get(tag, (default,))[0]
+    if not isinstance(value, int) or value < 0:
+        raise TiffError(f"tag {tag} is no whole number")
+    return value
+
+
+def _parts(data: bytes, tags: dict[int, tuple], places: int, counts: int, n: int, size: int) -> list[bytes]:
+    """The data of ``n`` strips or tiles, which make an image of ``size`` bytes."""
+    where = list(zip(tags.get(places, ()), tags.get(counts, ()), strict=False))
+    if len(tags.get(places, ())) != n or len(where) != n:
+        raise TiffError("strips or tiles do not fill the image")
+    if any(not isinstance(x, int) or x < 0 for w in where for x in w) or any(o + c > len(data) for o, c in where):
+        raise TiffError("a strip or tile lies outside the file")
+    if size > EXPANSION * (sum(c for _, c in where) + 1):
+        raise TiffError("the image is larger than its data")
+    return [data[o : o + c] for o, c in where]
+
+
+def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
+    get = lambda tag, default: _whole(tags, tag, default)
+    width, height, samples = get(256, 0), get(257, 0), get(277, 1)
+    bits, kind, predictor = get(258, 1), get(259, 1), get(317, 1)
+    if get(284, 1) != 1 and samples > 1:
+        raise TiffError("separate planes")
+    pixel = samples * bits
+
+    def read(raw: bytes, rows: int, row: int, cols: int) -> bytes:
+        x = _unpack(kind, raw, rows * row)
+        if len(x) != rows * row:
+            raise TiffError("a strip or tile is too short")
+        return _unpredict(x, predictor, rows, cols, samples, bits, order)
+
+    if 322 in tags:
+        tw, th, step = get(322, 0), get(323, 0), pixel // 8
+        if not tw or not th or not step or pixel % 8:
+            raise TiffError("tiles of no whole bytes")
+        across, down = -(-width // tw), -(-height // th)
+        parts = _parts(data, tags, 324, 325, across * down, across * down * tw * th * step)
+        image = np.zeros((height, width * step), np.uint8)
+        for k, raw in enumerate(parts):
+            block = np.frombuffer(read(raw, th, tw * step, tw), np.uint8).reshape(th, tw * step)
+            y, x = k // across * th, k % across * tw * step
+            image[y : y + th, x : x + tw * step] = block[: height - y, : width * step - x]
+        pixels = image.tobytes()
+    else:
+        row, per = -(-width * pixel // 8), min(get(278, height), height) or height or 1
+        parts = _parts(data, tags, 273, 279, -(-height // per), row * height)
+        pixels = b"".join(read(raw, min(per, height - k * per), row, width) for k, raw in enumerate(parts))
+    return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": kind, "predictor": predictor, "pixels": pixels}
+
+
 def pages(data: bytes) -> Iterator[dict]:
     """One dict per image directory: page, width, height, samples, bits, compression, predictor, pixels."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
@@ -204,44 +256,17 @@ def pages(data: bytes) -> Iterator[dict]:
     if magic not in (42, 43):
         raise TiffError("not a TIFF file")
     big = magic == 43
-    (at,) = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)
     seen: set[int] = set()
-    while at:
-        if at in seen or at + 2 > len(data):
-            raise TiffError("the chain of directories is broken")
-        seen.add(at)
-        tags, nxt = _directory(data, at, order, big)
-        get = lambda tag, default: tags.get(tag, [default])[0]
-        width, height, samples = get(256, 0), get(257, 0), get(277, 1)
-        bits, kind, predictor = get(258, 1), get(259, 1), get(317, 1)
-        if get(284, 1) != 1 and samples > 1:
-            raise TiffError("separate planes")
-        pixel = samples * bits
-        if 322 in tags:
-            tw, th = get(322, 0), get(323, 0)
-            if not tw or not th or pixel % 8:
-                raise TiffError("tiles of no whole bytes")
-            across, step = -(-width // tw), pixel // 8
-            image = np.zeros((height, width * step), np.uint8)
-            for k, (o, c) in enumerate(zip(tags[324], tags[325], strict=True)):
-                raw = _unpack(kind, data[o : o + c], tw * th * step)
-                raw = _unpredict(raw, predictor, th, tw, samples, bits, order)
-                block = np.frombuffer(raw, np.uint8).reshape(th, tw * step)
-                y, x = k // across * th, k % across * tw * step
-                image[y : y + th, x : x + tw * step] = block[: height - y, : width * step - x]
-            pixels = image.tobytes()
-        else:
-            row, per = -(-width * pixel // 8), get(278, height) or height
-            parts = []
-            for k, (o, c) in enumerate(zip(tags.get(273, []), tags.get(279, []), strict=True)):
-                rows = min(per, height - k * per)
-                raw = _unpack(kind, data[o : o + c], rows * row)
-                parts.append(_unpredict(raw, predictor, rows, width, samples, bits, order))
-            pixels = b"".join(parts)
-            if len(pixels) != row * height:
-                raise TiffError("strips do not fill the image")
-        yield {"page": len(seen) - 1, "width": width, "height": height, "samples": samples, "bits": bits, "compression": kind, "predictor": predictor, "pixels": pixels}
-        at = nxt
+    try:
+        (at,) = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)
+        while at:
+            if at in seen or at >= len(data):
+                raise TiffError("the chain of directories is broken")
+            seen.add(at)
+            tags, at = _directory(data, at, order, big)
+            yield {"page": len(seen) - 1} | _page(data, tags, order)
+    except (struct.error, zlib.error, OverflowError) as e:
+        raise TiffError(str(e)) from e
 
 
 def encode(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: int = 1024, compression: int = DEFLATE, predictor: int = 1, level: int = 1, order: str = "<", tile: int = 0) -> bytes:
@@ -308,16 +333,17 @@ def read_pages(df: DataFrame, column: str = "media") -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for i, data in enumerate(batch.column(len(names)).to_pylist()):
+            at, rows, size = [], [], 0
+            for i in range(batch.num_rows):
                 try:
-                    for page in pages(data or b""):
+                    for page in pages(batch.column(len(names))[i].as_py() or b""):
                         at.append(i)
                         rows.append(page | {"error": None})
-                        if sum(len(r["pixels"] or b"") for r in rows[-64:]) > 32_000_000:
+                        size += len(page["pixels"])
+                        if size > 32_000_000:
                             yield _page_batch(batch, names, at, rows, fields)
-                            at, rows = [], []
-                except (TiffError, ValueError, struct.error, zlib.error) as e:
+                            at, rows, size = [], [], 0
+                except TiffError as e:
                     at.append(i)
                     rows.append(dict.fromkeys(taken) | {"error": str(e)})
             yield _page_batch(batch, names, at, rows, fields)
@@ -340,11 +366,19 @@ def text_payload(text: bytes, unit: int = 64) -> bytes:
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def text_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def form_of(payload: bytes) -> dict:
+    """The form in which a payload is stored: one of 32, told by its checksum, so equal payloads are stored alike."""
+    v = zlib.crc32(payload)
+    return {"compression": (DEFLATE, LZW, PACKBITS, NONE)[v % 4], "predictor": 1 + (v >> 2) % 2, "tile": 32 * ((v >> 3) % 2), "order": "<>"[(v >> 4) % 2]}
+
+
+def text_media(df: DataFrame, text: str = "text", key: str = "doc_id", page_rows: int = 256, strip_rows: int = 64) -> DataFrame:
     """Store each whole text as a TIFF, read the stored bytes back and describe what was read.
 
-    The feature is pages, rows, mean and entropy (bits, four decimals) of the samples read back. A null text
-    is empty, and an empty one is a page of one row of zeros. One row per input row, repeated or not.
+    Pages have ``page_rows`` rows of 64 samples. Compression, predictor, strips or tiles and byte order are
+    those of ``form_of``, so all are in use. The feature has pages, rows, mean and entropy (bits, four decimals) of the samples
+    read back, and the form as read. A null text is empty, and an empty one is a page of one row of zeros. One row per
+    input row, repeated or not.
     """
     small_batches(df.sparkSession)
 
@@ -355,15 +389,20 @@ def text_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 cols: list[list] = [[] for _ in range(7)]
                 for k in range(j - i):
                     raw = data[offsets[k] : offsets[k + 1]].tobytes()
-                    media = encode(text_payload(raw))
-                    found = list(pages(media))
-                    payload = b"".join(p["pixels"] for p in found)
-                    counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                    share = counts[counts > 0] / len(payload)
+                    payload = text_payload(raw)
+                    media = encode(payload, page_rows=page_rows, strip_rows=strip_rows, **form_of(payload))
+                    sha, n, tail, counts, n_pages, rows = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0, 0
+                    for page in pages(media):
+                        pixels = page["pixels"]
+                        sha.update(pixels)
+                        tail = (tail + pixels[-64:])[-64:]
+                        counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+                        n, n_pages, rows = n + len(pixels), n_pages + 1, rows + page["height"]
+                    share = counts[counts > 0] / n
                     entropy = abs(float(-(share * np.log2(share)).sum()))
-                    mean = float(counts @ np.arange(256)) / len(payload)
-                    feature = f"pages={len(found)};rows={sum(p['height'] for p in found)};mean={mean:.4f};entropy={entropy:.4f}"
-                    row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                    mean = float(counts @ np.arange(256)) / n
+                    feature = f"pages={n_pages};rows={rows};mean={mean:.4f};entropy={entropy:.4f};compression={page['compression']};predictor={page['predictor']}"
+                    row = (len(raw), n, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

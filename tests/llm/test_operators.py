@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from functools import reduce
@@ -159,23 +160,107 @@ def test_tiff_float_predictor() -> None:
     assert media_tiff._unpredict(stored, 3, 3, 5, 1, 32, "<") == x.tobytes()
 
 
+def by_hand(order: str, tags: list[tuple], data: bytes = b"", big: bool = False) -> bytes:
+    """A file as another writer lays it out: the data first, then one directory; values of tags are given packed.
+
+    A tag is (number, kind, count, packed value or place of it)."""
+    word, entry = ("Q", "HHQ8s") if big else ("I", "HHI4s")
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 16 + len(data)) if big else struct.pack(order + "HI", 42, 8 + len(data)))
+    ifd = struct.pack(order + ("Q" if big else "H"), len(tags)) + b"".join(struct.pack(order + entry, *t) for t in tags) + struct.pack(order + word, 0)
+    return head + data + ifd
+
+
+def short(order: str, n: int) -> bytes:
+    return struct.pack(order + "H", n)
+
+
+def long(order: str, n: int) -> bytes:
+    return struct.pack(order + "I", n)
+
+
+def test_tiff_samples_of_the_format() -> None:
+    """The worked samples of the published format: a PackBits stream and an LZW code sequence."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert media_tiff.packbits_decode(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")[:24]
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    stream = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert media_tiff.lzw_decode(stream, 99) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and media_tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == stream
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("big", [False, True])
+def test_tiff_of_another_writer(order: str, big: bool) -> None:
+    """RGB of 16 bits with predictor 2, two strips, text tags and long tags in any order of kinds; also big files."""
+    x = np.random.default_rng(2).integers(0, 2**16, (3, 4, 3)).astype(np.uint16)
+    d = np.diff(x, axis=1, prepend=np.zeros((3, 1, 3), np.uint16)).astype(order + "u2")
+    strips = [zlib.compress(d[:2].tobytes()), zlib.compress(d[2:].tobytes())]
+    at = 16 if big else 8
+    data = strips[0] + strips[1]
+    s = lambda n: short(order, n)
+    more = data + struct.pack(order + "3H", 16, 16, 16) + struct.pack(order + "2I", at, at + len(strips[0])) + struct.pack(order + "2I", *map(len, strips)) + b"a writer\0"
+    place = lambda n: struct.pack(order + ("Q" if big else "I"), at + len(data) + n)
+    inline = lambda n, raw: raw if big else place(n)
+    tags = [(256, 3, 1, s(4)), (257, 4, 1, long(order, 3)), (258, 3, 3, inline(0, struct.pack(order + "3H", 16, 16, 16))), (259, 3, 1, s(8)), (262, 3, 1, s(2)),
+            (273, 4, 2, inline(6, struct.pack(order + "2I", at, at + len(strips[0])))), (277, 3, 1, s(3)), (278, 3, 1, s(2)), (279, 4, 2, inline(14, struct.pack(order + "2I", *map(len, strips)))), (305, 2, 9, place(22)), (317, 3, 1, s(2)), (270, 2, 0, b"")]
+    (page,) = media_tiff.pages(by_hand(order, tags, more, big))
+    assert np.frombuffer(page["pixels"], order + "u2").reshape(3, 4, 3).tolist() == x.tolist()
+
+
+@pytest.mark.parametrize("change", [
+    {324: None}, {325: None}, {256: (256, 3, 0, b"")}, {256: (256, 2, 4, b"abc\0")}, {256: (256, 4, 1, b"\xff\xff\xff\x7f"), 257: (257, 4, 1, b"\xff\xff\xff\x7f")},
+    {322: (322, 4, 1, b"\xff\xff\xff\x7f")}, {258: (258, 3, 1, b"\1\0")}, {259: (259, 3, 1, b"\7\0")}, {317: (317, 3, 1, b"\3\0")}, {324: (324, 4, 1, b"\xff\xff\0\0")}, {256: (256, 11, 1, b"\0\0\x80\x3f")}, {256: (256, 9, 1, b"\xff\xff\xff\xff")}])
+def test_tiff_damaged(change: dict) -> None:
+    good = {256: (256, 3, 1, b"\x10\0"), 257: (257, 3, 1, b"\x10\0"), 258: (258, 3, 1, b"\x08\0"), 259: (259, 3, 1, b"\1\0"), 322: (322, 4, 1, b"\x10\0\0\0"), 323: (323, 4, 1, b"\x10\0\0\0"), 324: (324, 4, 1, b"\x08\0\0\0"), 325: (325, 4, 1, b"\0\1\0\0")}
+    data = bytes(range(256))
+    (page,) = media_tiff.pages(by_hand("<", list(good.values()), data))
+    assert page["pixels"] == data
+    with pytest.raises(media_tiff.TiffError):
+        list(media_tiff.pages(by_hand("<", [t for t in (good | change).values() if t], data)))
+
+
+@given(st.data())
+@settings(max_examples=300, deadline=None)
+def test_tiff_never_fails_otherwise(data) -> None:
+    """Bytes changed or cut anywhere: pages, or a TiffError."""
+    form = {"compression": data.draw(st.sampled_from([1, 5, 8, 32773])), "predictor": data.draw(st.sampled_from([1, 2])), "tile": data.draw(st.sampled_from([0, 16])), "order": data.draw(st.sampled_from("<>"))}
+    raw = bytearray(media_tiff.encode(bytes(range(64)) * 40, page_rows=16, strip_rows=5, **form))
+    for _ in range(data.draw(st.integers(1, 6))):
+        raw[data.draw(st.integers(4, len(raw) - 1))] = data.draw(st.integers(0, 255))
+    raw = raw[: data.draw(st.integers(0, len(raw)))] if data.draw(st.booleans()) else raw
+    try:
+        assert all(len(p["pixels"]) <= media_tiff.EXPANSION * (len(raw) + 1) for p in media_tiff.pages(bytes(raw)))
+    except media_tiff.TiffError:
+        pass
+
+
 def test_tiff_pages(spark: SparkSession) -> None:
     good = media_tiff.encode(bytes(64 * 40), page_rows=16)
-    rows = [(1, good, "a"), (2, b"junk", "b"), (3, None, "c"), (4, good[:60], "d")]
+    huge = by_hand("<", [(256, 4, 1, b"\xff\xff\xff\x7f"), (257, 4, 1, b"\xff\xff\xff\x7f"), (258, 3, 1, b"\x08\0"), (322, 3, 1, b"\x10\0"), (323, 3, 1, b"\x10\0")])
+    rows = [(1, good, "a"), (2, b"junk", "b"), (3, None, "c"), (4, good[:60], "d"), (5, huge, "e"), (6, good, "f")]
     got = media_tiff.read_pages(spark.createDataFrame(rows, "id int, media binary, page string")).collect()
-    assert Counter(r["id"] for r in got) == {1: 3, 2: 1, 3: 1, 4: 1}
-    assert [r["height"] for r in got if r["id"] == 1] == [16, 16, 8] and all(r["error"] for r in got if r["id"] > 1)
+    assert Counter(r["id"] for r in got) == {1: 3, 2: 1, 3: 1, 4: 1, 5: 1, 6: 3}
+    assert [r["height"] for r in got if r["id"] == 1] == [16, 16, 8] and all(bool(r["error"]) == (r["id"] not in (1, 6)) for r in got)
 
 
 def test_text_media(spark: SparkSession) -> None:
+    """Every column of the query; the mean and entropy from the text itself, the form from the stored tags."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    text, seen = {r["doc_id"]: r["text"] for r in docs.collect()}, set()
     for r in media_tiff.op3_media_tiff(spark, SF).collect():
         raw = text[r["doc_id"]].encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-        media = media_tiff.encode(payload)
+        form = media_tiff.form_of(payload)
+        media = media_tiff.encode(payload, page_rows=256, strip_rows=64, **form)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        share = [n / len(payload) for n in Counter(payload).values()]
+        got = dict(x.split("=") for x in r["feature"].split(";"))
+        assert float(got["mean"]) == pytest.approx(sum(payload) / len(payload), abs=1e-4) and float(got["entropy"]) == pytest.approx(-sum(p * math.log2(p) for p in share), abs=1e-4)
+        assert (int(got["pages"]), int(got["rows"])) == (-(-len(payload) // (64 * 256)), len(payload) // 64)
+        assert (int(got["compression"]), int(got["predictor"])) == (form["compression"], form["predictor"])
+        seen.add(tuple(form.values()))
+    assert len(seen) >= 30
 
 
 # 4
