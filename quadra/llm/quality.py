@@ -1,16 +1,19 @@
 """Quality classifier: similarity-weighted votes of the nearest labelled documents in a latent-semantic space.
 
-Terms are pairs of neighbouring character classes (lower case and non-ASCII letters, upper case, digits, blanks and
-every ASCII mark by itself) and eighths of three repetition rates; a document's vector is the square root of its
-term shares. A truncated singular value decomposition of at most ``sample`` labelled documents gives the latent
-axes; their latent vectors, of fixed size, are broadcast, and every document's exact cosines with all of them are
-taken in blocks. The ``neighbours`` nearest vote with similarity to the power ``sharpness``.
+Terms are the document's words (lower-cased, by ``WORDS`` hash buckets), pairs of neighbouring character classes (lower
+case and non-ASCII letters, upper case, digits, blanks and every ASCII mark by itself) and eighths of three repetition
+rates; a document's vector is the square root of its weighted term shares. A truncated singular value decomposition of
+at most ``sample`` labelled documents gives the latent axes; their latent vectors, of fixed size, are broadcast, and every
+document's exact cosines with all of them are taken in blocks. The ``neighbours`` nearest, without the document itself,
+vote with similarity to the power ``sharpness``; of equally near ones (to a millionth) those of smaller ids.
 
 The bound on labelled rows is the parameter ``sample`` (4,096 by default, chosen by a hash of the id). All documents
-are scored, over their whole texts. Labels, language, source and id never enter a score.
+are scored, over their whole texts. Labels, language, source and id never enter a score: a document that teaches
+leaves its own label out of its vote.
 
 Defined results: null and empty texts are scored like any other (their terms are all zero); labels that are null
-or whose document is missing teach nothing; several labels of one id are averaged; without any usable label every score is 0.5;
+or whose document is missing teach nothing; several labels of one id are averaged; of several texts of a labelled id
+one teaches, and none of that id is scored by it; without any usable label of another document the score is 0.5;
 repeated rows are each scored; columns of the input named like the output's are replaced.
 """
 
@@ -37,10 +40,14 @@ _CLASS[10] = 4
 _CLASS[_MARKS] = np.arange(5, 5 + len(_MARKS))
 _CLASS[[*range(10), *range(11, 32), 127]] = 5 + len(_MARKS)
 _K = 6 + len(_MARKS)
-#: Terms: pairs of classes, then eighths of three rates.
-TERMS = _K * _K + 24
-#: Weight of a repetition rate against the sum of all pair shares, 1.
-_RATE = 0.05
+#: Buckets of words.
+WORDS = 2048
+#: Terms: pairs of classes, then eighths of three rates, then words.
+_RATES = _K * _K
+_WORDS = _RATES + 24
+TERMS = _WORDS + WORDS
+#: Weights of a repetition rate and of the sum of all word shares against the sum of all pair shares, 1.
+_RATE, _WORD = 0.05, 0.2
 
 
 def terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -73,31 +80,53 @@ def _vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         again = float((h[1:] == h[:-1]).mean()) if m > 1 else 0.0
         rates = (again, 1 - len(shingles(h, 3)) / max(1, m - 2), 1 - len(np.unique(h)) / m)
         for r, rate in enumerate(rates):
-            out[k, _K * _K + 8 * r + min(7, int(max(0.0, rate) * 8))] = _RATE
+            out[k, _RATES + 8 * r + min(7, int(max(0.0, rate) * 8))] = _RATE
+    of = np.repeat(np.arange(n), np.diff(got.first))
+    counts = np.bincount(of * WORDS + (got.hashes >> np.uint64(40)).astype(np.int64) % WORDS, minlength=n * WORDS).reshape(n, WORDS)
+    out[:, _WORDS:] = counts * (_WORD / np.maximum(1, counts.sum(1, keepdims=True)))
     return np.sqrt(out)
 
 
 class Space:
-    """Latent axes and the labelled vectors in them."""
+    """Latent axes and the labelled vectors in them, in the order of their ids."""
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, dims: int) -> None:
+    def __init__(self, vectors: np.ndarray, labels: np.ndarray, dims: int, ids: np.ndarray | None = None) -> None:
         self.mean = vectors.mean(0)
-        centred = vectors - self.mean
-        _, axes = np.linalg.eigh(centred.T @ centred)
-        self.axes = np.ascontiguousarray(axes[:, -dims:]).astype(np.float32)
+        self.axes = _leading(vectors - self.mean, dims).astype(np.float32)
         self.points = self.project(vectors)
         self.labels = labels.astype(np.float32)
+        self.ids = np.arange(len(vectors)) if ids is None else ids
 
     def project(self, vectors: np.ndarray) -> np.ndarray:
         x = (vectors - self.mean) @ self.axes
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def score(self, vectors: np.ndarray, neighbours: int, sharpness: float) -> np.ndarray:
+    def score(self, vectors: np.ndarray, neighbours: int, sharpness: float, ids: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
+        """Scores of documents with these ids (``known``: which ids are not null), each without its own vote."""
         cosines = self.project(vectors) @ self.points.T
-        k = min(neighbours, len(self.points))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        n = len(self.points)
+        # whole numbers, so that ties are ties however rows were batched, and their order is that of ids
+        rank = np.rint(cosines * 1e6).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        if ids is not None:
+            at = np.minimum(np.searchsorted(self.ids, ids), n - 1)
+            own = np.flatnonzero((self.ids[at] == ids) & (True if known is None else known))
+            rank[own, at[own]] = -(2**62)
+        k = min(neighbours, n)
+        near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** sharpness + 1e-9
-        return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1)
+        weight[np.take_along_axis(rank, near, 1) == -(2**62)] = 0
+        total = weight.sum(1)
+        return np.where(total > 0, np.clip((weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1), 0, 1), 0.5)
+
+
+def _leading(x: np.ndarray, dims: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """The leading right singular vectors of ``x``, by subspace iteration."""
+    dims = min(dims, *x.shape)
+    q = np.random.default_rng(seed).standard_normal((x.shape[1], min(2 * dims + 8, *x.shape)))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return q @ v[:dims].T
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 32, text: str = "text", key: str = "doc_id", label: str = "quality") -> Space | None:
@@ -118,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 32,
         return None
     rows.sort(key=lambda r: r["_id"])
     vectors = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
-    return Space(vectors, np.array([r["_y"] for r in rows]), dims)
+    return Space(vectors, np.array([r["_y"] for r in rows]), dims, np.array([r["_id"] for r in rows]))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 4096, dims: int = 32, neighbours: int = 16, sharpness: float = 8.0, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -135,11 +164,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
         space = sent.value
         for batch in batches:
             for i, j, x in terms(batch.column(k)):
-                s = np.full(j - i, 0.5) if space is None else space.score(x, neighbours, sharpness)
+                ids = batch.column(k + 2).slice(i, j - i)
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                s = np.full(j - i, 0.5) if space is None else space.score(x, neighbours, sharpness, ids.fill_null(0).to_numpy(), known)
                 kept = [batch.column(c).slice(i, j - i) for c in range(k)]
                 yield pa.RecordBatch.from_arrays([*kept, batch.column(k + 1).slice(i, j - i), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=out.names)
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("__quadra_text"), (fold_of(key) == 0).alias("__quadra_held")).mapInArrow(run, out)
+    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("__quadra_text"), (fold_of(key) == 0).alias("__quadra_held"), F.col(key).cast("long").alias("__quadra_id")).mapInArrow(run, out)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:

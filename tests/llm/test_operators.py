@@ -71,6 +71,54 @@ def test_quality_exact_neighbours() -> None:
         assert got[i] == pytest.approx(sum(a * y[j] for a, j in zip(w, near, strict=True)) / sum(w), abs=1e-4)
 
 
+def test_quality_vectors() -> None:
+    """Terms of each text, counted by loops."""
+    def kind(b: int) -> int:
+        c = chr(b)
+        marks = [chr(x) for x in range(33, 127) if not chr(x).isalnum()]
+        if "A" <= c <= "Z":
+            return 1
+        if "0" <= c <= "9":
+            return 2
+        if c in " \n":
+            return 3 if c == " " else 4
+        return 5 + marks.index(c) if c in marks else 5 + len(marks) if b < 32 or b == 127 else 0
+
+    texts = [None, "", "a", "The the THE cat, sat 12\tx\n" * 3, "é!? word Word the \x7f", "x y z x y z"]
+    data, offsets = utf8(pa.array(texts))
+    got = quality._vectors(data, offsets)
+    for row, t in zip(got, texts, strict=True):
+        want, raw, w = np.zeros(quality.TERMS), (t or "").encode(), blank_words(t)
+        for x, y in zip(raw, raw[1:], strict=False):
+            want[kind(x) * quality._K + kind(y)] += 1 / (len(raw) - 1)
+        for x in w:
+            h = int(words(*utf8(pa.array([x])), BLANK_SPLIT).hashes[0])
+            want[quality._WORDS + (h >> 40) % quality.WORDS] += quality._WORD / len(w)
+        if w:
+            grams = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+            rates = [sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(1, len(w) - 1), 1 - len(grams) / max(1, len(w) - 2), 1 - len(set(w)) / len(w)]
+            for r, rate in enumerate(rates):
+                want[quality._RATES + 8 * r + min(7, int(rate * 8))] = quality._RATE
+        assert np.allclose(row, np.sqrt(want), atol=1e-6)
+
+
+def test_quality_leaves_itself_out(spark: SparkSession) -> None:
+    """A document's own label never moves its score; a sole teacher scores itself 0.5; ties go to smaller ids."""
+    random.seed(4)
+    docs = spark.createDataFrame([(i, " ".join(random.choices(["alpha", "beta", "Gamma!", "7"], k=9))) for i in range(40)], "doc_id long, text string")
+    label = {i: i % 2 for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    scores = []
+    for flipped in (None, 3, 8):
+        labels = spark.createDataFrame([(i, y ^ (i == flipped)) for i, y in label.items()], "doc_id long, quality int")
+        scores.append({r["doc_id"]: r["score"] for r in quality.score(docs, labels, dims=6, neighbours=5).collect()})
+    for flipped, got in ((3, scores[1]), (8, scores[2])):
+        assert flipped in label and got[flipped] == scores[0][flipped] and got != scores[0]
+    alone = quality.score(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"), dims=6).collect()
+    assert {r["score"] for r in alone if r["doc_id"] == 3} == {0.5} and {r["score"] for r in alone if r["doc_id"] != 3} == {1.0}
+    space = quality.Space(np.ones((6, 4), np.float32), np.array([1, 1, 0, 0, 0, 0]), 2)
+    assert space.score(np.ones((1, 4), np.float32), 2, 8.0).tolist() == [1.0]
+
+
 # 2
 
 def brute_contamination(docs: dict, items: dict, window: int = 10) -> dict:
