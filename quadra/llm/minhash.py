@@ -2,21 +2,29 @@
 
 1. Each text's set of distinct word shingles is hashed once; the ``K`` smallest values are its sketch. Texts of
    equal sets form one class (a 128-bit sum over the set), so exact copies are one row from here on.
-2. Inverted lists: every three neighbouring values among the ``RUN_WINDOW`` smallest are a key. Two sets whose
+2. Inverted lists: every three neighbouring values among the smallest (``window`` of them) are a key. Two sets whose
    smallest values are mostly shared have such a run in common; a passage shared by otherwise different texts rarely
-   makes one. Sets of up to ``SMALL * 100 / percent`` shingles are also keyed by each value of their prefix, of which two
+   makes one. Sets of up to ``window * 100 / percent`` shingles are also keyed by each value of their prefix, of which two
    sets that are near share one for certain. Lists with the same members are kept once.
 3. In each list the union-sketch estimate filters: a member near a pivot joins its clump; members very near leave
-   the pool, all others stay as pivots or members for later ones. Clumps give spanning edges, never all pairs. Lists
-   above ``LIST_CAP`` members become one clump without a filter, so nothing is lost.
-4. Components of those edges are blocks. The full sets of a block's classes meet in one task, or, in a large
-   block, in tasks for pairs of chunks of near sizes; exact counts of common shingles link sets with
-   100 * intersection >= percent * union. Tasks return spanning edges only.
+   the pool, all others stay as pivots or members for later ones. Clumps give spanning edges, never all pairs. A
+   list is worked on in parts of about ``LIST_PART`` members; the pivots of its parts are its members on the next
+   level, where a lower estimate joins them, until one part holds them. Pivots that a level does not thin out
+   to half are left to step 4, all in one block.
+4. Components of those edges are blocks. The full sets of a block's classes meet in one task, if they are few and small.
+   A larger block is dealt to parts: links inside parts come first, then links among some members of every
+   component of every part; only classes that then are not in the block's largest component are held against the
+   other parts, pair by pair of parts. Exact counts of common shingles link sets with
+   100 * intersection >= percent * union. Tasks return spanning edges only and skip pairs that are joined already.
 5. Components of the exact links give every document the smallest document id it reaches.
 
-A pair whose smaller set has at most ``SMALL`` shingles always shares a key. A pair of larger sets shares none with
-chance 6.5e-7 at similarity 0.85 and 1.5e-5 at 0.8 (32 neighbouring values of the union, each shared with that
-chance, without three in a row); more similar pairs are missed less.
+So a family of copies that are all joined costs time in proportion to its size, whatever that is; only members that are
+in a block but not joined to its main component are compared with all of its parts.
+
+A pair whose smaller set has at most ``window`` shingles always shares a key. A pair of larger sets shares none with
+chance 6.5e-7 at similarity 0.85 and 5.7e-8 at 0.8 (``window`` neighbouring values of the union, 32 from 0.85 on and
+48 below, each shared with that chance, without three in a row); more similar pairs are missed less. The estimate's
+standard error is 0.06 or less, a fifth of what separates near pairs from ``LOOSE``.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; a text of fewer
 words than a shingle is one shingle; equal sets are linked; repeated rows each get their row; a row with a null id
@@ -38,14 +46,15 @@ from quadra.llm.graph import components
 from quadra.llm.store import Workspace, small_batches
 
 K = 64
-RUN_WINDOW = 32
-LIST_CAP = 8000
-#: Pairs whose smaller set has at most so many shingles are found for certain.
-SMALL = 32
-#: Estimated similarity from which a member joins a pivot's clump, and from which it leaves the pool.
-LOOSE, CORE = 0.45, 0.85
-#: Classes of a block that one task verifies; larger blocks are cut in chunks of about half that.
-BLOCK_CLASSES = 2000
+#: Members of a list that one part of it holds.
+LIST_PART = 1000
+#: Estimated similarity from which a member joins a pivot's clump (of pivots of different parts, a lower one), and
+#: from which it leaves the pool.
+LOOSE, LOOSE_PARTS, CORE = 0.45, 0.3, 0.85
+#: Classes and bytes of sets that one task verifies; larger blocks are cut in parts of about half that.
+BLOCK_CLASSES, BLOCK_BYTES = 2000, 24_000_000
+#: Classes of each part of a large block that meet those of the other parts first.
+DELEGATES = 16
 _BITMAP = 23
 
 SKETCH = "doc_id long, n_shingles long, a long, b long, sketch array<long>"
@@ -82,83 +91,128 @@ def estimates(p: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (shared & (rank < K)).sum(1) / np.maximum(1, union)
 
 
-def clumps(nodes: np.ndarray, sketch: list[np.ndarray], size: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join one list's clumps: a spanning forest, so fewer edges than members."""
+def window(percent: int) -> int:
+    """Smallest values of a sketch whose runs are keys."""
+    return 32 if percent >= 85 else 48
+
+
+def clumps(nodes: np.ndarray, sketch: list[np.ndarray], size: np.ndarray, loose: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that join one list's clumps (a spanning forest, so fewer edges than members), and its pivots."""
     m = len(nodes)
     lengths = np.array([len(s) for s in sketch])
     rows = np.full((m, K), np.uint64(2**64 - 1), np.uint64)
     for i, s in enumerate(sketch):
         rows[i, : len(s)] = s
-    edges = []
+    edges, pivots = [], []
     group = np.arange(m)  # clump of each member
     pool = np.argsort(size, kind="stable")
-    while len(pool) > 1:
+    while len(pool):
         p, rest = pool[0], pool[1:]
+        pivots.append(int(p))
         # the pool ascends by size, and a set this much larger cannot be near the pivot
-        rest_near = rest[: np.searchsorted(size[rest], size[p] / LOOSE, side="right")]
+        rest_near = rest[: np.searchsorted(size[rest], size[p] / loose, side="right")]
         if not len(rest_near):
             pool = rest
             continue
         e = estimates(rows[p, : lengths[p]], rows[rest_near], lengths[rest_near])
-        near = rest_near[e >= LOOSE]
+        near = rest_near[e >= loose]
         apart = near[group[near] != group[p]]
         # one edge to each clump that this pivot meets
         met, first = np.unique(group[apart], return_index=True)
         edges += [(int(nodes[p]), int(nodes[x])) for x in apart[first]]
         group[np.isin(group, met)] = group[p]
         pool = np.concatenate([rest_near[e < CORE], rest[len(rest_near) :]])
-    return edges
-
-
-def _list_edges(lists: DataFrame) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        nodes = t.column("node").to_numpy()
-        sketch = [np.array(s, np.int64).astype(np.uint64) for s in t.column("sketch").to_numpy()]
-        e = clumps(nodes, sketch, t.column("n_shingles").to_numpy())
-        return pa.table({"u": pa.array([x for x, _ in e], pa.int64()), "v": pa.array([y for _, y in e], pa.int64())})
-
-    return lists.groupBy("key").applyInArrow(run, "u long, v long")
-
-
-def exact_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links among sets (between ``left`` and the others, if given)."""
+    return edges, pivots
+
+
+MEMBER = "key long, node long, n_shingles long, sketch array<long>"
+
+
+def _list_edges(members: DataFrame, space: Workspace) -> DataFrame:
+    """Edges (u, v) of all lists (rows of ``MEMBER``), level by level."""
+    parts, level = [], 0
+    names = [x.split()[0] for x in MEMBER.split(", ")]
+    members = space.keep(members.select(names), "members")
+    sizes = space.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+
+    def worked(loose: float):
+        def run(t: pa.Table) -> pa.Table:
+            nodes, size, sketch = t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), t.column("sketch")
+            e, pivots = clumps(nodes, [np.array(s, np.int64).astype(np.uint64) for s in sketch.to_numpy()], size, loose)
+            edges = pa.table({"u": pa.array([x for x, _ in e], pa.int64()), "v": pa.array([y for _, y in e], pa.int64())})
+            # the pivots of a list of one part have nobody to meet
+            kept = t.select(names).take(pa.array(pivots if t.column("parts")[0].as_py() > 1 else [], pa.int64()))
+            return pa.concat_tables([edges, kept], promote_options="default").select(["u", "v", *names])
+
+        return run
+
+    while True:
+        n = F.ceil(F.col("m") / LIST_PART)
+        dealt = members.join(sizes.hint("merge"), "key").withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts")))
+        out = space.keep(dealt.groupBy("key", "part").applyInArrow(worked(LOOSE if level == 0 else LOOSE_PARTS), f"u long, v long, {MEMBER}"), "edges")
+        parts.append(out.where("u is not null").select("u", "v"))
+        pivots = out.where("u is null").select(names)
+        now = pivots.groupBy("key").agg(F.count(F.lit(1)).alias("p"), F.min("node").alias("low"))
+        now = space.keep(now.join(sizes.hint("merge"), "key"), "pivots")
+        # lists whose pivots are over half of their members go on as one block
+        left = now.where(2 * F.col("p") > F.col("m")).select(F.col("key").alias("k"), "low")
+        parts.append(pivots.join(left.hint("merge"), F.col("key") == F.col("k")).select(F.col("low").alias("u"), F.col("node").alias("v")))
+        sizes = now.where(2 * F.col("p") <= F.col("m")).select("key", F.col("p").alias("m"))
+        if sizes.isEmpty():
+            break
+        members, level = pivots, level + 1
+    edges = parts[0]
+    for x in parts[1:]:
+        edges = edges.unionByName(x)
+    return edges.where("u <> v")
+
+
+def exact_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the links among sets (between ``left`` and the others, if given).
+
+    Sets of one component (``known``: its number, by set) are not held against each other.
+    """
     m = len(nodes)
     n = np.array([len(s) for s in sets])
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(m), n)
     often = counts[inverse] > 1
     inverse, doc = inverse[often], doc[often]
+    starts = np.searchsorted(doc, np.arange(m + 1))
+    kept = np.diff(starts)
     by_value = np.argsort(inverse, kind="stable")
     post = doc[by_value]
     first = np.searchsorted(inverse[by_value], np.arange(len(values) + 1))
-    starts = np.searchsorted(doc, np.arange(m + 1))
-    parent = np.arange(m)
+    mine = np.zeros(len(values), bool)
+    group = np.arange(m) if known is None else np.unique(known, return_inverse=True)[1]
+    out = []
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def spread(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        return np.repeat(at - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
 
-    out = []
-    for x in range(m):
-        mine = inverse[starts[x] : starts[x + 1]]
-        if left is not None and not left[x] or not len(mine):
+    for x in np.argsort(n, kind="stable").tolist():
+        if left is not None and not left[x] or not kept[x]:
             continue
-        spans = first[mine + 1] - first[mine]
-        at = np.repeat(first[mine] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-        common = np.bincount(post[at], minlength=m)
-        union = n + n[x] - common
-        near = (100 * common >= percent * union) & (common > 0)
-        near[x] = False
+        near = (group != group[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
         if left is not None:
             near &= ~left
+        others = np.flatnonzero(near)
+        if not len(others):
+            continue
+        values_of = inverse[starts[x] : starts[x + 1]]
+        spans = first[values_of + 1] - first[values_of]
+        if kept[others].sum() < spans.sum():
+            # few others: their values are looked up among those of x
+            mine[values_of] = True
+            hit = mine[inverse[spread(starts[others], kept[others])]]
+            mine[values_of] = False
+            common = np.bincount(np.repeat(np.arange(len(others)), kept[others])[hit], minlength=len(others))
         else:
-            near[: x + 1] = False
-        for y in np.flatnonzero(near):
-            a, b = root(x), root(int(y))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+            common = np.bincount(post[spread(first[values_of], spans)], minlength=m)[others]
+        linked = others[(100 * common >= percent * (n[others] + n[x] - common)) & (common > 0)]
+        for y in linked.tolist():
+            if group[y] != group[x]:
+                group[group == group[y]] = group[x]
                 out.append((int(nodes[x]), int(nodes[y])))
     return out
 
@@ -197,39 +251,75 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, width: int, text: str, key: s
     return sets.join(chosen.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("a") == F.col("node"))).drop("doc_id", "a", "rep").dropDuplicates(["node"])
 
 
-def _verified(blocks_: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
-    """Spanning edges of exact links in every block. ``blocks_``: (node, root); ``sets``: (node, n_shingles, set)."""
-    x = space.keep(sets.join(blocks_.hint("merge"), "node"), "sets")
-    sizes = space.keep(x.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-    x = x.join(sizes.hint("merge"), "root")
-    small = x.where(F.col("m") <= BLOCK_CLASSES).withColumns({"g": F.xxhash64("root"), "left": F.lit(None).cast("boolean")}).select("root", "g", "left", "node", "set")
-    # large blocks: sets more than one size step apart are no pairs, each step is dealt to chunks
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    big = x.where(F.col("m") > BLOCK_CLASSES).withColumn("s", step)
-    chunks = big.groupBy("root", "s").agg(F.ceil(F.count(F.lit(1)) / (BLOCK_CLASSES // 2)).cast("int").alias("c"))
-    beside = lambda d, name: chunks.select(F.col("root").alias(f"r{name}"), (F.col("s") + d).alias(f"s{name}"), F.col("c").alias(name))
-    big = big.join(chunks, ["root", "s"])
-    for d, name in ((-1, "up"), (1, "down")):
-        other = beside(d, name)
-        big = big.join(other, (F.col("root") == F.col(f"r{name}")) & (F.col("s") == F.col(f"s{name}")), "left").drop(f"r{name}", f"s{name}")
-    big = big.withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    place = lambda s, i, s2, i2, left: F.struct(s.alias("s1"), i.alias("i1"), s2.alias("s2"), i2.alias("i2"), left.alias("left"))
-    s, i = F.col("s"), F.col("i")
-    own = F.transform(upto(F.col("c")), lambda j: place(s, F.least(i, j), s, F.greatest(i, j), F.when(i == j, F.lit(None).cast("boolean")).otherwise(i < j)))
-    up = F.transform(upto(F.coalesce("up", F.lit(0))), lambda j: place(s, i, s + 1, j, F.lit(True)))
-    down = F.transform(upto(F.coalesce("down", F.lit(0))), lambda j: place(s - 1, j, s, i, F.lit(False)))
-    dealt = big.withColumn("p", F.explode(F.concat(own, up, down))).select("root", F.xxhash64("root", "p.s1", "p.i1", "p.s2", "p.i2").alias("g"), "p.left", "node", "set")
+def _links(dealt: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Spanning edges within groups of ``dealt``: (node, set, left, known) and the columns ``by``."""
 
     def run(t: pa.Table) -> pa.Table:
         sides = t.column("left").to_pylist()
         left = None if sides[0] is None else np.array(sides, bool)
-        sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
-        e = exact_links(t.column("node").to_numpy(), sets, left, percent)
+        known = None if t.column("known").null_count else t.column("known").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
+        e = exact_links(t.column("node").to_numpy(), sets, left, percent, known)
         return pa.table({"u": pa.array([a for a, _ in e], pa.int64()), "v": pa.array([b for _, b in e], pa.int64())})
 
-    todo = small if sizes.where(F.col("m") > BLOCK_CLASSES).isEmpty() else small.unionByName(dealt)
-    return todo.groupBy("root", "g").applyInArrow(run, "u long, v long")
+    return dealt.groupBy(*by).applyInArrow(run, "u long, v long")
+
+
+def _verified(blocks_: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Spanning edges of exact links in every block. ``blocks_``: (node, root); ``sets``: (node, n_shingles, set)."""
+    nothing = {"left": F.lit(None).cast("boolean"), "known": F.lit(None).cast("long")}
+    x = space.keep(sets.join(blocks_.hint("merge"), "node"), "sets")
+    sizes = x.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("set")).alias("bytes")).where("m > 1")
+    sizes = space.keep(sizes, "sizes")
+    is_small = (F.col("m") <= BLOCK_CLASSES) & (F.col("bytes") <= BLOCK_BYTES)
+    small = x.join(sizes.where(is_small).select("root").hint("merge"), "root").withColumns(nothing)
+    links = space.keep(_links(small.select("root", "node", "set", "left", "known"), ["root"], percent), "links")
+    large = sizes.where(~is_small).select("root")
+    if large.isEmpty():
+        return links
+    # sets more than one size step apart are no pairs; each step of a block is dealt to parts
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    big = x.join(large.hint("merge"), "root").withColumn("s", step)
+    parts = big.groupBy("root", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK_CLASSES / 2), F.sum(F.octet_length("set")) / (BLOCK_BYTES / 2))).cast("int").alias("c"))
+    big = big.join(parts.hint("merge"), ["root", "s"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    big = space.keep(big.select("root", "s", "i", "node", "set"), "big")
+    inside = space.keep(_links(big.withColumns(nothing), ["root", "s", "i"], percent), "inside")
+    # some members of the largest components of every part, by size of the component in it
+    of = components(inside, space).select(F.col("node").alias("n"), F.col("root").alias("known"))
+    named = big.join(of.hint("merge"), F.col("node") == F.col("n"), "left").drop("n").withColumn("known", F.coalesce("known", "node"))
+    named = space.keep(named, "named")
+    per = named.groupBy("root", "s", "i", "known").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    per = per.groupBy("root", "s", "i").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "node")), asc=False), 1, DELEGATES).alias("d"))
+    sent = per.select(F.explode("d.node").alias("n"))
+    delegates = named.join(sent.hint("merge"), F.col("node") == F.col("n"), "left_semi")
+    # they meet in groups whose number grows with theirs, twice, dealt differently
+    across = inside
+    for turn in range(2):
+        many = delegates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("c")).withColumnRenamed("root", "r")
+        met = delegates.join(many.hint("merge"), F.col("root") == F.col("r")).withColumn("g", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("c")))
+        across = across.unionByName(space.keep(_links(met.withColumn("left", F.lit(None).cast("boolean")).select("root", "g", "node", "set", "left", "known"), ["root", "g"], percent), "met"))
+    of = components(across, space).select(F.col("node").alias("n"), F.col("root").alias("known"))
+    named = named.drop("known").join(of.hint("merge"), F.col("node") == F.col("n"), "left").drop("n").withColumn("known", F.coalesce("known", "node"))
+    named = space.keep(named, "named")
+    # what is outside the block's largest component is held against all parts of its own and the neighbouring steps
+    main = named.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "known")).alias("x")).select(F.col("root").alias("r"), F.col("x.known").alias("main"))
+    named = named.join(main.hint("merge"), F.col("root") == F.col("r")).drop("r")
+    loose = space.keep(named.where("known <> main").select("root", "s", "node", "set", "known", "i"), "loose")
+    if loose.isEmpty():
+        return links.unionByName(across)
+    packs = loose.groupBy("root", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK_CLASSES / 2), F.sum(F.octet_length("set")) / (BLOCK_BYTES / 2))).cast("int").alias("k")).select(F.col("root").alias("r"), F.col("s").alias("t"), "k")
+    places = parts.select(F.col("root").alias("r"), F.col("s").alias("t"), "c")
+    near = F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    # a task is (part t, j) of a block with pack (s, k) of its loose sets; loose sets are left, the part's are right
+    go = loose.select("root", F.col("s").alias("s2"), near.alias("t2"), "node", "set", "known")
+    mine = packs.withColumnsRenamed({"r": "r2", "t": "t3", "k": "k2"})
+    go = go.join(mine.hint("merge"), (F.col("root") == F.col("r2")) & (F.col("s2") == F.col("t3"))).withColumn("p", F.pmod(F.xxhash64("node", F.lit(9)), F.col("k2")).cast("int"))
+    go = go.join(places.hint("merge"), (F.col("root") == F.col("r")) & (F.col("t2") == F.col("t"))).select("root", F.col("t2").alias("t"), upto(F.col("c")).alias("j"), "s2", "p", "node", "set", F.lit(True).alias("left"), "known")
+    meet = named.select("root", "s", "i", "node", "set", "known", near.alias("s2"))
+    meet = meet.join(packs.hint("merge"), (F.col("root") == F.col("r")) & (F.col("s2") == F.col("t"))).select("root", F.col("s").alias("t"), F.col("i").alias("j"), "s2", upto(F.col("k")).alias("p"), "node", "set", F.lit(False).alias("left"), "known")
+    rest = space.keep(_links(go.unionByName(meet), ["root", "t", "j", "s2", "p"], percent), "rest")
+    return links.unionByName(across).unionByName(rest)
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -240,22 +330,19 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text
     rows = space.keep(sketches(docs, width, text, key), "sketches")
     classes = space.keep(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).withColumnRenamed("a", "node"), "classes")
     rows = space.keep(rows.drop("sketch"), "rows")
-    run = F.transform(F.sequence(F.lit(0), F.greatest(F.least(F.size("sketch"), F.lit(RUN_WINDOW)) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("sketch", i + 1, 3)))
+    run = F.transform(F.sequence(F.lit(0), F.greatest(F.least(F.size("sketch"), F.lit(window(percent))) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("sketch", i + 1, 3)))
     # of n values at least percent are shared, so the first n - ceil(n * percent / 100) + 1 hold one of them
     n = F.col("n_shingles").cast("int")
     prefix = F.transform(F.slice("sketch", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda x: F.xxhash64(F.lit("prefix"), x))
-    held = F.when(n * percent <= SMALL * 100, F.concat(run, prefix)).otherwise(run)
+    held = F.when(n * percent <= window(percent) * 100, F.concat(run, prefix)).otherwise(run)
     keys = space.keep(classes.where("rep is not null").select("node", F.explode(F.array_distinct(held)).alias("key")), "keys")
     lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low")).where("m > 1")
     lists = space.keep(lists.groupBy("m", "x", "low").agg(F.min("key").alias("key")), "lists")
     # merge joins at every size: no side has a bound, and Spark splits hot keys
-    members = keys.join(lists.where(F.col("m") <= LIST_CAP).select("key").hint("merge"), "key")
+    members = keys.join(lists.select("key").hint("merge"), "key")
     members = members.join(classes.select("node", "n_shingles", "sketch").hint("merge"), "node")
-    near = _list_edges(members)
-    large = lists.where(F.col("m") > LIST_CAP).select("key", "low")
-    if not large.isEmpty():
-        near = near.unionByName(keys.join(large.hint("merge"), "key").select(F.col("low").alias("u"), F.col("node").alias("v")))
-    near = space.keep(near, "near")
+    near = space.keep(_list_edges(members, space), "near")
+    space.drop(keys, lists)
     block = space.keep(components(near, space), "blocks")
     chosen = space.keep(block.join(classes.select("node", "rep", "n_shingles").hint("merge"), "node").select("node", "rep", "n_shingles"), "chosen")
     sets = _full_sets(docs, chosen, width, text, key)

@@ -638,11 +638,12 @@ def test_near_small_sets(spark: SparkSession, width: int, percent: int) -> None:
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found)
 
 
-@pytest.mark.parametrize(("width", "percent", "block", "cap"), [(3, 85, 2000, 8000), (5, 80, 20, 10)])
-def test_near_duplicates(spark: SparkSession, monkeypatch, width: int, percent: int, block: int, cap: int) -> None:
-    """Families of edited copies over a range of similarities, a shared passage, tiny texts; also with tiny blocks."""
+@pytest.mark.parametrize(("width", "percent", "block", "part"), [(3, 85, 2000, 1000), (5, 80, 20, 10)])
+def test_near_duplicates(spark: SparkSession, monkeypatch, width: int, percent: int, block: int, part: int) -> None:
+    """Families of edited copies over a range of similarities, a shared passage, tiny texts; also with tiny blocks and parts."""
     monkeypatch.setattr(minhash, "BLOCK_CLASSES", block)
-    monkeypatch.setattr(minhash, "LIST_CAP", cap)
+    monkeypatch.setattr(minhash, "DELEGATES", 2)
+    monkeypatch.setattr(minhash, "LIST_PART", part)
     random.seed(8)
     vocab = [f"w{i}" for i in range(3000)]
     docs, passage = {}, " ".join(random.choices(vocab, k=60))
@@ -662,6 +663,35 @@ def test_near_duplicates(spark: SparkSession, monkeypatch, width: int, percent:
     assert got == brute_components(docs, width, percent)
 
 
+@given(st.integers(0, 10**6), st.booleans(), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_exact_links(seed: int, sided: bool, known: bool) -> None:
+    """The links of each set of sets, by pairs; sides and known components as given."""
+    rng = random.Random(seed)
+    base = [rng.sample(range(400), 30) for _ in range(3)]
+    sets = [np.unique(np.array([rng.choice([v, v, v, v, v, v, v, v, rng.randrange(400)]) for v in rng.choice(base)], np.uint64)) for _ in range(30)]
+    nodes = np.array(rng.sample(range(1000), 30))
+    left = np.array([rng.random() < 0.4 for _ in sets]) if sided else None
+    comp = np.array([rng.randrange(20) for _ in sets]) if known else np.arange(30)
+    got = minhash.exact_links(nodes, sets, left, 80, comp if known else None)
+
+    def roots(edges: list) -> list[int]:
+        parent = list(range(30))
+
+        def root(x: int) -> int:
+            return x if parent[x] == x else root(parent[x])
+
+        for a, b in edges:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        return [root(x) for x in range(30)]
+
+    same = [(i, j) for i in range(30) for j in range(i) if comp[i] == comp[j]]
+    link = [(i, j) for i in range(30) for j in range(30) if i != j and (not sided or left[i] and not left[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    at = {int(x): i for i, x in enumerate(nodes)}
+    assert roots(same + [(at[a], at[b]) for a, b in got]) == roots(same + link) and len(got) < 30
+
+
 def test_components(spark: SparkSession) -> None:
     random.seed(4)
     edges = [(i, i + 1) for i in range(0, 120)] + [(200, i) for i in range(201, 260)] + [(300 + random.randrange(60), 300 + random.randrange(60)) for _ in range(50)]
