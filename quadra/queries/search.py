@@ -94,13 +94,62 @@ REGISTERED["fts_analyzers"] = (lambda spark, d: table(spark, d, "documents").sel
                                f"WITH {_POST} SELECT doc_id, (SELECT dl FROM lens WHERE doc = doc_id) AS standard, (SELECT count(*) FROM tok WHERE doc = doc_id AND term <> '') AS simple FROM documents")
 
 
+#: Codes of the words of the tables, worked out by hand: word, Soundex, Metaphone, Double Metaphone, Caverphone.
+_SOUNDS = """
+africa A162 AFRK AFRK AFRKA11111
+america A562 AMRK AMRK AMRKA11111
+anvil A514 ANFL ANFL ANFA111111
+asia A200 AX AS ASA1111111
+automobile A351 ATMB ATMP ATMPA11111
+blue B400 BL PL PLA1111111
+bolt B430 BLT PLT PT11111111
+building B435 BLTN PLTN PTNK111111
+click C420 KLK KLK KLK1111111
+cold C430 KLT KLT KT11111111
+east E230 EST AST AST1111111
+economy E255 EKNM AKNM AKNMA11111
+error E660 ERR ARR ARA1111111
+europe E610 ERP ARP ARP1111111
+furniture F653 FRNT FRNT FNTA111111
+gear G600 JR JR KA11111111
+gizmo G250 JSM JSM KSMA111111
+hot H300 HT HT AT11111111
+household H243 HSHL HSHL AST1111111
+large L620 LRJ LRJ LK11111111
+machinery M256 MXNR MXNR MKNRA11111
+medium M350 MTM MTM MTM1111111
+middle M340 MTL MTL MTA1111111
+new N000 N N NA11111111
+old O430 OLT ALT AT11111111
+plate P430 PLT PLT PLT1111111
+promo P650 PRM PRM PRMA111111
+purchase P622 PRXS PRXS PKS1111111
+red R300 RT RT RT11111111
+ring R520 RNK RNK RNK1111111
+rod R300 RT RT RT11111111
+signup S251 SKNP SNP SKNP111111
+small S540 SML SML SMA1111111
+standard S353 STNT STNT STNTT11111
+view V000 F F FA11111111
+widget W323 WJT AJT WKT1111111
+"""
+_NAMES = {"part": ["p_name", "p_type"], "customer": ["c_mktsegment"], "events": ["event_type"], "region": ["r_name"]}
+_KNOWN = ", ".join("(" + ", ".join(f"'{x}'" for x in line.split()) + ")" for line in _SOUNDS.split("\n") if line)
+_WORDS = " UNION ".join(f"SELECT unnest(string_split(lower({c}), ' ')) AS word FROM {t}" for t, cs in _NAMES.items() for c in cs)
+
+
 def phonetic_codes(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return n.select("n_nationkey", phonetic.soundex(F.col("n_name")).alias("soundex"), phonetic.metaphone_udf("n_name").alias("metaphone"), phonetic.double_metaphone_udf("n_name").alias("double_metaphone"), phonetic.caverphone_udf("n_name").alias("caverphone"))
+    """Four codes of every word in the names of five columns."""
+    words = None
+    for t, columns in _NAMES.items():
+        for c in columns:
+            w = table(spark, d, t).select(F.explode(F.split(F.lower(c), " ")).alias("word")).distinct()
+            words = w if words is None else words.union(w)
+    w = F.col("word")
+    return words.distinct().select(w, phonetic.soundex(w).alias("soundex"), phonetic.metaphone(w).alias("metaphone"), phonetic.double_metaphone_udf(w).alias("double_metaphone"), phonetic.caverphone(w).alias("caverphone"))
 
 
-# the tables' names are NATION and a number: one code of each kind
-REGISTERED["phonetic_codes"] = (phonetic_codes, "SELECT n_nationkey, 'N350' AS soundex, 'NXN' AS metaphone, 'NXN' AS double_metaphone, 'nsn1111111' AS caverphone FROM nation WHERE n_name LIKE 'NATION%'")
+REGISTERED["phonetic_codes"] = (phonetic_codes, f"SELECT word, soundex, metaphone, double_metaphone, caverphone FROM ({_WORDS}) LEFT JOIN (VALUES {_KNOWN}) AS k(word, soundex, metaphone, double_metaphone, caverphone) USING (word)")
 
 
 def geo_cover(spark: SparkSession, d: str) -> DataFrame:
