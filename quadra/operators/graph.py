@@ -32,19 +32,24 @@ class Graph:
     vertices: dict[str, tuple[DataFrame, str]]
     edges: dict[str, list[Edges]] = field(default_factory=dict)
 
-    def nodes(self, label: str | None) -> DataFrame:
-        """(v): struct of all properties with _id and _label."""
+    def id_type(self) -> str:
+        """The type that every key has or widens to: bigint where all are whole numbers, else string."""
+        keys = [(df, key) for df, key in self.vertices.values()] + [(e.df, c) for tables in self.edges.values() for e in tables for c in (e.src, e.dst)]
+        return "bigint" if all(df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for df, key in keys) else "string"
+
+    def nodes(self, label: str | None, ids: str = "string") -> DataFrame:
+        """(v): struct of all properties with _id (of type ``ids``) and _label."""
         labels = [label] if label else list(self.vertices)
         out = None
         for name in labels:
             if name not in self.vertices:
                 raise GraphError(f"no such label: {name}")
             df, key = self.vertices[name]
-            rows = df.withColumns({"_id": F.col(key).cast("string"), "_label": F.lit(name)})
+            rows = df.withColumns({"_id": F.col(key).cast(ids), "_label": F.lit(name)})
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         return out.select(F.struct(*out.columns).alias("v"))
 
-    def links(self, types: list[str] | None, source: str | None = None, target: str | None = None) -> DataFrame:
+    def links(self, types: list[str] | None, source: str | None = None, target: str | None = None, ids: str = "string") -> DataFrame:
         """(_src, _sl, _dst, _tl, e) of edge tables that fit the labels; e holds the properties and _type."""
         out = None
         for name in types or list(self.edges):
@@ -55,7 +60,7 @@ class Graph:
                     raise GraphError(f"edge table {name} does not tell its labels")
                 if source and e.source != source or target and e.target != target:
                     continue
-                rows = e.df.withColumns({"_type": F.lit(name), "_src": F.col(e.src).cast("string"), "_dst": F.col(e.dst).cast("string"), "_sl": F.lit(e.source), "_tl": F.lit(e.target)})
+                rows = e.df.withColumns({"_type": F.lit(name), "_src": F.col(e.src).cast(ids), "_dst": F.col(e.dst).cast(ids), "_sl": F.lit(e.source), "_tl": F.lit(e.target)})
                 out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         if out is None:
             return None
@@ -144,7 +149,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write and read again through the checkpoint folder, so an iteration's plan does not grow."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadra-cp-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quadra-cp-"))
     return df.checkpoint()
 
 

@@ -430,6 +430,10 @@ def _variables(e: Any) -> set[str]:
     return set()
 
 
+def _reads(clauses: list[tuple]) -> bool:
+    return all(c[0] in ("match", "optional", "unwind", "with", "return") or c[0] == "call" and _reads(c[2]) for c in clauses)
+
+
 def _lit(v: Any) -> Column:
     if isinstance(v, (list, tuple)):
         if v and all(isinstance(x, dict) for x in v):
@@ -443,8 +447,9 @@ def _lit(v: Any) -> Column:
 
 
 class _Run:
-    def __init__(self, graph: Graph, spark: SparkSession) -> None:
+    def __init__(self, graph: Graph, spark: SparkSession, ids: str = "string") -> None:
         self.graph, self.spark, self.n = graph, spark, 0
+        self.ids = ids  # type of _id, _src and _dst
         self.filtered: set[str] = set()  # variables that a conjunct restricts by itself
 
     def arm(self, clauses: list[tuple], rows: DataFrame | None = None) -> DataFrame:
@@ -477,12 +482,76 @@ class _Run:
         for c in _conjuncts(where):
             if c[0] in ("cmp", "in") and len(names := _variables(c)) == 1:
                 self.filtered |= names
+        return self.filter(self.pattern(paths, rows), where)
+
+    def pattern(self, paths: list[list], rows: DataFrame | None) -> DataFrame:
+        """All paths of a pattern, joined edge by edge in an order of their own.
+
+        Edges with both ends bound come first, as they only thin out; then the edge that adds the fewest rows to each:
+        its table's size by that of the vertices it starts from, a tenth if its new end has a test of its own. What is
+        not joined to the rest starts from its most restricted vertex.
+        """
+        nodes: dict[str, Node] = {}
+        hops = []
         for path in paths:
-            rows = self.path(path, rows)
-        return self.filter(rows, where)
+            for n in path[::2]:
+                old = nodes.get(n.var, Node(n.var, None, []))
+                if old.label and n.label and old.label != n.label or any(_variables(e) for _, e in n.props):
+                    break
+                nodes[n.var] = Node(n.var, old.label or n.label, old.props + n.props)
+            else:
+                hops += [(path[i - 1].var, path[i], path[i + 1].var) for i in range(1, len(path), 2)]
+                continue
+            # tests that read other variables, or two labels: in the order of the text
+            for p in paths:
+                rows = self.path(p, rows)
+            return rows
+        if rows is not None:
+            for v in nodes:
+                if v in rows.columns:
+                    rows = self.check(rows, nodes[v])
+        todo, have = list(nodes), set() if rows is None else set(rows.columns)
+        flip = {"out": "in", "in": "out", "both": "both"}
+        while hops or any(v not in have for v in todo):
+            closing = [h for h in hops if h[0] in have and h[2] in have]
+            open_ = [h for h in hops if h[0] in have or h[2] in have]
+            if closing:
+                hop = closing[0]
+            elif open_:
+                hop = min(open_, key=lambda h: self.growth(nodes, *h, h[0] not in have)) if len(open_) > 1 else open_[0]
+            else:
+                left = {v for h in hops for v in (h[0], h[2])} or {v for v in todo if v not in have}
+                start = max((v for v in todo if v in left), key=self.restricted(nodes))
+                found = self.scan(nodes[start])
+                rows = found if rows is None else rows.crossJoin(found)
+                rows = self.check(rows, Node(start, None, [p for p in nodes[start].props if p[1][0] != "lit"]))
+                have.add(start)
+                continue
+            hops.remove(hop)
+            a, rel, b = hop
+            if a not in have:
+                a, rel, b = b, replace(rel, direction=flip[rel.direction]), a
+            rows = self.hop(rows, nodes[a], rel, nodes[b])
+            have |= {a, b}
+        return rows
+
+    def restricted(self, nodes: dict[str, Node]):
+        return lambda v: 2 * any(e[0] == "lit" for _, e in nodes[v].props) + (v in self.filtered)
+
+    def growth(self, nodes: dict[str, Node], a: str, rel: Rel, b: str, back: bool) -> float:
+        """About how many rows a hop makes of one, by the sizes that the tables have in the catalog or on disk."""
+        size = lambda df: float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        start, end = (b, a) if back else (a, b)
+        links = self.links(rel, nodes[a], nodes[b])
+        if links is None:
+            return 0.0
+        tables = [nodes[start].label] if nodes[start].label else list(self.graph.vertices)
+        ids = sum(size(df.select(key)) for df, key in (self.graph.vertices[t] for t in tables if t in self.graph.vertices))
+        grown = size(links.select("_src", "_dst")) / max(1.0, ids)
+        return grown / (10 if self.restricted(nodes)(end) else 1)
 
     def scan(self, n: Node) -> DataFrame:
-        out = self.graph.nodes(n.label).select(F.col("v").alias(n.var))
+        out = self.graph.nodes(n.label, self.ids).select(F.col("v").alias(n.var))
         for k, e in n.props:
             if e[0] == "lit":
                 out = out.where(F.col(f"{n.var}.{k}") == self.value(e, out))
@@ -543,8 +612,8 @@ class _Run:
 
     def links(self, rel: Rel, a: Node, b: Node) -> DataFrame | None:
         span = rel.span is not None
-        out = self.graph.links(rel.types, None if span else a.label, None if span else b.label) if rel.direction != "in" else None
-        back = self.graph.links(rel.types, None if span else b.label, None if span else a.label) if rel.direction != "out" else None
+        out = self.graph.links(rel.types, None if span else a.label, None if span else b.label, self.ids) if rel.direction != "in" else None
+        back = self.graph.links(rel.types, None if span else b.label, None if span else a.label, self.ids) if rel.direction != "out" else None
         if back is not None:
             back = back.select(F.col("_dst").alias("_src"), F.col("_tl").alias("_sl"), F.col("_src").alias("_dst"), F.col("_sl").alias("_tl"), "e")
         if out is None or back is None:
@@ -756,7 +825,7 @@ class _Run:
     def call(self, name: str, args: list[tuple], v: Any, rows: DataFrame) -> Column:
         xs = [v(a) for a in args]
         if name == "id":
-            return xs[0]["_id"]
+            return xs[0]["_id"].cast("string")
         if name == "type":
             return xs[0]["_type"]
         if name == "labels":
@@ -859,7 +928,8 @@ class _Run:
 def run(graph: Graph, spark: SparkSession, text: str, params: dict[str, Any] | None = None) -> tuple[DataFrame | None, Graph]:
     """The rows of a statement, and the graph after it."""
     arms, all_ = _Parser(text, params or {}).statement()
-    r = _Run(graph, spark)
+    # a change may bring keys of other types, so only reading works on keys as they are
+    r = _Run(graph, spark, graph.id_type() if all(map(_reads, arms)) else "string")
     out = None
     for arm in arms:
         rows = r.arm(arm)

@@ -7,6 +7,7 @@ Column expressions; paths are closures. OPTIONAL is an extra (a left join). What
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -216,65 +217,126 @@ def _number_term(c: Column, kind: str) -> Column:
     return F.when(c.isNotNull(), rdf.term("literal", c, rdf.XSD + kind))
 
 
+@dataclass(frozen=True)
+class Solutions:
+    """Rows of variables, and those variables that some rows leave open."""
+
+    df: DataFrame
+    loose: frozenset[str] = frozenset()
+
+
 class _Run:
     def __init__(self, graph: DataFrame) -> None:
         self.graph, self.spark, self.n = graph, graph.sparkSession, 0
-        self.loose: set[str] = set()  # variables that some solutions leave open
 
-    def group(self, parts: list[tuple], graph: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    def group(self, parts: list[tuple], graph: DataFrame) -> DataFrame:
+        return self.solve(parts, graph).df
+
+    def solve(self, parts: list[tuple], graph: DataFrame) -> Solutions:
         """Solutions of a group; its filters hold for the whole group."""
-        filters = []
-        for p in parts:
+        rows: Solutions | None = None
+        filters, at = [], 0
+        while at < len(parts):
+            p = parts[at]
             if p[0] == "triple":
-                rows = self.join(rows, self.triple(p, graph))
-            elif p[0] == "group":
-                rows = self.join(rows, self.group(p[1], graph))
+                # patterns in a row are joined in an order of their own
+                run = []
+                while at < len(parts) and parts[at][0] == "triple":
+                    run.append(parts[at])
+                    at += 1
+                rows = self.triples(run, graph, rows)
+                continue
+            at += 1
+            if p[0] == "group":
+                rows = self.join(rows, self.solve(p[1], graph))
             elif p[0] == "graph":
-                rows = self.join(rows, self.group(p[2], self.graph.where(F.col("graph") == p[1])))
+                rows = self.join(rows, self.solve(p[2], self.graph.where(F.col("graph") == p[1])))
             elif p[0] == "union":
-                out = None
-                for arm in p[1]:
-                    x = self.group(arm, graph)
-                    out = x if out is None else out.unionByName(x, allowMissingColumns=True)
-                rows = self.join(rows, out, maybe=True)
+                arms = [self.solve(arm, graph) for arm in p[1]]
+                out = arms[0].df
+                for x in arms[1:]:
+                    out = out.unionByName(x.df, allowMissingColumns=True)
+                loose = {c for c in out.columns for x in arms if c not in x.df.columns or c in x.loose}
+                rows = self.join(rows, Solutions(out, frozenset(loose)))
             elif p[0] == "optional":
-                rows = self.join(rows, self.group(p[1], graph), how="left", maybe=True)
+                rows = self.join(rows, self.solve(p[1], graph), "left")
             elif p[0] == "bind":
-                base = self.spark.range(1).select() if rows is None else rows
-                rows = base.withColumn(p[2], self.value(p[1], base))
+                base = Solutions(self.spark.range(1).select()) if rows is None else rows
+                rows = Solutions(base.df.withColumn(p[2], self.value(p[1], base.df)), base.loose - {p[2]})
             else:
                 filters.append(p[1])
-        rows = self.spark.range(1).select() if rows is None else rows
+        rows = Solutions(self.spark.range(1).select()) if rows is None else rows
         for e in filters:
-            rows = rows.where(self.truth(e, rows))
+            rows = Solutions(rows.df.where(self.truth(e, rows.df)), rows.loose)
+        return rows
+
+    def triples(self, todo: list[tuple], graph: DataFrame, rows: Solutions | None) -> Solutions:
+        """Patterns from the one with most fixed places on, each next one sharing a variable where any does."""
+        todo = list(todo)
+        while todo:
+            have = set() if rows is None else set(rows.df.columns)
+            fixed = lambda p: sum(t[0] != "var" or t[1] in have for t in p[1:] if t[0] != "path")
+            shares = lambda p: any(t[0] == "var" and t[1] in have for t in p[1:])
+            is_path = lambda p: p[2][0] == "path"
+            p = max(todo, key=lambda p: (shares(p), fixed(p), not is_path(p)))
+            todo.remove(p)
+            rows = self.join(rows, Solutions(self.triple(p, graph, rows)))
         return rows
 
-    def join(self, rows: DataFrame | None, found: DataFrame, how: str = "inner", maybe: bool = False) -> DataFrame:
+    def join(self, rows: Solutions | None, found: Solutions, how: str = "inner") -> Solutions:
+        """Compatible solutions. An open variable fits any value, so rows are parted by which shared variables they
+        leave open, and each pair of parts is an equi-join on what both have; variables that are bound for
+        certain never part anything."""
         if rows is None:
-            self.loose |= set(found.columns) if maybe else set()
-            return found
-        shared = [c for c in found.columns if c in rows.columns]
-        if not shared:
-            self.loose |= set(found.columns) if maybe else set()
-            return rows.crossJoin(found) if how == "inner" else rows.join(found, F.lit(True), how)
+            base = self.spark.range(1).select()
+            return found if how == "inner" else Solutions(base.join(found.df, F.lit(True), "left"), frozenset(found.df.columns))
+        shared = [c for c in found.df.columns if c in rows.df.columns]
         self.n += 1
         names = {c: f"_j{self.n}_{c}" for c in shared}
-        right = found.withColumnsRenamed(names)
-        on = F.lit(True)
-        for c in shared:
-            same = F.col(f"`{c}`") == F.col(names[c])
-            # a variable that an arm of a union or an optional part left open fits anything
-            on = on & ((same | F.col(f"`{c}`").isNull() | F.col(names[c]).isNull()) if maybe or c in self.loose else same)
-        if maybe:
-            self.loose |= set(found.columns)
-        out = rows.join(right, on, how)
-        return out.select(*[F.coalesce(F.col(f"`{c}`"), F.col(names[c])).alias(c) if c in shared else F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{c}`") for c in found.columns if c not in shared])
-
-    def triple(self, p: tuple, graph: DataFrame) -> DataFrame:
+        new = [c for c in found.df.columns if c not in shared]
+        right = found.df.withColumnsRenamed(names)
+        left_open, right_open = [c for c in shared if c in rows.loose], [c for c in shared if c in found.loose]
+
+        def parts(df: DataFrame, names: dict[str, str], loose: list[str]) -> list[tuple[DataFrame, frozenset]]:
+            out = []
+            for mask in range(2 ** len(loose)):
+                gone = {c for i, c in enumerate(loose) if mask >> i & 1}
+                part = df
+                for c in loose:
+                    x = F.col(f"`{names[c]}`")
+                    part = part.where(x.isNull() if c in gone else x.isNotNull())
+                out.append((part, frozenset(gone)))
+            return out
+
+        def merged(df: DataFrame) -> DataFrame:
+            return df.select(*[F.coalesce(F.col(f"`{c}`"), F.col(names[c])).alias(c) if c in shared else F.col(f"`{c}`") for c in rows.df.columns], *[F.col(f"`{c}`") for c in new])
+
+        lefts, rights = parts(rows.df, {c: c for c in shared}, left_open), parts(right, names, right_open)
+        out = None
+        for l, l_gone in lefts:
+            rest = l
+            for r, r_gone in rights:
+                keys = [c for c in shared if c not in l_gone and c not in r_gone]
+                on = F.lit(True)
+                for c in keys:
+                    on = on & (F.col(f"`{c}`") == F.col(names[c]))
+                if how == "left" and len(rights) == 1:
+                    made = merged(l.join(r, on, "left"))
+                else:
+                    made = merged(l.join(r, on) if keys else l.crossJoin(r))
+                    rest = rest.join(r.select(*names.values()), on, "left_anti") if how == "left" else rest
+                out = made if out is None else out.unionByName(made)
+            if how == "left" and len(rights) > 1:
+                out = out.unionByName(rest.select(*rows.df.columns, *[F.lit(None).cast(rdf.TERM).alias(c) for c in new]))
+        loose = (set(rows.loose) - set(shared)) | {c for c in shared if c in rows.loose and (c in found.loose or how == "left")}
+        loose |= set(new) if how == "left" else set(found.loose) - set(shared)
+        return Solutions(out, frozenset(loose))
+
+    def triple(self, p: tuple, graph: DataFrame, known: Solutions | None = None) -> DataFrame:
         _, s, v, o = p
         rows = graph
         if v[0] == "path":
-            rows = self.path(v, s, o, graph)
+            rows = self.path(v, s, o, graph, known)
         elif v[0] == "iri":
             # by parts, so that the scan sees plain comparisons
             rows = rows.where((F.col("p.value") == v[1]) & (F.col("p.kind") == "iri"))
@@ -293,19 +355,34 @@ class _Run:
                 rows = rows.where((F.col(f"{place}.value") == t[1]) & F.col(place).eqNullSafe(_const(t)))
         return rows.select(*out)
 
-    def path(self, v: tuple, s: tuple, o: tuple, graph: DataFrame) -> DataFrame:
+    def path(self, v: tuple, s: tuple, o: tuple, graph: DataFrame, known: Solutions | None = None) -> DataFrame:
+        """(s, o) of a path. It is walked from the end that is fixed, or bound by the solutions so far, if any is."""
         _, name, inverse, mark = v
         edges = graph.where((F.col("p.value") == name) & (F.col("p.kind") == "iri")).select("s", "o")
         if inverse:
             edges = edges.select(F.col("o").alias("s"), F.col("s").alias("o"))
         if not mark:
             return edges.distinct().withColumn("p", F.lit(None))
-        starts = None
-        if s[0] != "var":
-            starts = self.spark.range(1).select(_const(s).alias("s"))
-        elif mark != "+":
+
+        def ends(t: tuple) -> DataFrame | None:
+            if t[0] != "var":
+                return self.spark.range(1).select(_const(t).alias("s"))
+            if known is not None and t[1] in known.df.columns and t[1] not in known.loose:
+                return known.df.select(F.col(f"`{t[1]}`").alias("s")).distinct()
+            return None
+
+        starts, back = ends(s), False
+        if starts is None:
+            starts = ends(o)
+            back = starts is not None
+        if back:
+            edges = edges.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        if starts is None and mark != "+":
             starts = graph.select("s").unionByName(graph.select(F.col("o").alias("s"))).distinct()
-        return rdf.closure(edges, starts, mark in "*?", mark in "+*").withColumn("p", F.lit(None))
+        found = rdf.closure(edges, starts, mark in "*?", mark in "+*")
+        if back:
+            found = found.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        return found.withColumn("p", F.lit(None))
 
     # expressions give terms; a null is an error or unbound
 

@@ -63,17 +63,17 @@ def _cy(name: str, text: str, oracle: str | None, after=None, params: dict | Non
 _K = "k AS (SELECT c_custkey AS src, (c_custkey * 7 + 3) % (SELECT max(c_custkey) + 1 FROM customer) AS dst, c_custkey % 5 AS weight FROM customer)"
 _cy("cy_hop1", "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 RETURN c.c_custkey AS c, o.o_orderkey AS o", "SELECT o_custkey AS c, o_orderkey AS o FROM orders WHERE o_totalprice > 300000")
 _cy("cy_hop2", "MATCH (c:Customer {c_mktsegment: 'BUILDING'})-[:IN_NATION]->(n:Nation)-[:PART_OF]->(r:Region) RETURN r.r_name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
-_cy("cy_both", "MATCH (a:Customer)-[k:KNOWS]-(b:Customer) WHERE a.c_custkey < 50 RETURN a.c_custkey AS a, b.c_custkey AS b, k.weight AS w", f"WITH {_K} SELECT src AS a, dst AS b, weight AS w FROM k WHERE src < 50 UNION ALL SELECT dst, src, weight FROM k WHERE dst < 50")
+_cy("cy_both", "MATCH (a:Customer)-[k:KNOWS]-(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, k.weight AS w", f"WITH {_K} SELECT src AS a, dst AS b, weight AS w FROM k UNION ALL SELECT dst, src, weight FROM k")
 _cy("cy_rel_props", "MATCH (a:Customer)-[:KNOWS {weight: 3}]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", f"WITH {_K} SELECT src AS a, dst AS b FROM k WHERE weight = 3")
 _cy("cy_optional", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 5000 RETURN n.n_name AS nation, count(s) AS n", "SELECT n_name AS nation, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name")
 _cy("cy_not_pattern", "MATCH (p:Part) WHERE NOT (p)<-[:CONTAINS_PART]-(:Order {o_orderkey: 7}) AND p.p_size > 10 RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 7)")
 _cy("cy_pattern_pred", "MATCH (c:Customer) WHERE (c)-[:PLACED]->(:Order {o_orderpriority: '1-URGENT'}) RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 _cy("cy_collect", "MATCH (n:Nation)-[:PART_OF]->(r:Region) RETURN r.r_name AS region, collect(n.n_name) AS names, sum(n.n_nationkey) AS total, min(n.n_nationkey) AS low, avg(n.n_nationkey) AS mean", "SELECT r_name AS region, string_agg(n_name, ',' ORDER BY n_name) AS names, CAST(sum(n_nationkey) AS DOUBLE) AS total, CAST(min(n_nationkey) AS DOUBLE) AS low, avg(n_nationkey) AS mean FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", lambda df: df.withColumn("names", F.array_join(F.array_sort("names"), ",")))
-_VAR = """WITH RECURSIVE {k}, r AS (SELECT c_custkey AS a, c_custkey AS b, 0 AS depth FROM customer WHERE c_custkey < 20 UNION ALL SELECT a, dst, depth + 1 FROM r JOIN k ON src = b WHERE depth < {m})
+_VAR = """WITH RECURSIVE {k}, r AS (SELECT c_custkey AS a, c_custkey AS b, 0 AS depth FROM customer UNION ALL SELECT a, dst, depth + 1 FROM r JOIN k ON src = b WHERE depth < {m})
 SELECT a, b FROM (SELECT a, b, min(depth) AS depth FROM r GROUP BY a, b) WHERE depth >= {n}"""
-_cy("cy_varlen", "MATCH (a:Customer)-[:KNOWS*1..3]->(b:Customer) WHERE a.c_custkey < 20 RETURN a.c_custkey AS a, b.c_custkey AS b", _VAR.format(k=_K, m=3, n=1))
-_cy("cy_varlen_min", "MATCH (a:Customer)-[:KNOWS*2..4]->(b:Customer) WHERE a.c_custkey < 20 RETURN a.c_custkey AS a, b.c_custkey AS b", _VAR.format(k=_K, m=4, n=2))
-_cy("cy_triangle", "MATCH (s:Supplier)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(c:Customer), (c)-[:PLACED]->(o:Order)-[:CONTAINS_PART]->(p:Part)<-[:SUPPLIES]-(s) WHERE o.o_orderkey < 500 RETURN s.s_suppkey AS s, c.c_custkey AS c, p.p_partkey AS p", "SELECT s_suppkey AS s, c_custkey AS c, p_partkey AS p FROM supplier JOIN customer ON s_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN part ON p_partkey = l.l_partkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x ON x.l_suppkey = s_suppkey AND x.l_partkey = p_partkey WHERE o_orderkey < 500")
+_cy("cy_varlen", "MATCH (a:Customer)-[:KNOWS*1..3]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", _VAR.format(k=_K, m=3, n=1))
+_cy("cy_varlen_min", "MATCH (a:Customer)-[:KNOWS*2..4]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", _VAR.format(k=_K, m=4, n=2))
+_cy("cy_triangle", "MATCH (s:Supplier)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(c:Customer), (c)-[:PLACED]->(o:Order)-[:CONTAINS_PART]->(p:Part)<-[:SUPPLIES]-(s) RETURN s.s_suppkey AS s, c.c_custkey AS c, p.p_partkey AS p", "SELECT s_suppkey AS s, c_custkey AS c, p_partkey AS p FROM supplier JOIN customer ON s_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN part ON p_partkey = l.l_partkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x ON x.l_suppkey = s_suppkey AND x.l_partkey = p_partkey")
 _cy("cy_union", "MATCH (n:Nation) RETURN n.n_regionkey AS k UNION MATCH (r:Region) RETURN r.r_regionkey AS k", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region")
 _cy("cy_union_all", "MATCH (n:Nation) RETURN n.n_regionkey AS k UNION ALL MATCH (r:Region) RETURN r.r_regionkey AS k", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 _cy("cy_unwind", "UNWIND [1, 3, 3, $x] AS k MATCH (n:Nation {n_regionkey: k}) RETURN k, n.n_name AS name", "SELECT k, n_name AS name FROM (VALUES (1), (3), (3), (0)) t(k) JOIN nation ON n_regionkey = k", None, {"x": 0})
