@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadra.sources.shared import shared_dir
+
 
 class GraphError(ValueError):
     """A graph statement that cannot be carried out."""
@@ -149,10 +150,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write and read again through the checkpoint folder, so an iteration's plan does not grow."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quadra-cp-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

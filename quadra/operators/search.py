@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,8 +185,9 @@ def _porter(w: str) -> str:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem(words: pd.Series) -> pd.Series:
-    """Stems of arrays of words."""
-    return words.map(lambda ws: None if ws is None else [_porter(w) for w in ws])
+    """Stems of arrays of words, each distinct word of a batch stemmed once."""
+    known = {w: _porter(w) for w in {w for ws in words if ws is not None for w in ws}}
+    return words.map(lambda ws: None if ws is None else [known[w] for w in ws])
 
 
 def _bm25(tf: Column, df: Column) -> Column:
@@ -227,7 +228,7 @@ def _score_column(tree: tuple, part: dict[str, Column]) -> Column:
 
 
 class TextIndex:
-    """Postings (doc, term, tf) with document lengths; scores are BM25."""
+    """Full-text search over a table; scores are BM25. Each search reads and analyses the texts: see ``StoredTextIndex``."""
 
     def __init__(self, df: DataFrame, key: str, text: str, analyzer: str = "standard") -> None:
         self.key, self.analyzer = key, analyzer
@@ -289,6 +290,68 @@ class TextIndex:
         return self.match(query).orderBy(F.col("score").desc(), "doc").limit(k)
 
 
+class StoredTextIndex(TextIndex):
+    """A text index that is built once: postings, document lengths, terms with their document counts.
+
+    Postings (term, doc, tf, dl) are sorted by term in files of ranges of (term, doc), so a term's files and row groups
+    are found by their least and greatest terms, and a very common term is spread over several files. A search reads
+    the postings of its own terms; document lengths are read only by searches that all documents may answer.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, analyzer: str = "standard") -> None:
+        self.analyzer = analyzer
+        self.postings, self.terms = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms")
+        self.docs = spark.read.parquet(f"{folder}/docs")
+        self.n, self.avgdl = spark.read.parquet(f"{folder}/stats").first()
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, text: str, folder: str, analyzer: str = "standard", partitions: int | None = None) -> StoredTextIndex:
+        spark = df.sparkSession
+        plain = TextIndex(df, key, text, analyzer)
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plain.docs.select("doc", "dl").write.parquet(f"{folder}/docs")
+        counted = plain.docs.select("doc", "dl", F.explode("terms").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        # written before it is ranged, as finding the ranges would count all over again
+        counted.write.parquet(f"{folder}/counted")
+        counted = spark.read.parquet(f"{folder}/counted")
+        post = counted.repartitionByRange(n, "term", "doc").sortWithinPartitions("term", "doc")
+        post.select("term", "doc", "tf", "dl").write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+        terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms.repartitionByRange(n, "term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+        spark.read.parquet(f"{folder}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/stats")
+        return cls(spark, folder, analyzer)
+
+    def _weighed(self, post: DataFrame, df: Column) -> Column:
+        tf, dl = post["tf"], post["dl"]
+        idf = F.log(1 + (self.n - df + 0.5) / (df + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(self.avgdl or 1.0))))
+
+    def score_terms(self, words: list[str] | None, prefix: str | None = None) -> DataFrame:
+        wanted = lambda c: c.startswith(prefix) if prefix is not None else c.isin(words)
+        post, terms = self.postings.where(wanted(F.col("term"))), self.terms.where(wanted(F.col("term")))
+        joined = post.join(terms.withColumnRenamed("term", "_t"), F.col("term") == F.col("_t"))
+        return joined.groupBy("doc").agg(F.sum(self._weighed(post, F.col("df"))).alias("score"))
+
+    def _scored(self, tree: tuple) -> DataFrame:
+        words = list(dict.fromkeys(_words(tree)))
+        # a number for each word of the search
+        df = {r["term"]: r["df"] for r in self.terms.where(F.col("term").isin(words)).collect()} if words else {}
+        post = self.postings.where(F.col("term").isin(words))
+        part = {w: f"s{i}" for i, w in enumerate(words)}
+        scores = [F.max(F.when(post["term"] == w, self._weighed(post, F.lit(df.get(w, 0))))).alias(part[w]) for w in words] or [F.max(F.lit(None).cast("double")).alias("_none")]
+        x = post.groupBy("doc").agg(*scores)
+        if _fits_without_words(tree):
+            x = self.docs.select(F.col("doc").alias("_d")).join(x, F.col("doc") == F.col("_d"), "left").drop("doc").withColumnRenamed("_d", "doc")
+        return x.select("doc", _score_column(tree, {w: F.col(c) for w, c in part.items()}).alias("score")).where("score is not null")
+
+
+def _fits_without_words(tree: tuple) -> bool:
+    """Whether a document that has none of the search's words may answer it."""
+    if tree[0] == "or":
+        return any(map(_fits_without_words, tree[1:]))
+    return tree[0] == "and" and all(map(_fits_without_words, tree[1]))
+
+
 class _TextQuery:
     def __init__(self, index: TextIndex, query: str) -> None:
         self.index = index

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadra.functions import geo, phonetic
-from quadra.operators.search import IvfIndex, TextIndex, analyze, nearest, top_vectors
+from quadra.operators.search import IvfIndex, StoredTextIndex, analyze, nearest, top_vectors
+from quadra.sources.shared import shared_dir
 from quadra.sources.tables import table
 
 REGISTERED: dict = {}
@@ -40,6 +43,16 @@ def vec_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def vec_ivf_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100, through an index of which every list is probed."""
+    e = table(spark, d, "embeddings")
+    return IvfIndex(e, "embedding", "vec_id", 8).search_all(e.where("vec_id % 100 = 0"), 10, 8, digits=4)
+
+
+REGISTERED["vec_ivf_all_lists"] = (vec_ivf_all_lists, """SELECT query, vec_id, distance FROM (
+  SELECT q.vec_id AS query, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4), e.vec_id) AS n
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE n <= 10""")
 REGISTERED["vec_ivf_recall"] = (vec_ivf_recall, "SELECT * FROM (VALUES ('ivf', true), ('ivf_q8', true)) t(kind, good)")
 
 _PLACES = "SELECT c_custkey AS id, (c_custkey * 37) % 180 - 90 + 0.25 AS lat, (c_custkey * 91) % 360 - 180 + 0.5 AS lon FROM customer"
@@ -72,9 +85,29 @@ freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT doc, post.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM post JOIN freq ON freq.term = post.term, st)"""
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> StoredTextIndex:
+    """The stored index of a folder's documents: built by its first search, in the shared folder, for files as they are."""
+    docs = table(spark, d, "documents")
+    jvm = spark.sparkContext._jvm
+    stamps = []
+    for f in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        stamps.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, *stamps)
+    if key not in _BUILT:
+        folder = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+        StoredTextIndex.build(docs, "doc_id", "text", folder)
+        _BUILT[key] = folder
+    return StoredTextIndex(spark, _BUILT[key])
+
+
 def _fts(name: str, query: str, oracle: str, k: int | None = None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        index = TextIndex(table(spark, d, "documents"), "doc_id", "text")
+        index = text_index(spark, d)
         found = index.top(query, k) if k else index.match(query)
         return found.select("doc", F.round("score", 6).alias("score"))
 
