@@ -115,7 +115,8 @@ def json_key(s):  # noqa: ANN001, ANN201
             return format(n, "f") if n else "0"
         return json.dumps(x, ensure_ascii=False)
 
-    return s.map(lambda t: None if t is None else plain(json.loads(t, parse_float=Decimal, parse_int=Decimal)))
+    known = {t: plain(json.loads(t, parse_float=Decimal, parse_int=Decimal)) for t in s.dropna().unique()}
+    return s.map(known).astype(object).where(s.notna(), None)
 
 
 def _json_bytes(x, top: bool = False) -> bytes:  # noqa: ANN001
@@ -150,4 +151,5 @@ def json_sort_key(s):  # noqa: ANN001, ANN201
     import json
     from decimal import Decimal
 
-    return s.map(lambda t: None if t is None else _json_bytes(json.loads(t, parse_float=Decimal, parse_int=Decimal), True))
+    known = {t: _json_bytes(json.loads(t, parse_float=Decimal, parse_int=Decimal), True) for t in s.dropna().unique()}
+    return s.map(known).astype(object).where(s.notna(), None)

@@ -51,6 +51,13 @@ def timeuuid_micros(c: Column) -> Column:
     return ((ticks - F.lit(122192928000000000)) / 10).cast("long")
 
 
+def new_timeuuid() -> Column:
+    """A version-1 UUID of the statement's time; its clock and node parts are drawn for every row."""
+    ticks = F.unix_micros(F.current_timestamp()) * 10 + F.lit(122192928000000000)
+    h, drawn = F.lpad(F.lower(F.hex(ticks)), 16, "0"), F.expr("uuid()")
+    return F.concat_ws("-", F.substring(h, 9, 8), F.substring(h, 5, 4), F.concat(F.lit("1"), F.substring(h, 2, 3)), F.substring(drawn, 20, 4), F.substring(drawn, 25, 12))
+
+
 def to_timestamp(c: Column) -> Column:
     return F.timestamp_micros(timeuuid_micros(c))
 
@@ -65,4 +72,4 @@ def inet_key(s: pd.Series) -> pd.Series:
         a = ipaddress.ip_address(x)
         return bytes([a.version]) + a.packed.rjust(16, b"\0")
 
-    return s.map(key)
+    return s.map({x: key(x) for x in s.dropna().unique()}).astype(object).where(s.notna(), None)

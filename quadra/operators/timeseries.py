@@ -138,6 +138,28 @@ def classify_late(df: DataFrame, keys: list[str], ts: str, arrival: str, width:
     return df.withColumn("late", late).drop("_start", "_mark")
 
 
+def debounced(late: DataFrame, keys: list[str], arrival: str, hold: float = 0.1) -> DataFrame:
+    """Requests to aggregate a window again: (keys, ready, rows). Of late rows of one key (a series' window), those within
+    ``hold`` seconds of the first are one request, which is ready ``hold`` after it; the next row begins another.
+
+    A key's arrivals are sorted and folded; arrays hold one number a row, and a key is one window of one series.
+    """
+    span = int(hold * 1e6)
+    times = late.groupBy(*keys).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(arrival).cast("timestamp")))).alias("_t"))
+    request = "struct<first:bigint,rows:bigint>"
+    begun = F.struct(F.expr(f"cast(null as {request})").alias("open"), F.expr(f"cast(array() as array<{request}>)").alias("done"))
+    one = lambda first, rows: F.struct(first.alias("first"), rows.cast("bigint").alias("rows"))
+
+    def step(s: Column, t: Column) -> Column:
+        o = s["open"]
+        joins = F.coalesce(t < o["first"] + span, F.lit(False))
+        done = F.when(joins | o.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(o)))
+        return F.struct(F.when(joins, one(o["first"], o["rows"] + 1)).otherwise(one(t, F.lit(1))).alias("open"), done.alias("done"))
+
+    requests = times.select(*keys, F.explode(F.aggregate("_t", begun, step, lambda s: F.concat(s["done"], F.array(s["open"])))).alias("r"))
+    return requests.select(*keys, F.timestamp_micros(F.col("r.first") + span).cast("timestamp_ntz").alias("ready"), F.col("r.rows").alias("rows"))
+
+
 def segment(ts: Column, width: float) -> Column:
     """Name of a retention segment: ``rrd-`` and its start in milliseconds."""
     return F.concat(F.lit("rrd-"), F.unix_millis(window_start(ts, width).cast("timestamp")))

@@ -81,3 +81,5 @@ def rdf_update(spark: SparkSession, d: str) -> DataFrame:
 REGISTERED["rdf_update"] = (rdf_update, f"SELECT {_N} AS n, 'urn:x:region' || CASE WHEN n_regionkey = 2 THEN 9 ELSE n_regionkey END AS r FROM nation WHERE n_regionkey <> 4 AND NOT (n_nationkey = 0 AND n_regionkey = 0) UNION ALL SELECT 'urn:x:nation99', 'urn:x:region1'")
 REGISTERED["rdf_turtle"] = (lambda spark, d: rdf.turtle(sparql.query(_default(graph(spark, d)), _P + "CONSTRUCT { ?r x:holds ?n } WHERE { ?n x:in ?r }")), """SELECT '<urn:x:region' || n_regionkey || '> <urn:x:holds> ' || string_agg('<urn:x:nation' || n_nationkey || '>', ', ' ORDER BY '<urn:x:nation' || n_nationkey || '>') || ' .' AS block FROM nation GROUP BY n_regionkey""")
 REGISTERED["rdf_xml"] = (lambda spark, d: rdf.xml_results(sparql.query(_default(graph(spark, d)), _P + "SELECT ?n WHERE { ?n x:in x:region2 }")), "SELECT '<result><binding name=\"n\"><uri>urn:x:nation' || n_nationkey || '</uri></binding></result>' AS result FROM nation WHERE n_regionkey = 2")
+
+_rdf("rdf_triple_term", "SELECT ?n ?t WHERE { ?n x:in ?r BIND(TRIPLE(?n, x:in, ?r) AS ?t) FILTER(BOUND(?t)) }", f"""SELECT {_N} AS n, '{{"s":{{"kind":"iri","value":"' || {_N} || '"}},"p":{{"kind":"iri","value":"urn:x:in"}},"o":{{"kind":"iri","value":"urn:x:region' || n_regionkey || '"}}}}' AS t FROM nation""")

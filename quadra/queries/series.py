@@ -44,3 +44,16 @@ REGISTERED["ts_retention"] = (lambda spark, d: ts.retained(table(spark, d, "even
                               "SELECT 'rrd-' || epoch_ms(time_bucket(INTERVAL '1 day', ts)) AS segment, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-23' GROUP BY 1")
 REGISTERED["ts_user_function"] = (lambda spark, d: ts.rollup(table(spark, d, "events"), ["event_type"], "ts", ["value"], ["max", "spread"], 86_400, {"spread": lambda c: F.round(F.max(c) - F.min(c), 6)}),
                                   f"SELECT event_type, {_B.format(w='1 day')} AS ts, max(value) AS value_max, round(max(value) - min(value), 6) AS value_spread FROM events GROUP BY 1, 2")
+
+
+def ts_debounced(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for the windows of each type of event, rows within a minute put together."""
+    e = table(spark, d, "events").select("event_type", ts.window_start(F.col("ts"), 3600).alias("window"), "ts")
+    return ts.debounced(e, ["event_type", "window"], "ts", 60)
+
+
+REGISTERED["ts_debounced"] = (ts_debounced, f"""WITH RECURSIVE e AS (SELECT event_type, {_B.format(w='1 hour')} AS win, ts FROM events),
+r AS (SELECT event_type, win, min(ts) AS first FROM e GROUP BY 1, 2 UNION ALL
+  SELECT event_type, win, first FROM (SELECT r.event_type, r.win, (SELECT min(ts) FROM e WHERE e.event_type = r.event_type AND e.win = r.win AND e.ts >= r.first + INTERVAL 60 SECONDS) AS first FROM r) WHERE first IS NOT NULL)
+SELECT r.event_type, r.win AS "window", first + INTERVAL 60 SECONDS AS ready, count(*) AS rows
+FROM r JOIN e ON e.event_type = r.event_type AND e.win = r.win AND e.ts >= first AND e.ts < first + INTERVAL 60 SECONDS GROUP BY 1, 2, 3""")

@@ -101,3 +101,19 @@ def cdc_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 REGISTERED["cdc_gaps"] = (cdc_gaps, """SELECT "table", seq AS "from", nxt AS "to", nxt - seq - 1 AS missing FROM (
   SELECT event_type AS "table", event_id AS seq, lead(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS nxt FROM events WHERE event_id % 9 <> 4) WHERE nxt > seq + 1""")
+
+
+def subscribe_match(spark: SparkSession, d: str) -> DataFrame:
+    """Two polls of a subscribed pattern while its graph grows: the second gives the nations that are new in a region."""
+    from quadra.operators.graph import Edges, Graph
+    from quadra.plans import cypher
+    from quadra.streaming.subscribe import parse
+
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    graphs = [Graph({"Nation": (n, "n_nationkey"), "Region": (r, "r_regionkey")}, {"PART_OF": [Edges(e, "n_nationkey", "n_regionkey", "Nation", "Region")]}) for e in (n.where("n_nationkey % 2 = 0"), n)]
+    s = parse("SUBSCRIBE MATCH (n:Nation)-[:PART_OF]->(r:Region) RETURN r.r_name AS region, n.n_name AS nation EVERY 1s DELTA", lambda text: cypher.query(graphs.pop(0), spark, text))
+    s.poll()
+    return s.poll()
+
+
+REGISTERED["subscribe_match"] = (subscribe_match, "SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 1")

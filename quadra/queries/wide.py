@@ -152,6 +152,55 @@ def exchange_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", "o_custkey")
 
 
+def exchange_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A table by ticket in pages of 1,024 rows at most, put back by an upsert over a table that has every third row."""
+    from quadra.sources.exchange import PAGE_ROWS, get, put
+
+    catalog = _catalog(spark, d)
+    pages_ = list(get(catalog, "SELECT o_orderkey, o_custkey FROM orders"))
+    assert pages_ and max(p.num_rows for p in pages_) <= PAGE_ROWS
+    old = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(0).cast("long").alias("o_custkey"))
+    held = cql.Table(old, ["o_orderkey"])
+    import pyarrow as pa
+
+    return put(held, pa.concat_tables(pages_)).df
+
+
+REGISTERED["exchange_pages"] = (exchange_pages, "SELECT o_orderkey, o_custkey FROM orders")
+
+
+def cql_now(spark: SparkSession, d: str) -> DataFrame:
+    """Time-based identifiers of now: of version 1, apart from each other, and as late as the statement."""
+    rows = cql.select(_catalog(spark, d), "SELECT o_orderkey, now() AS id, toTimestamp(now()) AS at FROM orders")
+    near = lambda c: F.abs(F.unix_micros(c) - F.unix_micros(F.current_timestamp())) < 600 * 10**6
+    return rows.agg(F.count_distinct("id").alias("n"), F.bool_and((F.substring("id", 15, 1) == "1") & near(temporal.to_timestamp(F.col("id")))).alias("good"), F.bool_and(near(F.col("at"))).alias("late"))
+
+
+REGISTERED["cql_now"] = (cql_now, "SELECT count(*) AS n, true AS good, true AS late FROM orders")
+_cql("cql_ttl_writetime", "SELECT o_orderkey, TTL(o_custkey) AS ttl, WRITETIME(o_custkey) AS written FROM orders", "SELECT o_orderkey, NULL::BIGINT AS ttl, NULL::BIGINT AS written FROM orders")
+
+
+def cql_partial_index(spark: SparkSession, d: str) -> DataFrame:
+    """Plans and rows with an index of the orders above a price: it serves those searches that stay above it."""
+    from quadra.plans.ddl import Registry
+
+    reg = Registry(spark, {"orders": cql.Table(table(spark, d, "orders"), ["o_orderkey"])})
+    reg.run("CREATE INDEX dear ON orders (o_custkey) USING 'filtered' WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
+    out = None
+    for name, where in (("inside", "o_custkey = 7 AND o_totalprice >= 250000 AND o_orderstatus = 'O'"), ("outside", "o_custkey = 7 AND o_totalprice > 100000 AND o_orderstatus = 'O'")):
+        tail = f"FROM orders WHERE {where} ALLOW FILTERING"
+        plan = reg_select(reg, f"EXPLAIN SELECT o_orderkey {tail}").select("plan")
+        x = reg_select(reg, f"SELECT o_orderkey {tail}").agg(F.count("*").alias("n")).crossJoin(plan).select(F.lit(name).alias("search"), "plan", "n")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def reg_select(reg, text: str) -> DataFrame:
+    return cql.select(reg.tables, text)
+
+
+REGISTERED["cql_partial_index"] = (cql_partial_index, """SELECT 'inside' AS search, 'IndexScanWithFilter' AS plan, count(*) AS n FROM orders WHERE o_custkey = 7 AND o_totalprice >= 250000 AND o_orderstatus = 'O'
+  UNION ALL SELECT 'outside', 'FullScan', count(*) FROM orders WHERE o_custkey = 7 AND o_totalprice > 100000 AND o_orderstatus = 'O'""")
 REGISTERED["exchange_endpoints"] = (exchange_endpoints, "SELECT o_orderkey, o_custkey FROM orders")
 
 

@@ -16,16 +16,40 @@ PAGE_ROWS = 1024
 
 
 def get(catalog: dict[str, cql.Table], ticket: str, page_rows: int = PAGE_ROWS) -> Iterator[pa.Table]:
-    """Pages of a SELECT's rows; one partition at a time is on the client."""
+    """Pages of a SELECT's rows, serialised where the rows are; one partition at a time is on the client, which puts the
+    ends of partitions together, so every page but the last is full."""
     df = cql.select(catalog, ticket)
-    names, page = df.columns, []
-    for row in df.toLocalIterator():
-        page.append(row.asDict(recursive=True))
-        if len(page) == page_rows:
-            yield pa.Table.from_pylist(page)
-            page = []
-    if page:
-        yield pa.Table.from_pylist(page).select(names)
+
+    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def page() -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema) as w:
+                w.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["page"])
+
+        for batch in batches:
+            while batch.num_rows:
+                room = page_rows - sum(b.num_rows for b in held)
+                held.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(b.num_rows for b in held) == page_rows:
+                    yield page()
+                    held = []
+        if held:
+            yield page()
+
+    rest = None
+    for row in df.mapInArrow(paged, "page binary").toLocalIterator():
+        with pa.ipc.open_stream(row["page"]) as r:
+            page = r.read_all()
+        rest = page if rest is None else pa.concat_tables([rest, page])
+        while rest.num_rows >= page_rows:
+            yield rest.slice(0, page_rows).combine_chunks()
+            rest = rest.slice(page_rows)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
 
 
 def endpoints(table: cql.Table, n: int) -> list[DataFrame]:
