@@ -148,8 +148,10 @@ def _list_edges(members: DataFrame, space: Workspace) -> DataFrame:
 
     while True:
         n = F.ceil(F.col("m") / LIST_PART)
-        dealt = members.join(sizes.hint("merge"), "key").withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts")))
-        out = space.keep(dealt.groupBy("key", "part").applyInArrow(worked(LOOSE if level == 0 else LOOSE_PARTS), f"u long, v long, {MEMBER}"), "edges")
+        dealt = members.join(sizes.hint("merge"), "key").withColumn("parts", n)
+        # one column names a part, else parts would stay together where their key was joined
+        dealt = dealt.withColumn("part", F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts"))))
+        out = space.keep(dealt.groupBy("part").applyInArrow(worked(LOOSE if level == 0 else LOOSE_PARTS), f"u long, v long, {MEMBER}"), "edges")
         parts.append(out.where("u is not null").select("u", "v"))
         pivots = out.where("u is null").select(names)
         now = pivots.groupBy("key").agg(F.count(F.lit(1)).alias("p"), F.min("node").alias("low"))
@@ -218,9 +220,10 @@ def exact_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray | No
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """(node, values) of the chosen classes (rep, node, b), from their representatives' texts.
+    """The chosen classes (rep, node and more) with their sets, from their representatives' texts.
 
-    A bitmap of hashed ids, of fixed size, lets most other texts be skipped; the join on (id, a, b) is exact.
+    A bitmap of hashed ids, of fixed size, lets most other texts be skipped; the join is exact. It is dealt by node
+    only, so a class that comes from repeated rows is thinned out where it is joined.
     """
     spark = docs.sparkSession
     place = F.pmod(F.xxhash64("rep"), F.lit(1 << _BITMAP))
@@ -248,78 +251,98 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, width: int, text: str, key: s
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(np.array(a, np.uint64).astype(np.int64)), pa.array(s, pa.binary())], names=["doc_id", "a", "set"])
 
     sets = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text)).select("*", place).mapInArrow(run, "doc_id long, a long, set binary")
-    return sets.join(chosen.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("a") == F.col("node"))).drop("doc_id", "a", "rep").dropDuplicates(["node"])
+    same_doc = F.array_contains(F.array("rep"), F.col("doc_id"))
+    return sets.join(chosen.hint("merge"), (F.col("a") == F.col("node")) & same_doc).drop("doc_id", "a", "rep").dropDuplicates(["node"])
 
 
-def _links(dealt: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Spanning edges within groups of ``dealt``: (node, set, left, known) and the columns ``by``."""
+def _links(dealt: DataFrame, by: list[str], percent: int, delegates: int = 0) -> DataFrame:
+    """Spanning edges (u, v) within groups of ``dealt`` (node, set, left, known) by the columns ``by``.
+
+    With ``delegates`` also rows (root, node, set): of each of so many largest components of a group one member.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         sides = t.column("left").to_pylist()
         left = None if sides[0] is None else np.array(sides, bool)
         known = None if t.column("known").null_count else t.column("known").to_numpy()
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
-        e = exact_links(t.column("node").to_numpy(), sets, left, percent, known)
-        return pa.table({"u": pa.array([a for a, _ in e], pa.int64()), "v": pa.array([b for _, b in e], pa.int64())})
-
-    return dealt.groupBy(*by).applyInArrow(run, "u long, v long")
-
-
-def _verified(blocks_: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
-    """Spanning edges of exact links in every block. ``blocks_``: (node, root); ``sets``: (node, n_shingles, set)."""
+        nodes, sets = t.column("node").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
+        e = exact_links(nodes, sets, left, percent, known)
+        edges = pa.table({"u": pa.array([a for a, _ in e], pa.int64()), "v": pa.array([b for _, b in e], pa.int64())})
+        if not delegates:
+            return edges
+        if not t.column("large")[0].as_py():
+            return pa.concat_tables([edges, t.select(["root", "node", "set"]).slice(0, 0)], promote_options="default")
+        at = {int(x): i for i, x in enumerate(nodes)}
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in e:
+            parent[root(at[a])] = root(at[b])
+        roots = np.array([root(x) for x in range(len(nodes))])
+        found, sizes = np.unique(roots, return_counts=True)
+        sent = found[np.argsort(-sizes, kind="stable")[:delegates]]
+        return pa.concat_tables([edges, t.select(["root", "node", "set"]).take(pa.array(sent))], promote_options="default")
+
+    # one column names a group, else groups would stay together where a part of their name was joined
+    schema = "u long, v long" + (", root long, node long, set binary" if delegates else "")
+    return dealt.withColumn("_group", F.xxhash64(*by)).groupBy("_group").applyInArrow(run, schema)
+
+
+def _verified(docs: DataFrame, chosen: DataFrame, width: int, percent: int, space: Workspace, text: str, key: str) -> DataFrame:
+    """Spanning edges of exact links in every block. ``chosen``: (node, rep, n_shingles, root)."""
     nothing = {"left": F.lit(None).cast("boolean"), "known": F.lit(None).cast("long")}
-    x = space.keep(sets.join(blocks_.hint("merge"), "node"), "sets")
-    sizes = x.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("set")).alias("bytes")).where("m > 1")
-    sizes = space.keep(sizes, "sizes")
-    is_small = (F.col("m") <= BLOCK_CLASSES) & (F.col("bytes") <= BLOCK_BYTES)
-    small = x.join(sizes.where(is_small).select("root").hint("merge"), "root").withColumns(nothing)
-    links = space.keep(_links(small.select("root", "node", "set", "left", "known"), ["root"], percent), "links")
-    large = sizes.where(~is_small).select("root")
-    if large.isEmpty():
-        return links
-    # sets more than one size step apart are no pairs; each step of a block is dealt to parts
+    sizes = chosen.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(8 * F.col("n_shingles")).alias("bytes")).where("m > 1")
+    large = (F.col("m") > BLOCK_CLASSES) | (F.col("bytes") > BLOCK_BYTES)
+    sizes = sizes.select(F.col("root").alias("r"), large.alias("large"))
+    # sets more than one size step apart are no pairs; each step of a large block is dealt to parts
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    big = x.join(large.hint("merge"), "root").withColumn("s", step)
-    parts = big.groupBy("root", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK_CLASSES / 2), F.sum(F.octet_length("set")) / (BLOCK_BYTES / 2))).cast("int").alias("c"))
-    big = big.join(parts.hint("merge"), ["root", "s"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    big = space.keep(big.select("root", "s", "i", "node", "set"), "big")
-    inside = space.keep(_links(big.withColumns(nothing), ["root", "s", "i"], percent), "inside")
-    # some members of the largest components of every part, by size of the component in it
-    of = components(inside, space).select(F.col("node").alias("n"), F.col("root").alias("known"))
-    named = big.join(of.hint("merge"), F.col("node") == F.col("n"), "left").drop("n").withColumn("known", F.coalesce("known", "node"))
-    named = space.keep(named, "named")
-    per = named.groupBy("root", "s", "i", "known").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-    per = per.groupBy("root", "s", "i").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "node")), asc=False), 1, DELEGATES).alias("d"))
-    sent = per.select(F.explode("d.node").alias("n"))
-    delegates = named.join(sent.hint("merge"), F.col("node") == F.col("n"), "left_semi")
-    # they meet in groups whose number grows with theirs, twice, dealt differently
-    across = inside
+    placed = chosen.join(sizes.hint("merge"), F.col("root") == F.col("r")).drop("r").withColumn("s", F.when(F.col("large"), step).otherwise(0))
+    placed = space.keep(placed, "placed")
+    n_parts = F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK_CLASSES / 2), F.sum(8 * F.col("n_shingles")) / (BLOCK_BYTES / 2))).cast("int")
+    parts = space.keep(placed.groupBy("root", "s").agg(F.when(F.max("large"), n_parts).otherwise(1).alias("c")), "parts")
+    named = parts.select(F.col("root").alias("r"), F.col("s").alias("t"), "c")
+    placed = placed.join(named.hint("merge"), (F.col("root") == F.col("r")) & (F.col("s") == F.col("t"))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).drop("r", "t", "c")
+    placed = space.keep(placed, "placed")
+    sets = space.keep(_full_sets(docs, placed, width, text, key), "sets")
+    inside = space.keep(_links(sets.withColumns(nothing), ["root", "s", "i"], percent, DELEGATES), "inside")
+    links = inside.where("u is not null").select("u", "v")
+    big = placed.where("large").select("root", "s", "i", "node")
+    if big.isEmpty():
+        return links
+    # delegates of the parts meet in groups whose number grows with theirs, twice, dealt differently
+    delegates = inside.where("u is null").select("root", "node", "set")
+    many = space.keep(delegates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("c")).withColumnRenamed("root", "r"), "many")
     for turn in range(2):
-        many = delegates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("c")).withColumnRenamed("root", "r")
         met = delegates.join(many.hint("merge"), F.col("root") == F.col("r")).withColumn("g", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("c")))
-        across = across.unionByName(space.keep(_links(met.withColumn("left", F.lit(None).cast("boolean")).select("root", "g", "node", "set", "left", "known"), ["root", "g"], percent), "met"))
-    of = components(across, space).select(F.col("node").alias("n"), F.col("root").alias("known"))
-    named = named.drop("known").join(of.hint("merge"), F.col("node") == F.col("n"), "left").drop("n").withColumn("known", F.coalesce("known", "node"))
+        links = links.unionByName(space.keep(_links(met.withColumns(nothing), ["root", "g"], percent), "met"))
+    of = components(links, space).select(F.col("node").alias("n"), F.col("root").alias("known"))
+    named = big.join(of.hint("merge"), F.col("node") == F.col("n"), "left").drop("n").withColumn("known", F.coalesce("known", "node"))
     named = space.keep(named, "named")
     # what is outside the block's largest component is held against all parts of its own and the neighbouring steps
     main = named.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "known")).alias("x")).select(F.col("root").alias("r"), F.col("x.known").alias("main"))
-    named = named.join(main.hint("merge"), F.col("root") == F.col("r")).drop("r")
-    loose = space.keep(named.where("known <> main").select("root", "s", "node", "set", "known", "i"), "loose")
+    loose = named.join(main.hint("merge"), F.col("root") == F.col("r")).where("known <> main").drop("r", "main")
+    loose = space.keep(loose, "loose")
     if loose.isEmpty():
-        return links.unionByName(across)
-    packs = loose.groupBy("root", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK_CLASSES / 2), F.sum(F.octet_length("set")) / (BLOCK_BYTES / 2))).cast("int").alias("k")).select(F.col("root").alias("r"), F.col("s").alias("t"), "k")
+        return links
+    counted = loose.join(chosen.select(F.col("node").alias("n"), "n_shingles").hint("merge"), F.col("node") == F.col("n")).drop("n")
+    packs = space.keep(counted.groupBy("root", "s").agg(n_parts.alias("k")).select(F.col("root").alias("r"), F.col("s").alias("t"), "k"), "packs")
     places = parts.select(F.col("root").alias("r"), F.col("s").alias("t"), "c")
     near = F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    # a task is (part t, j) of a block with pack (s, k) of its loose sets; loose sets are left, the part's are right
-    go = loose.select("root", F.col("s").alias("s2"), near.alias("t2"), "node", "set", "known")
-    mine = packs.withColumnsRenamed({"r": "r2", "t": "t3", "k": "k2"})
-    go = go.join(mine.hint("merge"), (F.col("root") == F.col("r2")) & (F.col("s2") == F.col("t3"))).withColumn("p", F.pmod(F.xxhash64("node", F.lit(9)), F.col("k2")).cast("int"))
-    go = go.join(places.hint("merge"), (F.col("root") == F.col("r")) & (F.col("t2") == F.col("t"))).select("root", F.col("t2").alias("t"), upto(F.col("c")).alias("j"), "s2", "p", "node", "set", F.lit(True).alias("left"), "known")
-    meet = named.select("root", "s", "i", "node", "set", "known", near.alias("s2"))
-    meet = meet.join(packs.hint("merge"), (F.col("root") == F.col("r")) & (F.col("s2") == F.col("t"))).select("root", F.col("s").alias("t"), F.col("i").alias("j"), "s2", upto(F.col("k")).alias("p"), "node", "set", F.lit(False).alias("left"), "known")
-    rest = space.keep(_links(go.unionByName(meet), ["root", "t", "j", "s2", "p"], percent), "rest")
-    return links.unionByName(across).unionByName(rest)
+    on = lambda s: (F.col("root") == F.col("r")) & (F.col(s) == F.col("t"))
+    # a task is (part t2, j) of a block with pack (s2, p) of its loose sets: these are left, the part's are right
+    go = loose.select("root", F.col("s").alias("s2"), "node", "known").join(packs.hint("merge"), on("s2")).drop("r", "t").withColumn("p", F.pmod(F.xxhash64("node", F.lit(9)), F.col("k")).cast("int"))
+    go = go.select("root", "s2", "p", F.explode(F.array(F.col("s2") - 1, F.col("s2"), F.col("s2") + 1)).alias("t2"), "node", "known")
+    go = go.join(places.hint("merge"), on("t2")).select("root", "t2", upto(F.col("c")).alias("j"), "s2", "p", "node", F.lit(True).alias("left"), "known")
+    meet = named.select("root", F.col("s").alias("t2"), F.col("i").alias("j"), "node", "known", near.alias("s2"))
+    meet = meet.join(packs.hint("merge"), on("s2")).select("root", "t2", "j", "s2", upto(F.col("k")).alias("p"), "node", F.lit(False).alias("left"), "known")
+    dealt = go.unionByName(meet).join(sets.where("large").select(F.col("node").alias("n"), "set").hint("merge"), F.col("node") == F.col("n")).drop("n")
+    return links.unionByName(space.keep(_links(dealt, ["root", "t2", "j", "s2", "p"], percent), "rest"))
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -343,10 +366,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text
     members = members.join(classes.select("node", "n_shingles", "sketch").hint("merge"), "node")
     near = space.keep(_list_edges(members, space), "near")
     space.drop(keys, lists)
-    block = space.keep(components(near, space), "blocks")
-    chosen = space.keep(block.join(classes.select("node", "rep", "n_shingles").hint("merge"), "node").select("node", "rep", "n_shingles"), "chosen")
-    sets = _full_sets(docs, chosen, width, text, key)
-    links = space.keep(_verified(block, sets, percent, space), "links")
+    block = components(near, space)
+    chosen = space.keep(block.join(classes.select("node", "rep", "n_shingles").hint("merge"), "node").select("node", "rep", "n_shingles", "root"), "chosen")
+    links = space.keep(_verified(docs, chosen, width, percent, space, text, key), "links")
     roots = components(links, space)
     found = classes.select("node", "b", "rep").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = space.keep(found, "found")
