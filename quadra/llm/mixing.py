@@ -94,8 +94,10 @@ def copies(units: DataFrame, targets: DataFrame, seed: int = 7, group: int = 64,
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     t = targets.select(F.col("source").alias("_s"), rate.alias("rate"), "n")
     x = units.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    x = x.withColumns({"whole": F.floor("rate").cast("int"), "mass": (F.col("rate") - F.floor("rate")) * F.col("size")})
-    all_ = space.keep(x.select("id", "source", "size", "whole", "mass", F.col("n").alias("left")), "units")
+    x = x.withColumn("whole", F.floor("rate").cast("int")).withColumn("mass", (F.col("rate") - F.col("whole")) * F.col("size"))
+    # no words to trade: a document without any is drawn by itself
+    alone = (F.col("size") == 0) & (_uniform(F.col("id"), F.lit(seed), F.lit(-2)) < F.col("rate") - F.col("whole"))
+    all_ = space.keep(x.select("id", "source", "size", (F.col("whole") + alone.cast("int")).alias("whole"), "mass", F.col("n").alias("left")), "units")
     plain = F.col("mass") <= 0
     open_ = all_.where(~plain).select("id", "source", "size", "mass", "left")
     done = []

@@ -19,6 +19,7 @@ repeated rows are each scored; columns of the input named like the output's are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +123,7 @@ class Space:
 def _leading(x: np.ndarray, dims: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """The leading right singular vectors of ``x``, by subspace iteration."""
     dims = min(dims, *x.shape)
-    q = np.random.default_rng(seed).standard_normal((x.shape[1], min(2 * dims + 8, *x.shape)))
+    q = np.random.default_rng(seed).standard_normal((x.shape[1], min(2 * dims + 8, *x.shape))).astype(x.dtype)
     for _ in range(rounds):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
@@ -139,14 +140,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 32,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, x in terms(batch.column(2)):
-                blobs = pa.array([row.tobytes() for row in x], pa.binary())
+                blobs = pa.array([zlib.compress(row.tobytes(), 1) for row in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), blobs], names=["_id", "_y", "x"])
 
     rows = taught.select("_id", "_y", "_t").mapInArrow(run, "_id long, _y double, x binary").groupBy("_id", "_y").agg(F.min("x").alias("x")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["_id"])
-    vectors = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
+    vectors = np.empty((len(rows), TERMS), np.float32)
+    for i, r in enumerate(rows):
+        vectors[i] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
     return Space(vectors, np.array([r["_y"] for r in rows]), dims, np.array([r["_id"] for r in rows]))
 
 

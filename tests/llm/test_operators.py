@@ -828,6 +828,18 @@ def test_mixing_is_fair(spark: SparkSession) -> None:
     assert abs(mean.mean() - rate.mean()) < 0.05 and abs((mean - rate).abs().mean()) < 0.2
 
 
+def test_empty_documents_are_drawn(spark: SparkSession) -> None:
+    """Documents without words have their source's rate too; they count no words."""
+    d = spark.createDataFrame([(i, "w w" if i % 2 else None, "ab"[i % 4 // 2]) for i in range(400)], "doc_id long, text string, source string")
+    plan = mixing.mix_plan(d).toPandas()
+    copies = Counter(r["doc_id"] for r in mixing.mix(d).collect())
+    for s, rows in plan.groupby(plan.doc_id % 4 // 2):
+        rate = rows.target.iloc[0] / rows.source_size.iloc[0]
+        mine = [copies[i] for i in rows.doc_id if i % 2 == 0]
+        assert set(mine) <= {int(rate), int(rate) + 1} and abs(sum(mine) / len(mine) - rate) < 0.15, s
+    assert plan.taken[plan.doc_id % 2 == 0].sum() == 0
+
+
 # 9
 
 def brute_lines(docs: dict, least: int = 5, chars: int = 40) -> dict:
@@ -993,3 +1005,54 @@ def test_foreign_records(spark: SparkSession, tmp_path) -> None:
     for bad in (b"junk", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort", b"WARC/1.0\r\nContent-Length: 1\r\nWARC-Payload-Digest: sha1:" + b"A" * 32 + b"\r\n\r\nx"):
         with pytest.raises(warc.WarcError):
             warc.parse_record(bad)
+
+
+# pipeline
+
+def test_pipeline_stages(spark: SparkSession, tmp_path) -> None:
+    """Every stage against loops over its own input: what it keeps, in the columns that came, nothing else."""
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = d.columns, {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in d.collect()]
+        text = {r[0]: r[1] for r in before}
+        out = stage(spark, d, SF)
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        after = [tuple(r) for r in out.collect()]
+        if i < 4:
+            assert out.columns == columns and set(after) <= set(before)
+        ids = Counter(r[0] for r in after)
+        if name == "quality_classifier":
+            space = quality.fit(d, spark.read.parquet(f"{SF}/labels.parquet"))
+            for k, t in text.items():
+                x = quality._vectors(*utf8(pa.array([t])))
+                assert (k in ids) == (space.score(x, 16, 8.0, np.array([k]))[0] >= 0.3)
+        elif name == "minhash_near_dedup":
+            assert ids == Counter(k for k, (_, root) in brute_components(text, 5, 80).items() if root == k)
+        elif name == "benchmark_decontamination":
+            items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+            assert ids == Counter(k for k, x in brute_contamination(text, items).items() if not x[4])
+        elif name == "source_mixing":
+            size = {k: len(blank_words(t)) for k, t in text.items()}
+            source = {r[0]: r[columns.index("source")] for r in before}
+            taken, total = Counter(), Counter()
+            for k, n in size.items():
+                total[source[k]] += n
+                taken[source[k]] += ids[k] * n
+            target = {r["source"]: r["target"] for r in mixing.source_targets(d.select("source", mixing.word_count(d.text).alias("size"))).collect()}
+            assert all(abs(taken[s] - target[s]) <= max(n for k, n in size.items() if source[k] == s) for s in total) and max(ids.values()) <= 3
+        else:
+            enc = packing.encoding(packing.load_vocabulary(packing.VOCABULARY))
+            parts = defaultdict(list)
+            for r in out.collect():
+                tokens = np.frombuffer(r["ids"], "<u2")
+                for k, x in enumerate(zip(r["doc_ids"], r["doc_rows"], r["starts"], strict=True)):
+                    parts[x[:2]].append((x[2], tokens[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]]))
+            back = Counter((k, enc.decode(np.concatenate([p for _, p in sorted(x, key=lambda y: y[0])]).tolist())) for (k, _), x in parts.items())
+            assert back == Counter((r[0], r[1]) for r in before)
+        kept[name] = sum(ids.values())
+        d = out
+    assert kept["benchmark_decontamination"] < kept["minhash_near_dedup"] < kept["quality_classifier"] < 200
