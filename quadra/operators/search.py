@@ -90,7 +90,8 @@ def dequantize(c: Column, low: float, high: float, bits: int) -> Column:
 class IvfIndex:
     """Inverted lists around k-means centres; a search probes the nearest lists and reranks exactly.
 
-    With ``bits`` the probed rows are ranked by quantized vectors first and ``rerank`` times k of them exactly.
+    With ``bits`` (8, 4, 2 or 1) the probed rows are ranked by quantized vectors first and ``rerank`` times k of them
+    exactly. ``save`` writes the rows by list, so a search through a loaded index reads the files of the lists it probes.
     """
 
     def __init__(self, df: DataFrame, column: str, key: str, lists: int, seed: int = 1, bits: int | None = None, sample: int = 100_000) -> None:
@@ -108,6 +109,20 @@ class IvfIndex:
             self.low, self.high = float(bounds[0]), float(bounds[1])
             self.rows = self.rows.withColumn("_q", quantize(F.col(column), self.low, self.high, bits))
 
+    def save(self, folder: str) -> None:
+        spark = self.rows.sparkSession
+        self.rows.repartition("list").write.partitionBy("list").parquet(f"{folder}/rows")
+        about = [(self.column, self.key, self.bits, getattr(self, "low", None), getattr(self, "high", None), self.centres)]
+        spark.createDataFrame(about, "column string, key string, bits int, low double, high double, centres array<array<double>>").write.parquet(f"{folder}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> IvfIndex:
+        out = cls.__new__(cls)
+        about = spark.read.parquet(f"{folder}/about").first()
+        out.column, out.key, out.bits, out.low, out.high, out.centres = about["column"], about["key"], about["bits"], about["low"], about["high"], [list(c) for c in about["centres"]]
+        out.rows = spark.read.parquet(f"{folder}/rows")
+        return out
+
     def search(self, q: list[float], k: int, probes: int, metric: str = "l2", rerank: int = 4) -> DataFrame:
         near = np.argsort([np.linalg.norm(np.array(c) - q) for c in self.centres])[:probes]
         found = self.rows.where(F.col("list").isin([int(x) for x in near]))
