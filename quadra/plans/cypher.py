@@ -434,6 +434,13 @@ def _reads(clauses: list[tuple]) -> bool:
     return all(c[0] in ("match", "optional", "unwind", "with", "return") or c[0] == "call" and _reads(c[2]) for c in clauses)
 
 
+def _rows(df: DataFrame) -> float:
+    """About how many rows a table has: the catalog's count, or its size on disk at eight bytes a column."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    known = stats.rowCount()
+    return float(str(known.get())) if known.isDefined() else float(str(stats.sizeInBytes())) / (8 * len(df.columns))
+
+
 def _lit(v: Any) -> Column:
     if isinstance(v, (list, tuple)):
         if v and all(isinstance(x, dict) for x in v):
@@ -506,6 +513,8 @@ class _Run:
             for p in paths:
                 rows = self.path(p, rows)
             return rows
+        if rows is None and len(nodes) <= len(hops) <= 10 and all(not rel.span and not rel.props for _, rel, _ in hops) and {v for h in hops for v in (h[0], h[2])} == set(nodes):
+            return self.cycle(nodes, hops)
         if rows is not None:
             for v in nodes:
                 if v in rows.columns:
@@ -535,19 +544,84 @@ class _Run:
             have |= {a, b}
         return rows
 
+    def cycle(self, nodes: dict[str, Node], hops: list[tuple]) -> DataFrame:
+        """A pattern with cycles: edge tables are joined by ids, parts of the pattern with parts of it, on all vertices that
+        they share at once, so that a cycle closes where both its halves are small. Vertices come last.
+
+        The tree of joins is the one with the fewest rows in all, by estimates: vertices times, for each edge, the share of
+        pairs that it joins.
+        """
+        end = lambda v: [f"_n_{v}_i", f"_n_{v}_l"]
+        count = {v: self.vertices(nodes[v]) * (0.1 if self.restricted(nodes)(v) else 1.0) for v in nodes}
+        ids = {v: self.scan(nodes[v]).select(*[F.col(f"{v}.{c}").alias(n) for c, n in zip(("_id", "_label"), end(v), strict=True)]) for v in nodes}
+        leaves, share = [], []
+        for a, rel, b in hops:
+            links = self.links(rel, nodes[a], nodes[b])
+            if links is None:
+                raise SyntaxFault(f"no edge table joins {nodes[a].label} and {nodes[b].label}")
+            share.append(_rows(links.select("_src", "_dst")) / (self.vertices(nodes[a]) * self.vertices(nodes[b])))
+            names = zip(("_src", "_sl", "_dst", "_tl"), end(a) + end(b), strict=True)
+            if a == b:
+                links, names = links.where((F.col("_src") == F.col("_dst")) & (F.col("_sl") == F.col("_tl"))), list(names)[:2]
+            links = links.select(*[F.col(c).alias(n) for c, n in names], F.col("e").alias(rel.var))
+            for v in dict.fromkeys((a, b)):
+                if self.restricted(nodes)(v):
+                    links = links.join(ids[v], end(v), "left_semi")
+            leaves.append(links)
+        ends = [{a, b} for a, _, b in hops]
+        over = {1 << k: ends[k] for k in range(len(hops))}
+        best: dict[int, tuple[float, Any]] = {1 << k: (0.0, k) for k in range(len(hops))}
+
+        def estimate(m: int) -> float:
+            out = 1.0
+            for v in over[m]:
+                out *= count[v]
+            for k in range(len(hops)):
+                out *= share[k] if m >> k & 1 else 1.0
+            return out
+
+        for m in range(1, 1 << len(hops)):
+            if m in best:
+                continue
+            part, found = (m - 1) & m, None
+            while part:
+                if part > m ^ part and part in best and m ^ part in best and over[part] & over[m ^ part]:
+                    over[m] = over[part] | over[m ^ part]
+                    cost = best[part][0] + best[m ^ part][0] + estimate(m)
+                    found = min(found, (cost, (part, m ^ part)), key=lambda x: x[0]) if found else (cost, (part, m ^ part))
+                part = (part - 1) & m
+            if found:
+                best[m] = found
+
+        def joined(m: int) -> DataFrame:
+            tree = best[m][1]
+            if isinstance(tree, int):
+                return leaves[tree]
+            return joined(tree[0]).join(joined(tree[1]), [c for v in nodes if v in over[tree[0]] & over[tree[1]] for c in end(v)])
+
+        # what no edge connects is crossed in the end, as the text asks
+        whole, left = None, (1 << len(hops)) - 1
+        while left:
+            m = max((x for x in best if x & left == x), key=lambda x: x.bit_count())
+            out = joined(m)
+            whole, left = out if whole is None else whole.crossJoin(out), left ^ m
+        for v in nodes:
+            found = self.scan(nodes[v])
+            whole = whole.join(found, (F.col(end(v)[0]) == F.col(f"{v}._id")) & (F.col(end(v)[1]) == F.col(f"{v}._label"))).drop(*end(v))
+        return whole
+
+    def vertices(self, n: Node) -> float:
+        tables = [n.label] if n.label else list(self.graph.vertices)
+        return max(1.0, sum(_rows(df.select(key)) for df, key in (self.graph.vertices[t] for t in tables if t in self.graph.vertices)))
+
     def restricted(self, nodes: dict[str, Node]):
         return lambda v: 2 * any(e[0] == "lit" for _, e in nodes[v].props) + (v in self.filtered)
 
     def growth(self, nodes: dict[str, Node], a: str, rel: Rel, b: str, back: bool) -> float:
         """About how many rows a hop makes of one, by the sizes that the tables have in the catalog or on disk."""
-        size = lambda df: float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         start, end = (b, a) if back else (a, b)
         links = self.links(rel, nodes[a], nodes[b])
-        if links is None:
-            return 0.0
-        tables = [nodes[start].label] if nodes[start].label else list(self.graph.vertices)
-        ids = sum(size(df.select(key)) for df, key in (self.graph.vertices[t] for t in tables if t in self.graph.vertices))
-        grown = size(links.select("_src", "_dst")) / max(1.0, ids)
+        grown = 0.0 if links is None else _rows(links.select("_src", "_dst")) / self.vertices(nodes[start])
         return grown / (10 if self.restricted(nodes)(end) else 1)
 
     def scan(self, n: Node) -> DataFrame:
