@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_008.8
@@ -114,3 +114,39 @@ def in_ranges(cells: Column, ranges: list[tuple[int, int]]) -> Column:
     for a, b in ranges:
         out = out | cells.between(a, b)
     return out
+
+
+class StoredPlaces:
+    """Points written in the order of their cells, so that files and row groups hold neighbours: a search reads those whose
+    least and greatest cells meet the cover of what it looks for."""
+
+    def __init__(self, spark: SparkSession, folder: str, lat: str, lon: str, level: int = 12) -> None:
+        self.rows, self.lat, self.lon, self.level = spark.read.parquet(folder), F.col(lat), F.col(lon), level
+
+    @classmethod
+    def build(cls, df: DataFrame, lat: str, lon: str, folder: str, level: int = 12, partitions: int | None = None) -> StoredPlaces:
+        spark = df.sparkSession
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # many points of one cell are told apart by their place in it
+        rows = df.withColumn("_cell", cell(F.col(lat), F.col(lon), level)).repartitionByRange(n, "_cell", lat, lon)
+        rows.sortWithinPartitions("_cell").write.option("parquet.block.size", 8 << 20).parquet(folder)
+        return cls(spark, folder, lat, lon, level)
+
+    def within_bbox(self, south: float, west: float, north: float, east: float) -> DataFrame:
+        # a coarse cover is enough to skip by, and short
+        depth = min(self.level, 6)
+        shift = 2 * (self.level - depth)
+        ranges = [(a << shift, ((b + 1) << shift) - 1) for a, b in cover(south, west, north, east, depth)]
+        return self.rows.where(in_ranges(F.col("_cell"), ranges)).where(within_bbox(self.lat, self.lon, south, west, north, east)).drop("_cell")
+
+    def within_radius(self, lat0: float, lon0: float, metres: float) -> DataFrame:
+        """The points within a distance, from the box around it (all longitudes where it reaches a pole)."""
+        height = math.degrees(metres / EARTH_M)
+        south, north = max(-90.0, lat0 - height), min(90.0, lat0 + height)
+        if south <= -90 or north >= 90:
+            box = self.within_bbox(south, -180.0, north, 180.0)
+        else:
+            width = math.degrees(math.asin(min(1.0, math.sin(metres / EARTH_M) / math.cos(math.radians(lat0))))) + 1e-9 if metres / EARTH_M < math.pi / 2 else 180.0
+            west, east = lon0 - width, lon0 + width
+            box = self.within_bbox(south, -180.0, north, 180.0) if width >= 180 else self.within_bbox(south, west + 360 if west < -180 else west, north, east - 360 if east > 180 else east)
+        return box.where(haversine(self.lat, self.lon, lat0, lon0) <= metres)

@@ -137,3 +137,4 @@ _after("cy_unwind_create", ["UNWIND $rows AS row CREATE (:Region {r_regionkey: r
        "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 30, 'X' UNION ALL SELECT 31, NULL", {"rows": [{"k": 30, "name": "X"}, {"k": 31}]})
 _cy("cy_set_return", "MATCH (n:Nation {n_regionkey: 1}) SET n.n_name = 'HERE', n.twice = n.n_nationkey * 2 RETURN n.n_nationkey AS k, n.n_name AS name, n.twice AS twice", "SELECT n_nationkey AS k, 'HERE' AS name, n_nationkey * 2 AS twice FROM nation WHERE n_regionkey = 1")
 _cy("cy_create_return", "MATCH (r:Region) CREATE (n:Town {id: r.r_regionkey + 100, of: r.r_name}) RETURN n.id AS id, n.of AS region", "SELECT r_regionkey + 100 AS id, r_name AS region FROM region")
+_cy("cy_slices", "MATCH (n:Nation) WITH n.n_nationkey AS k, [n.n_nationkey, n.n_regionkey, 7, 8] AS xs RETURN k, xs[0] AS first, xs[-1] AS last, xs[9] AS none, size(xs[1..3]) AS two, xs[-3..-1][0] AS region, size(xs[2..]) AS rest", "SELECT n_nationkey AS k, n_nationkey AS first, 8 AS last, NULL AS none, 2 AS two, n_regionkey AS region, 2 AS rest FROM nation")

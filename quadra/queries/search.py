@@ -198,3 +198,23 @@ def geo_cover(spark: SparkSession, d: str) -> DataFrame:
 
 
 REGISTERED["geo_cover"] = (geo_cover, REGISTERED["geo_bbox_antimeridian"][1])
+
+
+def geo_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The places of a box across the antimeridian and of a circle, from places stored by cell."""
+    stored = geo.StoredPlaces.build(_places(spark, d), "lat", "lon", f"{shared_dir(spark)}/places-{uuid.uuid4().hex}", 8)
+    box, circle = stored.within_bbox(-20, 170, 30, -160), stored.within_radius(10.0, 20.0, 2_000_000)
+    return box.select(F.lit("box").alias("search"), "id").unionByName(circle.select(F.lit("circle").alias("search"), "id"))
+
+
+REGISTERED["geo_stored"] = (geo_stored, f"SELECT 'box' AS search, id FROM ({REGISTERED['geo_bbox_antimeridian'][1]}) UNION ALL SELECT 'circle', id FROM ({REGISTERED['geo_radius'][1]})")
+
+
+def geo_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Places in a polygon, and places that are a point."""
+    p, at = _places(spark, d), (F.col("lat"), F.col("lon"))
+    inside = p.where(geo.st_intersects(("polygon", [(0, 0), (0, 60), (60, 0)]), None, *at)).select(F.lit("in").alias("kind"), "id")
+    return inside.unionByName(p.where(geo.st_contains(("point", (-52.75, 91.5)), *at)).select(F.lit("at").alias("kind"), "id"))
+
+
+REGISTERED["geo_shapes"] = (geo_shapes, f"SELECT 'in' AS kind, id FROM ({_PLACES}) WHERE lat >= 0 AND lon >= 0 AND lat + lon <= 60 UNION ALL SELECT 'at', id FROM ({_PLACES}) WHERE lat = -52.75 AND lon = 91.5")
