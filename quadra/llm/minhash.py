@@ -47,7 +47,7 @@ from quadra.llm.store import Workspace, small_batches
 
 K = 64
 #: Members of a list that one part of it holds.
-LIST_PART = 1000
+LIST_PART = 500
 #: Estimated similarity from which a member joins a pivot's clump (of pivots of different parts, a lower one), and
 #: from which it leaves the pool.
 LOOSE, LOOSE_PARTS, CORE = 0.45, 0.3, 0.85

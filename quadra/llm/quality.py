@@ -107,14 +107,15 @@ class Space:
         cosines = self.project(vectors) @ self.points.T
         n = len(self.points)
         # whole numbers, so that ties are ties however rows were batched, and their order is that of ids
-        rank = np.rint(cosines * 1e6).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        near_by = np.rint(cosines * 1e6)
+        rank = near_by.astype(np.int64) * n + np.arange(n - 1, -1, -1)
         if ids is not None:
             at = np.minimum(np.searchsorted(self.ids, ids), n - 1)
             own = np.flatnonzero((self.ids[at] == ids) & (True if known is None else known))
             rank[own, at[own]] = -(2**62)
         k = min(neighbours, n)
         near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** sharpness + 1e-9
+        weight = (np.maximum(np.take_along_axis(near_by, near, 1), 0).astype(np.float64) / 1e6) ** sharpness + 1e-9
         weight[np.take_along_axis(rank, near, 1) == -(2**62)] = 0
         total = weight.sum(1)
         return np.where(total > 0, np.clip((weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1), 0, 1), 0.5)

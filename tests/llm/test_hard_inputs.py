@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,55 @@ def test_operator(spark: SparkSession, name: str) -> None:
         assert len(got) == d.count()
 
 
+def _told(rows: list, *columns: str) -> list[tuple]:
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=str)
+
+
+def test_defined_results(spark: SparkSession) -> None:
+    """What the docstrings define for null, empty, wordless and short texts, repeated rows, and null ids."""
+    d = docs(spark)
+    text = [(r["doc_id"], r["text"]) for r in d.collect()]
+    run = lambda name: OPERATORS[name](spark, d, False).collect()
+    # 0 null (twice), 1 empty, 2 blanks, 3 "one", 4 "one two", 5 three times, None: a text and a null
+    scores = defaultdict(set)
+    for r in quality.score(d, labels(spark).where("doc_id > 1")).collect():  # a taught document leaves itself out
+        scores[r["doc_id"]].add(r["score"])
+    assert scores[0] == scores[1] and len(scores[5]) == 1 and all(0 <= x <= 1 for v in scores.values() for x in v)
+
+    none = hashlib.sha256(b"").hexdigest()
+    sha = lambda *items: hashlib.sha256(",".join(items).encode()).hexdigest()
+    got = _told([r for r in run("decontaminate") if r["doc_id"] in (0, 1, 2, 3, 4, 8, 9)], "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "longest", "longest_item", "longest_at")
+    assert got == [(0, 0, 0, 0, none, 0, None, None), (0, 0, 0, 0, none, 0, None, None), (1, 0, 0, 0, none, 0, None, None), (2, 0, 0, 0, none, 0, None, None), (3, 1, 0, 0, none, 0, None, None),
+                   (4, 2, 2, 1, sha("1"), 2, "1", 0), (8, 0, 0, 0, none, 0, None, None), (9, 2, 1, 1, sha("null"), 1, "null", 0)]
+
+    media = defaultdict(set)
+    for r in run("media"):
+        media[r["doc_id"]].add(tuple(r)[1:])
+    assert media[0] == media[1] and len(media[5]) == 1
+    assert next(iter(media[0]))[:3] == (0, 64, hashlib.sha256(bytes(64)).hexdigest())
+
+    spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in run("pii") if r["doc_id"] in (0, 1, 2, 7)}
+    assert set(map(tuple, spans.values())) == {()}
+
+    models = [r for r in run("hmm")]
+    assert _told([r for r in models if r["doc_id"] in (0, 1, 2, 3)], "doc_id", "n_tokens") == [(0, 1), (0, 1), (1, 1), (2, 1), (3, 2)]
+    assert len({r["score"] for r in models if r["doc_id"] in (0, 1, 2)}) == 1 and not any(r["held_out"] for r in models if r["doc_id"] is None)
+
+    near = _told([r for r in run("minhash") if r["doc_id"] in (0, 1, 3, 4, 5, None)], "doc_id", "n_shingles", "component_id", "kept")
+    assert near == [(0, 0, 0, True), (0, 0, 0, True), (1, 0, 1, True), (3, 1, 3, True), (4, 1, 4, True), (5, 11, 5, True), (5, 11, 5, True), (5, 11, 5, True), (None, 0, None, True), (None, 1, None, True)]
+
+    rows = run("packing")
+    assert sorted((x for r in rows for x in r["empty_ids"]), key=str) == sorted([0, 0, 1, None], key=str)
+    assert Counter(x for r in rows for x, s in zip(r["doc_ids"], r["starts"], strict=True) if s == 0) == Counter(i for i, t in text if t)
+
+    sizes = {r["doc_id"]: r["size"] for r in run("mixing") if r["doc_id"] is not None}
+    assert sizes == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in text if i is not None}
+
+    lines = _told([r for r in run("lines") if r["doc_id"] in (0, 1, 2, 5, 8)], "doc_id", "n_lines", "n_dropped", "text")
+    same = TEXTS[5]
+    assert lines == [(0, 1, 0, ""), (0, 1, 0, ""), (1, 1, 0, ""), (2, 2, 0, TEXTS[2]), (5, 4, 0, same), (5, 4, 0, same), (5, 4, 0, same), (8, 51, 0, TEXTS[8])]
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_operator_without_rows(spark: SparkSession, name: str) -> None:
     assert OPERATORS[name](spark, docs(spark, True), False).count() == 0
