@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,7 @@ def series_rollup(stream: DataFrame, key: str, ts: str, column: str, width: floa
 
     Windows behind the mark by at most ``late_window`` are computed again, older rows are dropped. Emits
     (key, start, n, total, low, high) of every window that a batch changed; read with ``drain(..., 'update', key)``.
+    Rows are folded by window, a frame at a time; a series is one task's, as its mark depends on the order of its rows.
     """
     key_type = stream.schema[key].dataType.simpleString()
     step, horizon = int(width * 1e6), int(late_window * 1e6)
@@ -72,13 +74,16 @@ def series_rollup(stream: DataFrame, key: str, ts: str, column: str, width: floa
         mark, windows = (state.get[0], pickle.loads(state.get[1])) if state.exists else (None, {})
         changed: dict[int, Any] = {}
         for frame in frames:
-            for t, x in zip(frame["_us"].tolist(), frame["_x"].tolist(), strict=True):
-                start = t - t % step
-                if mark is not None and mark - start > horizon:
-                    continue
-                n, total, low, high = windows.get(start, (0, 0.0, float("inf"), float("-inf")))
-                windows[start] = changed[start] = (n + 1, total + x, min(low, x), max(high, x))
-                mark = start if mark is None or start > mark else mark
+            start = frame["_us"].to_numpy() // step * step
+            if not len(start):
+                continue
+            # the mark before each row; a row that is dropped lies behind it and does not move it
+            marks = np.maximum.accumulate(np.append(start[0] if mark is None else mark, start))
+            kept = frame["_x"][marks[:-1] - start <= horizon]
+            mark = int(marks[-1])
+            for s, n, total, low, high in kept.groupby(start[kept.index]).agg(["size", "sum", "min", "max"]).itertuples():
+                old = windows.get(s, (0, 0.0, float("inf"), float("-inf")))
+                windows[s] = changed[s] = (old[0] + n, old[1] + total, min(old[2], low), max(old[3], high))
         # windows that no row can change any more leave the state
         windows = {s: w for s, w in windows.items() if mark - s <= horizon}
         state.update((mark, pickle.dumps(windows)))
