@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's rows are written and read again by the next."""
+    """All stages over the documents of ``sf_dir``; each stage's rows are written and read again by the next, and go when
+    that one's are written."""
     space = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = space.keep(stage(spark, docs, sf_dir), name)
+        if old is not None:
+            space.drop(old)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
