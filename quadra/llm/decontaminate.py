@@ -25,14 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadra.llm.bytestok import ALNUM, blocks, utf8, words
+from quadra.llm.bytestok import ALNUM, blocks, words
 from quadra.llm.documents import table
-from quadra.llm.store import Workspace, small_batches
+from quadra.llm.store import Workspace, open_store, small_batches
 
 #: Words of benchmark text in one slice (16 bytes a word).
 SLICE_WORDS = 2_000_000
@@ -76,13 +75,9 @@ class Slices:
         return (_read_slice(f, self.window) for f in self.files)
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
-
-
 @lru_cache(maxsize=1)
 def _read_slice(file: str, window: int) -> Queries:
-    fs, path = _open(file)
+    fs, path = open_store(file)
     with fs.open_input_stream(path, compression=None) as f, pa.ipc.open_stream(f) as reader:
         t = reader.read_all()
     return Queries.of(t.column("item").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()], window)
@@ -108,7 +103,7 @@ def write_slices(benchmark: DataFrame, window: int, text: str = "text", item: st
     def write(t: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        fs, base = _open(folder)
+        fs, base = open_store(folder)
         fs.create_dir(base, recursive=True)
         name = f"slice-{t.column('slice')[0].as_py():06d}"
         part = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"

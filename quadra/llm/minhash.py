@@ -298,7 +298,8 @@ def _verified(docs: DataFrame, chosen: DataFrame, width: int, percent: int, spac
     nothing = {"left": F.lit(None).cast("boolean"), "known": F.lit(None).cast("long")}
     sizes = chosen.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(8 * F.col("n_shingles")).alias("bytes")).where("m > 1")
     large = (F.col("m") > BLOCK_CLASSES) | (F.col("bytes") > BLOCK_BYTES)
-    sizes = sizes.select(F.col("root").alias("r"), large.alias("large"))
+    # written, as Spark splits a hot key of a join only where both sides are plain shuffles
+    sizes = space.keep(sizes.select(F.col("root").alias("r"), large.alias("large")), "sizes")
     # sets more than one size step apart are no pairs; each step of a large block is dealt to parts
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     placed = chosen.join(sizes.hint("merge"), F.col("root") == F.col("r")).drop("r").withColumn("s", F.when(F.col("large"), step).otherwise(0))
@@ -324,7 +325,8 @@ def _verified(docs: DataFrame, chosen: DataFrame, width: int, percent: int, spac
     named = big.join(of.hint("merge"), F.col("node") == F.col("n"), "left").drop("n").withColumn("known", F.coalesce("known", "node"))
     named = space.keep(named, "named")
     # what is outside the block's largest component is held against all parts of its own and the neighbouring steps
-    main = named.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "known")).alias("x")).select(F.col("root").alias("r"), F.col("x.known").alias("main"))
+    main = named.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "known")).alias("x"))
+    main = space.keep(main.select(F.col("root").alias("r"), F.col("x.known").alias("main")), "main")
     loose = named.join(main.hint("merge"), F.col("root") == F.col("r")).where("known <> main").drop("r", "main")
     loose = space.keep(loose, "loose")
     if loose.isEmpty():

@@ -31,14 +31,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadra.llm.bytestok import blocks
 from quadra.llm.documents import table
-from quadra.llm.store import Workspace, small_batches
+from quadra.llm.store import Workspace, open_store, small_batches
 
 #: The vocabulary file of the queries; operators take any path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -210,23 +209,21 @@ def _pieces(made: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE, strict=True)], schema=_PIECE)
 
 
-#: Tasks whose sums lie in one file.
-_TASKS = 256
-
-
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+def _tasks(row_len: int) -> int:
+    """Tasks whose sums lie in one file, of a few megabytes."""
+    return max(1, min(256, 2**20 // (row_len + 1)))
 
 
 def _write_sums(per: DataFrame, row_len: int, folder: str) -> None:
     """Files of sums: of every task and length, the pieces of that length in earlier tasks. ``per``: (task, length, n)."""
+    n = _tasks(row_len)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    sums = per.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.floor(F.col("task") / _TASKS).alias("file"))
+    sums = per.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.floor(F.col("task") / n).alias("file"))
 
     def write(t: pa.Table) -> pa.Table:
-        out = np.zeros((_TASKS, row_len + 1), np.int64)
-        out[t.column("task").to_numpy() % _TASKS, t.column("length").to_numpy()] = t.column("n").to_numpy()
-        fs, base = _open(folder)
+        out = np.zeros((n, row_len + 1), np.int64)
+        out[t.column("task").to_numpy() % n, t.column("length").to_numpy()] = t.column("n").to_numpy()
+        fs, base = open_store(folder)
         fs.create_dir(base, recursive=True)
         name = f"{base}/{t.column('file')[0].as_py():06d}"
         with fs.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}", compression=None) as f:
@@ -260,16 +257,16 @@ def packed_rows(docs: DataFrame, row_len: int = 2048, pad: int = 50256, vocabula
     sent = spark.sparkContext.broadcast(made)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(folder)
+        fs, base = open_store(folder)
         task, sums = None, np.zeros(0, np.int64)
-        width = (row_len + 1) * 8
+        width, per_file = (row_len + 1) * 8, _tasks(row_len)
         for batch in batches:
             tasks, lengths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rank = batch.column(2).to_numpy().copy()
             for t in np.unique(tasks).tolist():
                 if t != task:
-                    with fs.open_input_file(f"{base}/{t // _TASKS:06d}") as f:
-                        f.seek(t % _TASKS * width)
+                    with fs.open_input_file(f"{base}/{t // per_file:06d}") as f:
+                        f.seek(t % per_file * width)
                         task, sums = t, np.frombuffer(f.read(width), np.int64)
                 rank += np.where(tasks == t, sums[lengths], 0)
             row, at = np.zeros(len(rank), np.int64), np.full(len(rank), -1, np.int64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if "://" in base or base.startswith("file:") else "file://" + base.rstrip("/")
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder's URI, for tasks that read and write files of their own."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+
+
 class Workspace:
     """A fresh folder for one run's tables. ``drop`` deletes a table that no later plan reads; the rest, which a
     result that is not yet written may read, goes when the driver's JVM ends."""

@@ -41,11 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadra.llm.documents import table
-from quadra.llm.store import Workspace, small_batches
-
-
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+from quadra.llm.store import Workspace, open_store, small_batches
 
 
 def url_key(url: str | None) -> str:
