@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadra.functions import geo, phonetic
+from quadra.operators.hnsw import LayeredIndex
 from quadra.operators.search import IvfIndex, StoredTextIndex, analyze, nearest, top_vectors
 from quadra.sources.shared import shared_dir
 from quadra.sources.tables import table
@@ -60,6 +61,19 @@ REGISTERED["vec_ivf_all_lists"] = (vec_ivf_all_lists, """SELECT query, vec_id, d
   FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE n <= 10""")
 REGISTERED["vec_ivf_recall"] = (vec_ivf_recall, "SELECT * FROM (VALUES ('ivf', true), ('ivf_q8', true), ('ivf_q4', true), ('ivf_q2', true), ('ivf_q1', true)) t(kind, good)")
 
+def vec_layered_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether graphs in layers find nine tenths of the exact ten nearest on average, over all vectors and for every one whose
+    id is divisible by 100."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0")
+    found = LayeredIndex.build(e, "embedding", "vec_id", f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}").search_all(q, 10)
+    exact = nearest(e, q, "embedding", "vec_id", 10)
+    hits = exact.join(found, ["query", "vec_id"], "left").groupBy("query").agg((F.count(found["distance"]) / F.count(F.lit(1))).alias("recall"))
+    return hits.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("good"))
+
+
+REGISTERED["vec_layered_recall"] = (vec_layered_recall, "SELECT count(*) AS queries, true AS good FROM embeddings WHERE vec_id % 100 = 0")
+
 _PLACES = "SELECT c_custkey AS id, (c_custkey * 37) % 180 - 90 + 0.25 AS lat, (c_custkey * 91) % 360 - 180 + 0.5 AS lon FROM customer"
 
 
