@@ -29,7 +29,6 @@ unseen probability; repeated rows count and are scored each; extra columns are n
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,11 +65,13 @@ BLOCK = "block long, doc_ids binary, held binary, lengths binary, words binary,
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    size = int.from_bytes(x[:8], "little")
+    return np.frombuffer(pa.decompress(x[8:], decompressed_size=size, codec="zstd") if size else b"", kind)
 
 
 class _Block:
@@ -99,7 +100,7 @@ class _Block:
         self.often.append(often)
         self.counts.append(np.bincount(number[np.repeat(~held, lengths)], minlength=len(distinct)))
         self.classes.append(kind[first])
-        self.sequences.append(_pack(number.astype(np.uint32)))
+        self.sequences.append(number.astype(np.uint32))
 
     def row(self, number: int) -> pa.RecordBatch:
         distinct, first, of = np.unique(np.concatenate(self.words), return_index=True, return_inverse=True)
@@ -110,7 +111,7 @@ class _Block:
         counts = np.bincount(of, weights=np.concatenate(self.counts)).astype(np.int64)
         of, at, sequences = place[of], 0, []
         for mine, x in zip(self.words, self.sequences, strict=True):
-            sequences.append(_pack(of[at : at + len(mine)][_unpack(x, np.uint32)]))
+            sequences.append(_pack(of[at : at + len(mine)][x]))
             at += len(mine)
         blob = pa.BufferOutputStream()
         with pa.ipc.new_stream(blob, pa.schema([("doc_id", pa.int64())])) as w:
@@ -121,7 +122,7 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
 
-def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int = 32_000_000, piece_bytes: int = 3_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def tokenise(docs: DataFrame, folds: int = 5, fold: int = 1, block_bytes: int = 16_000_000, piece_bytes: int = 3_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Blocks of whole texts: ids, fold, token counts (with the end), distinct words, training counts, and by pieces of
     about ``piece_bytes`` the number of texts and the word numbers. The larger a block, the fewer words are repeated."""
 
@@ -157,8 +158,9 @@ def _gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def word_counts(table_: DataFrame) -> DataFrame:
-    """(word, class, c) of all training words: the words of blocks, with partial sums before the shuffle."""
+def word_counts(table_: DataFrame, parts: int) -> DataFrame:
+    """(word, class, c) of all training words, in ``parts`` partitions by word. A block has a word once, so the most
+    common word is as many rows as there are blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +172,7 @@ def word_counts(table_: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (w, k, c)], names=["word", "class", "n"])
 
     seen = table_.select("words", "counts", "classes").mapInArrow(run, "word long, class int, n long")
-    return seen.groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("c"))
+    return seen.repartition(parts, "word").groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("c"))
 
 
 @dataclass
@@ -470,7 +472,9 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 4, tolerance: float =
     small_batches(spark)
     space = Workspace(spark, "hmm")
     table_ = space.keep(tokenise(docs, folds, fold, text=text, key=key), "blocks")
-    counts = space.keep(word_counts(table_), "counts")
+    # as many parts as blocks, however many there are, up to a bound: parts stay small as the corpus grows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, table_.count()))
+    counts = space.keep(word_counts(table_, parts), "counts")
     # N and V by class: at most CLASSES rows; then the words with at least N / COMMON tokens, at most COMMON rows
     per = counts.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     n_train, v_train = sum(r["c"] for r in per), sum(r["v"] for r in per)
@@ -493,7 +497,8 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 4, tolerance: float =
     with np.errstate(divide="ignore", invalid="ignore"):
         log_share = np.append(np.log10(mass / below) - np.log10(1 - unseen), 0.0)
     sent = spark.sparkContext.broadcast((Model(model.start, model.move, emit), log_share, n_train, math.log10(below)))
-    back = rare_words(table_, terms).join(counts.where(F.col("c") * F.lit(COMMON) < F.lit(n_train)).select("word", "c").hint("merge"), "word").select("block", "at", "c")
+    rare = counts.where(F.col("c") * F.lit(COMMON) < F.lit(n_train)).select("word", "c").repartition(parts, "word")
+    back = rare_words(table_, terms).repartition(parts, "word").join(rare.hint("merge"), "word").select("block", "at", "c")
 
     def run(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         model, log_share, n_train, log_below = sent.value
@@ -520,10 +525,8 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 4, tolerance: float =
         size = np.concatenate(tokens)
         return pa.table({"doc_id": pa.concat_arrays(ids), "held_out": np.concatenate(held), "n_tokens": size, "n_known": np.concatenate(known), "train_tokens": np.full(len(size), n_train), "base_score": np.concatenate(base), "score": np.concatenate(full)})
 
-    # about a block to a task, however many there are, up to a bound
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, table_.count()))
-    left = table_.select("block", "doc_ids", "held", "lengths", "words", "classes", "docs", "sequences").repartition(n, "block").groupBy("block")
-    return left.cogroup(back.repartition(n, "block").groupBy("block")).applyInArrow(run, SCORES)
+    left = table_.select("block", "doc_ids", "held", "lengths", "words", "classes", "docs", "sequences").repartition(parts, "block").groupBy("block")
+    return left.cogroup(back.repartition(parts, "block").groupBy("block")).applyInArrow(run, SCORES)
 
 
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
