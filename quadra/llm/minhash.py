@@ -22,7 +22,7 @@ So a family of copies that are all joined costs time in proportion to its size,
 in a block but not joined to its main component are compared with all of its parts.
 
 A pair whose smaller set has at most ``window`` shingles always shares a key. A pair of larger sets shares none with
-chance 6.5e-7 at similarity 0.85 and 5.7e-8 at 0.8 (``window`` neighbouring values of the union, 32 from 0.85 on and
+chance 6.5e-7 at similarity 0.85 and 4.3e-8 at 0.8 (``window`` neighbouring values of the union, 32 from 0.85 on and
 48 below, each shared with that chance, without three in a row); more similar pairs are missed less. The estimate's
 standard error is 0.06 or less, a fifth of what separates near pairs from ``LOOSE``.
 
