@@ -68,7 +68,8 @@ def _sorted_scans(spark: SparkSession) -> Iterator[None]:
 class LineRuns:
     """Sorted runs in the shared folder: ``levels[i]`` lists the runs of level i, oldest first.
 
-    Runs are known to the session's catalog only as long as they stand; ``close`` removes them.
+    Runs are known to the session's catalog (Spark's own, as others know no buckets) only as long as they stand;
+    ``close`` removes them.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 2, min_chars: int = 40, buckets: int | None = None) -> None:
