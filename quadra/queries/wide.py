@@ -15,22 +15,37 @@ from quadra.sources.tables import pages, table
 REGISTERED: dict = {}
 
 
+class _Tables(dict):
+    """Tables by name, each opened when a statement first names it."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        super().__init__()
+        self.open = lambda name: table(spark, d, name)
+
+    def __contains__(self, name: object) -> bool:
+        return name in _KEYS
+
+    def __missing__(self, name: str) -> cql.Table:
+        source, shown, *keys = _KEYS[name]
+        self[name] = cql.Table(shown(self.open(source)), *keys)
+        return self[name]
+
+
+# name: table, what is shown of it, partition key, clustering key, indexes
+_KEYS = {
+    "orders": ("orders", lambda o: o, ["o_orderkey"], [], {"by_status": (["o_orderstatus"], "btree"), "by_cust": (["o_custkey"], "hash")}),
+    "events": ("events", lambda e: e, ["user_id"], ["event_id"]),
+    "items": ("lineitem", lambda x: x.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), ["l_orderkey"], ["l_linenumber"], {"by_part": (["l_partkey"], "btree")}),
+    "tagged": ("orders", lambda o: o.select("o_orderkey", F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("tags"), F.create_map(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("props")), ["o_orderkey"]),
+    "nation": ("nation", lambda n: n, ["n_nationkey"], [], {"by_sound": (["n_name"], "phonetic")}),
+    "places": ("customer", lambda c: c.select(F.col("c_custkey").alias("id"), F.struct(((F.col("c_custkey") * 37) % 180 - 90 + 0.25).alias("lat"), ((F.col("c_custkey") * 91) % 360 - 180 + 0.5).alias("lon")).alias("location")), ["id"]),
+    "embeddings": ("embeddings", lambda e: e, ["vec_id"]),
+    "documents": ("documents", lambda x: x, ["doc_id"]),
+}
+
+
 def _catalog(spark: SparkSession, d: str) -> dict[str, cql.Table]:
-    orders = table(spark, d, "orders")
-    events = table(spark, d, "events")
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    tagged = orders.select("o_orderkey", F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("tags"), F.create_map(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("props"))
-    places = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.struct(((F.col("c_custkey") * 37) % 180 - 90 + 0.25).alias("lat"), ((F.col("c_custkey") * 91) % 360 - 180 + 0.5).alias("lon")).alias("location"))
-    return {
-        "orders": cql.Table(orders, ["o_orderkey"], [], {"by_status": (["o_orderstatus"], "btree"), "by_cust": (["o_custkey"], "hash")}),
-        "events": cql.Table(events, ["user_id"], ["event_id"]),
-        "items": cql.Table(items, ["l_orderkey"], ["l_linenumber"], {"by_part": (["l_partkey"], "btree")}),
-        "tagged": cql.Table(tagged, ["o_orderkey"]),
-        "nation": cql.Table(table(spark, d, "nation"), ["n_nationkey"], [], {"by_sound": (["n_name"], "phonetic")}),
-        "places": cql.Table(places, ["id"]),
-        "embeddings": cql.Table(table(spark, d, "embeddings"), ["vec_id"]),
-        "documents": cql.Table(table(spark, d, "documents"), ["doc_id"]),
-    }
+    return _Tables(spark, d)
 
 
 def _cql(name: str, text: str, oracle: str | None, binds: tuple = ()) -> None:
