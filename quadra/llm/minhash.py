@@ -97,13 +97,17 @@ def window(percent: int) -> int:
 
 
 def clumps(nodes: np.ndarray, sketch: list[np.ndarray], size: np.ndarray, loose: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges that join one list's clumps (a spanning forest, so fewer edges than members), and its pivots."""
+    """Edges that join one list's clumps (a spanning forest, so fewer edges than members), and its pivots.
+
+    Every member of a clump gets an edge to the clump's least node: lists that hold mostly the same members then give
+    mostly the same edges, whatever their pivots are.
+    """
     m = len(nodes)
     lengths = np.array([len(s) for s in sketch])
     rows = np.full((m, K), np.uint64(2**64 - 1), np.uint64)
     for i, s in enumerate(sketch):
         rows[i, : len(s)] = s
-    edges, pivots = [], []
+    pivots = []
     group = np.arange(m)  # clump of each member
     pool = np.argsort(size, kind="stable")
     while len(pool):
@@ -117,12 +121,13 @@ def clumps(nodes: np.ndarray, sketch: list[np.ndarray], size: np.ndarray, loose:
         e = estimates(rows[p, : lengths[p]], rows[rest_near], lengths[rest_near])
         near = rest_near[e >= loose]
         apart = near[group[near] != group[p]]
-        # one edge to each clump that this pivot meets
-        met, first = np.unique(group[apart], return_index=True)
-        edges += [(int(nodes[p]), int(nodes[x])) for x in apart[first]]
-        group[np.isin(group, met)] = group[p]
+        group[np.isin(group, group[apart])] = group[p]
         pool = np.concatenate([rest_near[e < CORE], rest[len(rest_near) :]])
-    return edges, pivots
+    _, clump = np.unique(group, return_inverse=True)
+    low = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(low, clump, nodes)
+    hub = low[clump]
+    return [(int(x), int(y)) for x, y in zip(nodes, hub, strict=True) if x != y], pivots
 
 
 MEMBER = "key long, node long, n_shingles long, sketch array<long>"
@@ -147,7 +152,8 @@ def _list_edges(members: DataFrame, space: Workspace) -> DataFrame:
         return run
 
     while True:
-        n = F.ceil(F.col("m") / LIST_PART)
+        # a power of two, so that lists of like sizes deal the members they share to like parts
+        n = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / LIST_PART, F.lit(1.0))))).cast("long")
         dealt = members.join(sizes.hint("merge"), "key").withColumn("parts", n)
         # one column names a part, else parts would stay together where their key was joined
         dealt = dealt.withColumn("part", F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts"))))

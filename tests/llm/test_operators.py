@@ -707,6 +707,63 @@ def test_components(spark: SparkSession) -> None:
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_lists_of_a_family_share_edges() -> None:
+    """Lists that hold most of one family give nearly the same edges, in whatever order their members come."""
+    rng = np.random.default_rng(6)
+    base = np.sort(rng.integers(0, 2**63, minhash.K, dtype=np.uint64))
+    nodes = rng.choice(10**6, 200, replace=False)
+    sketch = [np.unique(np.where(rng.random(minhash.K) < 0.02, rng.integers(0, 2**63, minhash.K, dtype=np.uint64), base)) for _ in nodes]
+    found = set()
+    for _ in range(40):
+        at = rng.permutation(np.flatnonzero(rng.random(200) < 0.7))
+        edges, _ = minhash.clumps(nodes[at], [sketch[i] for i in at], np.full(len(at), 100), minhash.LOOSE)
+        assert len(edges) == len(at) - 1 and {x for e in edges for x in e} == set(nodes[at].tolist())
+        found |= {(max(e), min(e)) for e in edges}
+    assert len(found) < 10 * len(nodes)
+
+
+def generated_rows(spark: SparkSession, seen: set) -> int:
+    """Rows that Generate nodes made in executions not yet seen."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run in seen:
+            continue
+        seen.add(run)
+        nodes = store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate":
+                value = store.executionMetrics(run).get(node.metrics().apply(0).accumulatorId())
+                rows += int(value.get().replace(",", "")) if value.isDefined() else 0
+    return rows
+
+
+@pytest.mark.parametrize("rows", [100, 4000, 200_000])
+def test_components_in_parts(spark: SparkSession, monkeypatch, rows: int) -> None:
+    """A family that is linked many times over, a path and random edges, by parts of any size."""
+    monkeypatch.setattr(graph, "PART_ROWS", rows)
+    rng = random.Random(9)
+    edges = [(x, hub) for hub in range(0, -40, -1) for x in range(1, 301)] + [(i, i + 1) for i in range(1000, 1300)]
+    edges += [(2000 + rng.randrange(300), 2000 + rng.randrange(300)) for _ in range(140)]
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    seen: set = set()
+    generated_rows(spark, seen)
+    got = {r["node"]: r["root"] for r in graph.components(table, Workspace(spark, "t")).collect()}
+    made = generated_rows(spark, seen)
+    parent = {x: x for e in edges for x in e}
+
+    def root(x: int) -> int:
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    # the 12,000 edges of the family are not doubled in a round where parts hold more edges than it has nodes
+    assert rows == 100 or made < len(edges)
+
+
 # 7
 
 def plain_best_fit(counts: dict, row_len: int) -> list[int]:
