@@ -53,7 +53,8 @@ def _cql(name: str, text: str, oracle: str | None, binds: tuple = ()) -> None:
 
 
 _cql("cql_pk_lookup", "SELECT * FROM items WHERE l_orderkey = 7 AND l_linenumber > 1", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey = 7 AND l_linenumber > 1")
-_cql("cql_in_pk", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (3, 5, ?, 900000)", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (3, 5, 8)", (8,))
+# -1: a key that no table holds, however large
+_cql("cql_in_pk", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (3, 5, ?, -1)", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (3, 5, 8)", (8,))
 _cql("cql_index_intersection", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey = 11", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey = 11")
 _cql("cql_index_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000 ALLOW FILTERING", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000")
 _cql("cql_explain", "EXPLAIN SELECT * FROM items WHERE l_orderkey = 7 AND l_partkey = 3", "SELECT 'PartitionIndexLookup' AS plan, '(''by_part'', ''l_partkey'')' AS detail")
