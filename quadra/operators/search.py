@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -305,17 +307,51 @@ class TextIndex:
         return self.match(query).orderBy(F.col("score").desc(), "doc").limit(k)
 
 
+#: Tokens counted at a time when postings are made, but for a longer text, which is counted whole.
+CHUNK_TOKENS = 2_000_000
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings by term of (doc, terms) rows: (term, first, doc, tf, dl), and under a null term all documents of a chunk.
+
+    Texts are counted in chunks, each term of a chunk once, so what is shuffled later has a row a term and chunk.
+    """
+    for batch in batches:
+        docs, terms = batch.column("doc"), batch.column("terms")
+        sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(sizes), 0
+        while start < len(docs):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_TOKENS, "right")))
+            held = np.arange(start, stop)
+            words = pc.list_flatten(terms.slice(start, stop - start)).dictionary_encode()
+            n = max(1, stop - start)
+            # by term, then document
+            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            key, tf = np.unique(codes * n + np.repeat(held - start, sizes[held]), return_counts=True)
+            which, at = key // n, np.concatenate([key % n + start, held])
+            begins = np.flatnonzero(np.diff(which, prepend=-1))
+            offsets = pa.array(np.append(np.append(begins, len(key)), len(at)).astype(np.int32))
+            lists = [docs.take(pa.array(at)), pa.array(np.append(tf, np.zeros(n, np.int64))), pa.array(sizes[at].astype(np.int32))]
+            names = pa.concat_arrays([words.dictionary.take(pa.array(which[begins])), pa.nulls(1, words.dictionary.type)])
+            first = docs.take(pa.array(at[offsets.to_numpy()[:-1]]))
+            yield pa.RecordBatch.from_arrays([names, first, *[pa.ListArray.from_arrays(offsets, x) for x in lists]], names=["term", "first", "doc", "tf", "dl"])
+            start = stop
+
+
 class StoredTextIndex(TextIndex):
-    """A text index that is built once: postings, document lengths, terms with their document counts.
+    """A text index that is built once: postings, document lengths, terms with their document counts. Keys are unique.
 
-    Postings (term, doc, tf, dl) are sorted by term in files of ranges of (term, doc), so a term's files and row groups
-    are found by their least and greatest terms, and a very common term is spread over several files. A search reads
-    the postings of its own terms; document lengths are read only by searches that all documents may answer.
+    Postings lie in blocks, (term, first, doc, tf, dl) with a block's postings as arrays, sorted by term in files of
+    ranges of (term, first), so a term's files and row groups are found by their least and greatest terms, and a very
+    common term is spread over several files. A search reads the postings of its own terms; document lengths are read
+    only by searches that all documents may answer.
     """
 
     def __init__(self, spark: SparkSession, folder: str, analyzer: str = "standard") -> None:
         self.analyzer = analyzer
-        self.postings, self.terms = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms")
+        blocks = spark.read.parquet(f"{folder}/postings")
+        self.postings = blocks.select("term", F.inline(F.arrays_zip("doc", "tf", "dl")))
+        self.terms = spark.read.parquet(f"{folder}/terms")
         self.docs = spark.read.parquet(f"{folder}/docs")
         self.n, self.avgdl = spark.read.parquet(f"{folder}/stats").first()
 
@@ -324,14 +360,16 @@ class StoredTextIndex(TextIndex):
         spark = df.sparkSession
         plain = TextIndex(df, key, text, analyzer)
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        plain.docs.select("doc", "dl").write.parquet(f"{folder}/docs")
-        counted = plain.docs.select("doc", "dl", F.explode("terms").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        # written before it is ranged, as finding the ranges would count all over again
-        counted.write.parquet(f"{folder}/counted")
+        kind = plain.docs.schema["doc"].dataType.simpleString()
+        # texts are analysed once; written before it is ranged, as finding the ranges would count all over again
+        plain.docs.select("doc", "terms").mapInArrow(_postings, f"term string, first {kind}, doc array<{kind}>, tf array<long>, dl array<int>").write.parquet(f"{folder}/counted")
         counted = spark.read.parquet(f"{folder}/counted")
-        post = counted.repartitionByRange(n, "term", "doc").sortWithinPartitions("term", "doc")
-        post.select("term", "doc", "tf", "dl").write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
-        terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        counted.where("term is null").select(F.inline(F.arrays_zip("doc", "dl"))).write.parquet(f"{folder}/docs")
+        counted = counted.where("term is not null")
+        post = counted.repartitionByRange(n, "term", "first").sortWithinPartitions("term", "first")
+        post.write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+        # the blocks of a term are together but for those at the ends of files
+        terms = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum(F.size("doc")).alias("df"))
         terms.repartitionByRange(n, "term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
         spark.read.parquet(f"{folder}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/stats")
         return cls(spark, folder, analyzer)

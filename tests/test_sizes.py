@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
+import pytest
 from pyspark.sql import SparkSession
 
+from quadra.operators import search
 from quadra.queries import ORACLES, QUERIES
 
 
@@ -15,3 +18,22 @@ def test_in_keys_of_larger_tables(spark: SparkSession, tmp_path) -> None:
     duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     got = QUERIES["cql_in_pk"](spark, str(tmp_path)).select("o_orderkey", "o_custkey").collect()
     assert sorted(map(tuple, got)) == sorted(duck.sql(ORACLES["cql_in_pk"]).fetchall()) == [(3, 21), (5, 35), (8, 56)]
+
+
+def test_text_index_of_chunks(spark: SparkSession, tmp_path, monkeypatch) -> None:
+    """Texts are analysed once and counted where they lie: a term has a block a chunk, whatever its postings."""
+    rows = [(i, f"oak elm oak w{i} " + "ash " * (i % 3)) for i in range(300)] + [(300, None), (301, "")]
+    d = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    plain, stored = search.TextIndex(d, "id", "t"), search.StoredTextIndex.build(d, "id", "t", f"{tmp_path}/ix", partitions=3)
+    blocks = spark.read.parquet(f"{tmp_path}/ix/counted")
+    assert blocks.where("term = 'oak'").count() == 1 and stored.postings.where("term = 'oak'").count() == 300
+    for q in ("oak", "ash OR w7", "ash AND elm", "NOT ash", "w1*", "absent"):
+        both = [{r["doc"]: r["score"] for r in ix.match(q).collect()} for ix in (plain, stored)]
+        assert both[1] == pytest.approx(both[0]), q
+    # a chunk ends within a batch, and one text may be longer than a chunk
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 6, 7]), pa.array([["a", "b", "a"], [], ["b"] * 9, ["a"]])], names=["doc", "terms"])
+    monkeypatch.setattr(search, "CHUNK_TOKENS", 4)
+    got = [x for b in search._postings(iter([batch])) for x in b.to_pylist()]
+    posts = sorted((r["term"], *p) for r in got if r["term"] for p in zip(r["doc"], r["tf"], r["dl"], strict=True))
+    assert posts == [("a", 4, 2, 3), ("a", 7, 1, 1), ("b", 4, 1, 3), ("b", 6, 9, 9)]
+    assert sorted(p for r in got if r["term"] is None for p in zip(r["doc"], r["dl"], strict=True)) == [(4, 3), (5, 0), (6, 9), (7, 1)]
