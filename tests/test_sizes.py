@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 from quadra.operators import search
+from quadra.plans import cql
 from quadra.queries import ORACLES, QUERIES
 
 
@@ -37,3 +38,17 @@ def test_text_index_of_chunks(spark: SparkSession, tmp_path, monkeypatch) -> Non
     posts = sorted((r["term"], *p) for r in got if r["term"] for p in zip(r["doc"], r["tf"], r["dl"], strict=True))
     assert posts == [("a", 4, 2, 3), ("a", 7, 1, 1), ("b", 4, 1, 3), ("b", 6, 9, 9)]
     assert sorted(p for r in got if r["term"] is None for p in zip(r["doc"], r["dl"], strict=True)) == [(4, 3), (5, 0), (6, 9), (7, 1)]
+
+
+def test_sketch_beside_distinct_count(spark: SparkSession) -> None:
+    """A sketch is held once a task, not once for every distinct value counted beside it; columns stay in their order."""
+    t = cql.Table(spark.range(3000).selectExpr("id", "id % 700 AS k"), ["id"])
+    got = cql.select({"t": t}, "SELECT COUNT(ESTIMATE_DISTINCT id) AS e, COUNT(DISTINCT k) AS n, MAX(id), COUNT(ESTIMATE_DISTINCT k) FROM t")
+    assert got.columns == ["e", "n", "max(id)", "estimate_distinct(k)"]
+    e, n, top, k = got.first()
+    assert (n, top) == (700, 2999) and abs(e - 3000) < 300 and abs(k - 700) < 70
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "approx_count_distinct" in x and "count(" in x]
+    # nor grouped by what is counted
+    spark_plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in spark_plan.splitlines() if "approx_count_distinct" in x and "keys=[k" in x]
