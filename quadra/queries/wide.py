@@ -169,17 +169,15 @@ def exchange_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exchange_pages(spark: SparkSession, d: str) -> DataFrame:
-    """A table by ticket in pages of 1,024 rows at most, put back by an upsert over a table that has every third row."""
-    from quadra.sources.exchange import PAGE_ROWS, get, put
+    """A table by ticket in pages of 1,024 rows at most, put back by an upsert over a table that has every third row.
 
-    catalog = _catalog(spark, d)
-    pages_ = list(get(catalog, "SELECT o_orderkey, o_custkey FROM orders"))
-    assert pages_ and max(p.num_rows for p in pages_) <= PAGE_ROWS
-    old = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(0).cast("long").alias("o_custkey"))
-    held = cql.Table(old, ["o_orderkey"])
-    import pyarrow as pa
+    Pages are made and read in tasks, so no client holds the table.
+    """
+    from quadra.sources.exchange import paged, put, unpaged
 
-    return put(held, pa.concat_tables(pages_)).df
+    pages_ = paged(_catalog(spark, d), "SELECT o_orderkey, o_custkey FROM orders")
+    old = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(0).cast("long").alias("o_custkey"))
+    return put(cql.Table(old, ["o_orderkey"]), unpaged(pages_, old.schema)).df
 
 
 REGISTERED["exchange_pages"] = (exchange_pages, "SELECT o_orderkey, o_custkey FROM orders")

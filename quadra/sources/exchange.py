@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadra.functions.murmur import bigint_token, text_token
 from quadra.plans import cql
@@ -15,12 +16,10 @@ from quadra.sources.tables import token_ranges
 PAGE_ROWS = 1024
 
 
-def get(catalog: dict[str, cql.Table], ticket: str, page_rows: int = PAGE_ROWS) -> Iterator[pa.Table]:
-    """Pages of a SELECT's rows, serialised where the rows are; one partition at a time is on the client, which puts the
-    ends of partitions together, so every page but the last is full."""
-    df = cql.select(catalog, ticket)
+def paged(catalog: dict[str, cql.Table], ticket: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """(page): a SELECT's rows in serialised pages, made and left where the rows are; the last page of a partition may be short."""
 
-    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def page() -> pa.RecordBatch:
@@ -40,8 +39,29 @@ def get(catalog: dict[str, cql.Table], ticket: str, page_rows: int = PAGE_ROWS)
         if held:
             yield page()
 
+    return cql.select(catalog, ticket).mapInArrow(run, "page binary")
+
+
+def unpaged(pages: DataFrame, schema: StructType, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """The rows of ``pages``, read where the pages are; a page of more than ``page_rows`` rows is refused."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("page"):
+                with pa.ipc.open_stream(raw.as_buffer()) as r:
+                    rows = r.read_all()
+                if rows.num_rows > page_rows:
+                    raise ValueError(f"a page of {rows.num_rows} rows")
+                yield from rows.to_batches()
+
+    return pages.mapInArrow(run, schema)
+
+
+def get(catalog: dict[str, cql.Table], ticket: str, page_rows: int = PAGE_ROWS) -> Iterator[pa.Table]:
+    """Pages of a SELECT's rows, serialised where the rows are; one partition at a time is on the client, which puts the
+    ends of partitions together, so every page but the last is full."""
     rest = None
-    for row in df.mapInArrow(paged, "page binary").toLocalIterator():
+    for row in paged(catalog, ticket, page_rows).toLocalIterator():
         with pa.ipc.open_stream(row["page"]) as r:
             page = r.read_all()
         rest = page if rest is None else pa.concat_tables([rest, page])

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from quadra.operators import search
 from quadra.plans import cql
 from quadra.queries import ORACLES, QUERIES
+from quadra.sources import exchange
 
 
 def test_in_keys_of_larger_tables(spark: SparkSession, tmp_path) -> None:
@@ -52,3 +53,16 @@ def test_sketch_beside_distinct_count(spark: SparkSession) -> None:
     # nor grouped by what is counted
     spark_plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in spark_plan.splitlines() if "approx_count_distinct" in x and "keys=[k" in x]
+
+
+def test_pages_stay_in_tasks(spark: SparkSession, tmp_path, monkeypatch) -> None:
+    """Pages are put back without passing through the driver, whole; too large a page is refused."""
+    t = cql.Table(spark.range(5000, numPartitions=3).selectExpr("id", "id * 2 AS twice"), ["id"])
+    pages = exchange.paged({"t": t}, "SELECT * FROM t")
+    assert pages.count() == 6 and sorted(map(tuple, exchange.unpaged(pages, t.df.schema).collect())) == [(i, 2 * i) for i in range(5000)]
+    with pytest.raises(Exception, match="a page of 1024 rows"):
+        exchange.unpaged(pages, t.df.schema, 1000).count()
+    spark.range(3000).selectExpr("id AS o_orderkey", "id * 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(type(t.df), "toLocalIterator", lambda *_: pytest.fail("rows on the driver"))
+    got = QUERIES["exchange_pages"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("o_orderkey", "o_custkey").collect())) == [(i, 7 * i) for i in range(3000)]
