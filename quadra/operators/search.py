@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 
 from quadra.operators.graph import cut
 
+if TYPE_CHECKING:
+    from pyspark.ml.clustering import KMeansModel
+
 STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 K1, B = 1.2, 0.75
 
@@ -38,11 +42,40 @@ def top_vectors(df: DataFrame, column: str, key: str, q: list[float], k: int, me
     return df.select(key, F.round(distance(F.col(column), q, metric), digits).alias("distance")).orderBy("distance", key).limit(k)
 
 
+def _least_of_block(w: np.ndarray, v: np.ndarray, ids: np.ndarray, asked: np.ndarray, probed: np.ndarray | None, k: int, digits: int) -> list[tuple[np.ndarray, ...]]:
+    """(place of the query, id, rough, distance) arrays, one of each a query: the ``k`` rows of least (rough, id).
+
+    Products of matrices give squares that are near enough to leave out nearly all rows; what is left, with all that may
+    round to the k-th distance, is measured and ordered as if every row was. ``probed``: which rows each query may meet.
+    """
+    out, norms, step = [], np.einsum("ij,ij->i", w, w), max(1, 4_000_000 // max(1, len(w)))
+    for start in range(0, len(asked), step):
+        x = asked[start : start + step]
+        own = np.einsum("ij,ij->i", x, x)
+        near = norms[None, :] - 2 * (x @ w.T) + own[:, None]
+        if probed is not None:
+            near[~probed[start : start + step]] = np.inf
+        least = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(w) else np.full(len(x), np.inf)
+        slack = 1e-10 * (norms[np.isfinite(norms)].max(initial=0) + own) + 1e-300
+        bound = (np.sqrt(np.maximum(least, 0) + slack) + 2 * 10.0**-digits) ** 2 + slack
+        for i in range(len(x)):
+            # not a number is kept, and comes last
+            left = ~(near[i] > bound[i])
+            if probed is not None:
+                left &= probed[start + i]
+            some = np.flatnonzero(left)
+            rough = np.round(np.sqrt(((w[some] - x[i]) ** 2).sum(1)), digits)
+            best = np.lexsort((ids[some], rough))[:k]
+            exact = np.round(np.sqrt(((v[some[best]] - x[i]) ** 2).sum(1)), digits)
+            out.append((np.full(len(best), start + i), ids[some[best]], rough[best], exact))
+    return out
+
+
 def _blocked(rows: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
     """(query, id, rough, distance): per query and block of rows the ``k`` of least rough distance.
 
-    ``rows``: (list, id, v, w), ``queries``: (list, query, v); blocks of both meet list by list. Distances are l2, to v
-    and (rough) to w.
+    ``rows``: (list, id, v, w), ``queries``: (lists, query, v); a query meets the rows of its lists, block by block.
+    Distances are l2, to v and (rough) to w.
     """
     # few large blocks, as each gives k rows a query
     r, q = max(4, -(-rows.count() // 50_000)), max(1, -(-queries.count() // 4000))
@@ -53,18 +86,22 @@ def _blocked(rows: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFr
 
     def run(t: pa.Table, u: pa.Table) -> pa.Table:
         matrix = lambda x, name: x.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(x.num_rows, -1)
-        out = []
+        found = []
         if t.num_rows and u.num_rows:
-            ids, v, w = t.column("id").to_numpy(), matrix(t, "v"), matrix(t, "w")
-            for name, x in zip(u.column("query").to_pylist(), matrix(u, "v"), strict=True):
-                rough = np.round(np.sqrt(((w - x) ** 2).sum(1)), digits)
-                best = np.lexsort((ids, rough))[:k]
-                exact = np.round(np.sqrt(((v[best] - x) ** 2).sum(1)), digits)
-                out += zip([name] * len(best), ids[best].tolist(), rough[best].tolist(), exact.tolist(), strict=True)
-        return pa.table({n: pa.array([x[i] for x in out], kind) for i, (n, kind) in enumerate((("query", pa.int64()), ("id", pa.int64()), ("rough", pa.float64()), ("distance", pa.float64())))})
-
-    keys = ["list", "a", "b"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query long, id long, rough double, distance double")
+            lists, asked = t.column("list").to_numpy(), u.column("lists").to_pylist()
+            held = np.zeros((u.num_rows, max(int(lists.max()), *map(max, asked)) + 1), bool)
+            for i, probes in enumerate(asked):
+                held[i, probes] = True
+            ids, names, v, w, x = t.column("id").to_numpy(), u.column("query").to_numpy(), matrix(t, "v"), matrix(t, "w"), matrix(u, "v")
+            whole = held[:, np.unique(lists)].all()
+            for start in range(0, len(x), 64):
+                part = slice(start, start + 64)
+                for i, *rest in _least_of_block(w, v, ids, x[part], None if whole else held[part][:, lists], k, digits):
+                    found.append((names[part][i], *rest))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
+        return pa.table({n: pa.array(c.astype(kind)) for c, (n, kind) in zip(columns, (("query", np.int64), ("id", np.int64), ("rough", float), ("distance", float)), strict=True)})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "query long, id long, rough double, distance double")
 
 
 def _least(df: DataFrame, by: str, k: int) -> DataFrame:
@@ -75,7 +112,7 @@ def nearest(df: DataFrame, queries: DataFrame, column: str, key: str, k: int, di
     """(query, key, distance): the exact nearest rows (l2) of every row of ``queries``, by blocks of both."""
     v = F.col(column)
     rows = df.where(v.isNotNull()).select(F.lit(0).alias("list"), F.col(key).cast("long").alias("id"), v.alias("v"), v.alias("w"))
-    asked = queries.where(v.isNotNull()).select(F.lit(0).alias("list"), F.col(key).cast("long").alias("query"), v.alias("v"))
+    asked = queries.where(v.isNotNull()).select(F.array(F.lit(0)).alias("lists"), F.col(key).cast("long").alias("query"), v.alias("v"))
     return _least(_blocked(rows, asked, k, digits), "distance", k).select("query", F.col("id").alias(key), "distance")
 
 
@@ -96,14 +133,14 @@ class IvfIndex:
     exactly. ``save`` writes the rows by list, so a search through a loaded index reads the files of the lists it probes.
     """
 
-    def __init__(self, df: DataFrame, column: str, key: str, lists: int, seed: int = 1, bits: int | None = None, sample: int = 100_000) -> None:
+    def __init__(self, df: DataFrame, column: str, key: str, lists: int, seed: int = 1, bits: int | None = None, sample: int = 100_000, model: KMeansModel | None = None) -> None:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         self.column, self.key, self.bits = column, key, bits
         x = df.withColumn("_v", array_to_vector(F.col(column)))
-        # centres are trained on a bounded sample; every row is indexed
-        model = KMeans(k=lists, seed=seed, featuresCol="_v", predictionCol="list", maxIter=10).fit(x.orderBy(F.xxhash64(key)).limit(sample))
+        # centres are trained on a bounded sample, or are another index's; every row is indexed
+        self.model = model = model or KMeans(k=lists, seed=seed, featuresCol="_v", predictionCol="list", maxIter=10).fit(x.orderBy(F.xxhash64(key)).limit(sample))
         self.centres = [c.tolist() for c in model.clusterCenters()]
         self.rows = model.transform(x).drop("_v")
         if bits:
@@ -137,7 +174,7 @@ class IvfIndex:
         """(query, key, distance): what ``search`` finds (l2) for every row of ``queries``."""
         v = F.col(self.column)
         near = F.array_sort(F.array(*[F.struct(distance(v, c, "l2").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centres)]))
-        asked = queries.where(v.isNotNull()).select(F.explode(F.slice(near, 1, probes)["list"]).alias("list"), F.col(self.key).cast("long").alias("query"), v.alias("v"))
+        asked = queries.where(v.isNotNull()).select(F.slice(near, 1, probes)["list"].alias("lists"), F.col(self.key).cast("long").alias("query"), v.alias("v"))
         w = dequantize(F.col("_q"), self.low, self.high, self.bits) if self.bits else v
         rows = self.rows.select("list", F.col(self.key).cast("long").alias("id"), v.alias("v"), w.alias("w"))
         first = k * rerank if self.bits else k

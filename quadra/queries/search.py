@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadra.functions import geo, phonetic
+from quadra.operators.graph import cut
 from quadra.operators.hnsw import LayeredIndex
 from quadra.operators.search import IvfIndex, StoredTextIndex, analyze, nearest, top_vectors
 from quadra.sources.shared import shared_dir
@@ -25,11 +26,10 @@ for _name, _metric, _sql in (("vec_l2_topk", "l2", "list_distance(e.embedding::D
                          f"SELECT vec_id, round({_sql}, 4) AS distance FROM embeddings e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7) q ORDER BY distance, vec_id LIMIT 10")
 
 
-def _recall(df: DataFrame, queries: DataFrame, column: str, key: str, lists: int, probes: int, k: int, bits: int | None = None, rerank: int = 4) -> DataFrame:
+def _recall(exact: DataFrame, index: IvfIndex, queries: DataFrame, probes: int, k: int, rerank: int = 4) -> DataFrame:
     """One row, the mean recall over ``queries`` of an inverted-list search against the exact ``k`` nearest."""
-    exact = nearest(df, queries, column, key, k)
-    found = IvfIndex(df, column, key, lists, bits=bits).search_all(queries, k, probes, rerank)
-    hits = exact.join(found, ["query", key], "left").groupBy("query").agg((F.count(found["distance"]) / F.count(F.lit(1))).alias("recall"))
+    found = index.search_all(queries, k, probes, rerank)
+    hits = exact.join(found, ["query", index.key], "left").groupBy("query").agg((F.count(found["distance"]) / F.count(F.lit(1))).alias("recall"))
     return hits.agg(F.avg("recall").alias("recall"))
 
 
@@ -42,9 +42,13 @@ def vec_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0")
     kinds = (("ivf", None, 4), ("ivf_q8", 8, 4), ("ivf_q4", 4, 4), ("ivf_q2", 2, 64), ("ivf_q1", 1, 48))
-    out = None
+    # found once for all kinds, as are the centres
+    exact = cut(nearest(e, q, "embedding", "vec_id", 10))
+    out = model = None
     for name, bits, rerank in kinds:
-        x = _recall(e, q, "embedding", "vec_id", 8, 7, 10, bits, rerank).select(F.lit(name).alias("kind"), (F.col("recall") >= 0.9).alias("good"))
+        index = IvfIndex(e, "embedding", "vec_id", 8, bits=bits, model=model)
+        model = index.model
+        x = _recall(exact, index, q, 7, 10, rerank).select(F.lit(name).alias("kind"), (F.col("recall") >= 0.9).alias("good"))
         out = x if out is None else out.unionByName(x)
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import SparkSession
 from quadra.operators import search
 from quadra.plans import cql
 from quadra.queries import ORACLES, QUERIES
+from quadra.queries import search as queries
 from quadra.sources import exchange
 
 
@@ -66,3 +68,28 @@ def test_pages_stay_in_tasks(spark: SparkSession, tmp_path, monkeypatch) -> None
     monkeypatch.setattr(type(t.df), "toLocalIterator", lambda *_: pytest.fail("rows on the driver"))
     got = QUERIES["exchange_pages"](spark, str(tmp_path))
     assert sorted(map(tuple, got.select("o_orderkey", "o_custkey").collect())) == [(i, 7 * i) for i in range(3000)]
+
+
+def test_blocks_of_vectors(monkeypatch) -> None:
+    """Products leave out no row that measuring every one would give: ties by id, copies, NaN, rows of other lists."""
+    rng = np.random.default_rng(5)
+    w = np.round(rng.normal(size=(500, 6)), 1) + 1000
+    w[100:300], w[7, 2] = w[0], np.nan
+    ids, asked = rng.permutation(500), w[[0, 3, 50, 400]]
+    for probed in (None, rng.random((4, 500)) < 0.4):
+        for k in (1, 10, 250, 900):
+            got = search._least_of_block(w, w, ids, asked, probed, k, 6)
+            for i, x in enumerate(asked):
+                some = np.arange(500) if probed is None else np.flatnonzero(probed[i])
+                d = np.round(np.sqrt(((w[some] - x) ** 2).sum(1)), 6)
+                best = np.lexsort((ids[some], d))[:k]
+                assert got[i][1].tolist() == ids[some][best].tolist() and np.array_equal(got[i][2], d[best], equal_nan=True)
+
+
+def test_exact_nearest_is_found_once(spark: SparkSession, tmp_path, monkeypatch) -> None:
+    """The five kinds of index are held against one exact search."""
+    rng = np.random.default_rng(6)
+    spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    calls, once = [], queries.nearest
+    monkeypatch.setattr(queries, "nearest", lambda *a: calls.append(a) or once(*a))
+    assert queries.vec_ivf_recall(spark, str(tmp_path)).count() == 5 and len(calls) == 1
